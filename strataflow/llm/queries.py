@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .lines import ORACLE as LINES
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import labelled_findings, scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), labelled_findings(spark))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination_digest
 
@@ -36,13 +43,21 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup_query
+
+    return line_dedup_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_forest_secret_scan,
         op5_wu_manber_decontamination,
         op7_risk_controlled_quality,
         op8_byte_level_bpe,
+        op9_three_line_windows,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_three_line_windows": LINES}
