@@ -17,6 +17,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import labelled_table, pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"), labelled_table(spark))
+
+
 def op3_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import labelled_findings, scan_secrets
 
@@ -52,6 +58,7 @@ def op9_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_crf_personal_data,
         op3_forest_secret_scan,
         op5_wu_manber_decontamination,
         op7_risk_controlled_quality,
