@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard import ORACLE as JACCARD
 from .lines import ORACLE as LINES
 
 
@@ -50,11 +51,18 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_three_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import line_dedup_query
+    from .jaccard import ORACLE as JACCARD
+from .lines import line_dedup_query
 
     return line_dedup_query(table(spark, sf_dir, "documents"))
 
 
+def op10_t_occurrence_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,7 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_risk_controlled_quality,
         op8_byte_level_bpe,
         op9_three_line_windows,
+        op10_t_occurrence_jaccard,
     )
 }
 
-ORACLES: dict[str, str] = {"op9_three_line_windows": LINES}
+ORACLES: dict[str, str] = {"op9_three_line_windows": LINES, "op10_t_occurrence_jaccard": JACCARD}
