@@ -30,6 +30,12 @@ def op3_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), labelled_findings(spark))
 
 
+def op4_induced_suffix_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats_digest
+
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination_digest
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_crf_personal_data,
         op3_forest_secret_scan,
+        op4_induced_suffix_sorting,
         op5_wu_manber_decontamination,
         op7_risk_controlled_quality,
         op8_byte_level_bpe,
