@@ -42,6 +42,12 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files_digest
+
+    return token_files_digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_digest
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_forest_secret_scan,
         op4_induced_suffix_sorting,
         op5_wu_manber_decontamination,
+        op6_repair_token_files,
         op7_risk_controlled_quality,
         op8_byte_level_bpe,
         op9_three_line_windows,
