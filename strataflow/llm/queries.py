@@ -18,6 +18,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_digest
+
+    return lm_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import labelled_table, pii_digest
 
@@ -77,6 +83,7 @@ def op10_t_occurrence_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_cross_entropy_difference,
         op2_crf_personal_data,
         op3_forest_secret_scan,
         op4_induced_suffix_sorting,
