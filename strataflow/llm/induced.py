@@ -58,13 +58,22 @@ class Queue:
         self.file.seek(part[0])
         return np.frombuffer(self.file.read(part[1] * 8), np.int64)
 
-    def pop(self, symbol: int) -> np.ndarray | None:
-        parts = self.chunks.get(symbol)
-        return self._load(parts.popleft()) if parts else None
-
-    def pop_last(self, symbol: int) -> np.ndarray | None:
-        parts = self.chunks.get(symbol)
-        return self._load(parts.pop()) if parts else None
+    def pop(self, symbol: int, most: int = 1 << 20) -> np.ndarray | None:
+        """The next chunks of a symbol, as one of about ``most`` entries."""
+        return self._take(symbol, most, "popleft")
+
+    def pop_last(self, symbol: int, most: int = 1 << 20) -> np.ndarray | None:
+        """The last chunks of a symbol, in their own order."""
+        return self._take(symbol, most, "pop")
+
+    def _take(self, symbol: int, most: int, how: str) -> np.ndarray | None:
+        parts, out, n = self.chunks.get(symbol), [], 0
+        while parts and n < most:
+            out.append(self._load(getattr(parts, how)()))
+            n += len(out[-1])
+        if len(out) < 2:
+            return out[0] if out else None
+        return np.concatenate(out if how == "popleft" else out[::-1])
 
     def close(self) -> None:
         self.chunks.clear()

@@ -84,43 +84,70 @@ def _bytes(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h): anchors of at least two strips. Tasks count their own first."""
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def count(batches):
-        find = Anchors(window)
-        for batch in batches:
-            found = [find.strips(_bytes(t))[2] for t in batch.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(n, 2))], names=["h", "n"])
 
-    small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+def _unzip(packed: bytes) -> bytes:
+    return pa.decompress(memoryview(packed)[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _shrunk(docs: DataFrame, keep: list[str], name: str = "z") -> DataFrame:
+    """``keep`` and the compressed text: a text that must be shuffled costs half of what it else does."""
+
+    def make():
+        return lambda texts: [[_zip(_bytes(t)) for t in texts]]
 
+    return map_text(docs, make, [T.StructField(name, T.BinaryType())], keep=keep)
 
-def _cut_strips(window: int):
-    """Rows (doc_id, h, text, strips) to rows (h, strip bytes, occurrences); equal strips of a batch are one row."""
+
+def _repeated_anchors(batches):
+    """Rows (h, doc_id, mark) sorted by h, to those of which h occurs in two rows or more; holds one row back."""
+    last, last_sent = None, False
+    for batch in batches:
+        h = batch.column(0).to_numpy()
+        if not len(h):
+            continue
+        same = h[1:] == h[:-1]
+        begins = last is not None and h[0] == last[0][0].as_py()
+        sent = np.concatenate([[begins], same])
+        sent[:-1] |= same
+        if begins and not last_sent:
+            yield pa.RecordBatch.from_arrays(list(last), names=["h", "doc_id", "mark"])
+        last, last_sent = [c.slice(len(h) - 1, 1) for c in batch.columns], bool(sent[-1])
+        if sent.any():
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(sent)).columns, names=["h", "doc_id", "mark"])
+
+
+def _cut_strips(window: int, buckets: int):
+    """Rows (doc_id, mark, z, anchors) to packed rows, one for each batch and bucket; equal strips of a batch are one."""
 
     def run(batches):
+        find = Anchors(window)
         for batch in batches:
-            ids, marks, texts, strips = (batch.column(k).to_pylist() for k in range(4))
-            found: dict[tuple[int, bytes], list] = defaultdict(list)
-            for i, mark, text, own in zip(ids, marks, texts, strips, strict=True):
-                raw = text.encode()
-                for s in own:
-                    a, b = s["a"], s["b"]
-                    found[s["h"], raw[a : b - 1 + window]].append({"doc_id": i, "mark": mark, "a": a})
+            ids, marks = (batch.column(k).to_pylist() for k in range(2))
+            found: dict[int, dict[tuple[int, bytes], list[int]]] = defaultdict(dict)
+            for k, (i, mark) in enumerate(zip(ids, marks, strict=True)):
+                raw = _unzip(batch.column(2)[k].as_py())
+                start, end, h = find.strips(raw)
+                hit = np.flatnonzero(np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False)))
+                null, i = int(i is None), i or 0
+                for a, b, x in zip(start[hit].tolist(), end[hit].tolist(), h[hit].tolist(), strict=True):
+                    found[x % buckets].setdefault((x, raw[a : b - 1 + window]), []).extend((i, null, mark, a))
+            rows: list[list] = [[], [], [], []]
+            for bucket, strips in found.items():
+                head = np.array([(h, len(s), len(p) // 4) for (h, s), p in strips.items()], np.int64)
+                places = np.array([x for p in strips.values() for x in p], np.int64)
+                packed = (bucket, _zip(head.tobytes()), _zip(b"".join(s for _, s in strips)), _zip(places.tobytes()))
+                for c, v in zip(rows, packed, strict=True):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), _PLACES)],
-                names=["h", "strip", "places"],
+                [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "head", "body", "places"]
             )
 
     return run
 
 
-_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("mark", pa.int64()), ("a", pa.int64())]))
-
-
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -151,100 +178,125 @@ def sort_shard(rows: list[tuple[int, bytes, int]], window: int, **options) -> li
 
 
 def _sort_shards(window: int):
+    """Packed rows of a shard to (doc_id, mark, ranges), the ranges as one binary of int64 pairs."""
+
     def run(batches):
-        seen: dict[tuple[int, bytes], list] = defaultdict(list)
+        number: dict[tuple[int, bytes], int] = {}
+        who, places = [], []
         for batch in batches:
-            for h, strip, places in zip(*(batch.column(k) for k in range(3)), strict=True):
-                seen[h.as_py(), strip.as_py()].extend((p["doc_id"], p["mark"], p["a"]) for p in places.as_py())
-        keys = list(seen)
-        found = sort_shard([(h, s, len(seen[h, s])) for h, s in keys], window)
-        columns: list[list[int]] = [[], [], [], []]
-        for key, ranges in zip(keys, found, strict=True):
-            for doc_id, mark, a in seen[key] if ranges else ():
-                for x, y in ranges:
-                    for c, v in zip(columns, (doc_id, mark, a + x, a + y - 1 + window), strict=True):
-                        c.append(v)
-            if len(columns[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "mark", "a", "b"])
-                columns = [[], [], [], []]
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "mark", "a", "b"])
+            for head, body, own in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                head = np.frombuffer(_unzip(head.as_py()), np.int64).reshape(-1, 3)
+                body, at, found = _unzip(body.as_py()), 0, []
+                for h, n, _ in head.tolist():
+                    found.append(number.setdefault((h, body[at : at + n]), len(number)))
+                    at += n
+                who.append(np.repeat(np.array(found, np.int64), head[:, 2]))
+                places.append(np.frombuffer(_unzip(own.as_py()), np.int64).reshape(-1, 4))
+        if not who:
+            return
+        owner, places = np.concatenate(who), np.concatenate(places)
+        times = np.bincount(owner, minlength=len(number))
+        ranges = sort_shard([(h, s, int(n)) for (h, s), n in zip(number, times, strict=True)], window)
+        del number
+        have = np.array([len(r) for r in ranges])
+        flat = np.array([x for r in ranges for x in r], np.int64).reshape(-1, 2)
+        first = np.cumsum(have) - have
+        n = have[owner]
+        row = np.repeat(np.arange(len(owner)), n)
+        pick = np.repeat(first[owner], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        a = places[row, 3] + flat[pick, 0]
+        b = places[row, 3] + flat[pick, 1] - 1 + window
+        order = np.lexsort((a, places[row, 2], places[row, 0], places[row, 1]))
+        keys, a, b = places[row[order], :3], a[order], b[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.empty(0, np.int64)
+        for at in range(0, len(cuts), 20_000):
+            part = cuts[at : at + 20_000]
+            ends = np.append(cuts[at + 1 : at + 20_000 + 1], len(keys))[: len(part)]
+            blobs = [_pairs(a[x:y], b[x:y]) for x, y in zip(part.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[part, 0], pa.int64(), mask=keys[part, 1] == 1), pa.array(keys[part, 2], pa.int64()), pa.array(blobs, pa.binary())],
+                names=["doc_id", "mark", "ranges"],
+            )
 
     return run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Merged ranges (a ascending) as int64 pairs."""
+    top = np.maximum.accumulate(b)
+    new = np.concatenate([[True], a[1:] > top[:-1]])
+    ends = np.append(np.flatnonzero(new)[1:], len(a)) - 1
+    return np.stack([a[new], top[ends]], axis=1).tobytes()
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, mark, ranges): byte ranges of repeated windows for each document that has any; mark is the text's hash."""
-    small_batches(docs.sparkSession)
+    """(doc_id, mark, ranges): byte ranges of repeated windows, as binaries of int64 pairs to be merged, for each
+    document that has any; mark is the text's hash. Rows that repeat id and text are taken as two documents."""
+    spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("text is not null")
-    again = repeated_anchors(base, window)
-
-    kind = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "h")]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
         find = Anchors(window)
+        return lambda texts: [[find.strips(_bytes(t))[2] for t in texts]]
 
-        def work(texts):
-            out = []
-            for t in texts:
-                a, b, h = (x.tolist() for x in find.strips(_bytes(t)))
-                out.append([{"a": x, "b": y, "h": z} for x, y, z in zip(a, b, h, strict=True)])
-            return [out]
-
-        return work
-
-    strips = map_text(base, make, [T.StructField("strips", kind)], keep=["doc_id", "mark"]).select("doc_id", "mark", F.inline("strips"))
-    hit = strips.join(again, "h").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b", "h")).alias("strips"))
-    hit = hit.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "strips")
-    met = base.join(hit, base["doc_id"].eqNullSafe(hit["i"]) & (base["mark"] == hit["m"])).select("doc_id", "mark", "text", "strips")
-    cut = met.mapInArrow(_cut_strips(window), "h long, strip binary, places array<struct<doc_id:long,mark:long,a:long>>")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = cut.repartition(parts, "h").mapInArrow(_sort_shards(window), "doc_id long, mark long, a long, b long")
-    return ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-
-
-def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in ranges or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    anchors = map_text(base, make, [T.StructField("anchors", T.ArrayType(T.LongType()))], keep=["doc_id", "mark"])
+    rows = anchors.select(F.explode("anchors").alias("h"), "doc_id", "mark").repartition(parts, "h").sortWithinPartitions("h")
+    again = rows.mapInArrow(_repeated_anchors, "h long, doc_id long, mark long")
+    hit = again.groupBy("doc_id", "mark").agg(F.collect_set("h").alias("anchors")).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "anchors")
+    texts = _shrunk(base, ["doc_id", "mark"])
+    met = texts.join(hit, texts["doc_id"].eqNullSafe(hit["i"]) & (texts["mark"] == hit["m"])).select("doc_id", "mark", "z", "anchors")
+    cut = met.mapInArrow(_cut_strips(window, parts), "bucket long, head binary, body binary, places binary")
+    shards = cut.repartitionById(parts, F.col("bucket").cast("int")) if hasattr(cut, "repartitionById") else cut.repartition(parts, "bucket")
+    ranges = shards.mapInArrow(_sort_shards(window), "doc_id long, mark long, ranges binary")
+    return ranges.groupBy("doc_id", "mark").agg(F.collect_list("ranges").alias("ranges"))
+
+
+def _spans(blobs: list[bytes] | None) -> list[tuple[int, int]]:
+    if not blobs:
+        return []
+    pairs = np.concatenate([np.frombuffer(x, np.int64) for x in blobs]).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    return [tuple(x) for x in np.frombuffer(_pairs(pairs[:, 0], pairs[:, 1]), np.int64).reshape(-1, 2).tolist()]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, str]:
-    """``docs`` plus a struct column: n_bytes, n_removed, n_spans and the bytes kept; and its name.
+    """``docs`` without its text, plus a struct column: n_bytes, n_removed, n_spans, the merged spans and the bytes
+    kept; and that column's name.
 
     Null and empty texts have no bytes; texts shorter than the window keep all; rows that repeat id and text
     are documents of their own, so that all of theirs from 200 bytes on goes; other columns pass through.
     """
     found = materialize(repeated_ranges(docs, window), "ranges")
-    i, m, r = (free_name(docs, x) for x in ("range_id", "range_mark", "range_list"))
+    i, m, r, mark, z = (free_name(docs, x) for x in ("range_id", "range_mark", "range_list", "mark", "z"))
     found = found.select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.col("ranges").alias(r))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[i]) & (F.xxhash64(docs["text"]) == found[m]), "left").drop(i, m)
+    others = [c for c in docs.columns if c != "text"]
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    small = _shrunk(marked, [*others, mark], z)
+    joined = small.join(found, small["doc_id"].eqNullSafe(found[i]) & (small[mark] == found[m]), "left").select(*others, z, r)
     name = free_name(docs, "dedup")
-    kind = T.StructType([*(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    at_text, at_ranges = joined.columns.index("text"), joined.columns.index(r)
-    order = [joined.columns.index(c) for c in docs.columns]
+    kind = T.StructType(
+        [*(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())]
+    )
+    struct = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
+    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(name, kind)])
+    n = len(others)
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column(at_text).to_pylist(), batch.column(at_ranges).to_pylist(), strict=True):
-                raw, spans = _bytes(text), merged(ranges)
+            for packed, blobs in zip(batch.column(n), batch.column(n + 1).to_pylist(), strict=True):
+                raw, spans = _unzip(packed.as_py()), _spans(blobs)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
-                out.append({"n_bytes": len(raw), "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "kept": b"".join(kept)})
-            struct = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in order), pa.array(out, struct)], schema=None, names=[*docs_columns, name])
+                flat = [x for s in spans for x in s]
+                out.append({"n_bytes": len(raw), "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "spans": flat, "kept": b"".join(kept)})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, struct)], names=[*others, name])
 
-    docs_columns = docs.columns
     return joined.mapInArrow(run, schema), name
 
 
