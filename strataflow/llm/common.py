@@ -99,3 +99,25 @@ def map_text(
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def as_bytes(text: str | None) -> bytes:
+    """UTF-8; null is empty."""
+    return text.encode() if text else b""
+
+
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unzipped(packed: bytes) -> bytes:
+    return pa.decompress(memoryview(packed)[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def shrunk(docs: DataFrame, keep: list[str], name: str = "z") -> DataFrame:
+    """``keep`` and the compressed text: a text that must be shuffled costs two thirds of what it else does."""
+
+    def make():
+        return lambda texts: [[zipped(as_bytes(t)) for t in texts]]
+
+    return map_text(docs, make, [T.StructField(name, T.BinaryType())], keep=keep)

@@ -2,11 +2,12 @@
 
 1. Every document becomes a set of 64-bit hashes of its five-word shingles. Equal sets (matched by
    a 128-bit digest) are one class from then on, stood for by its smallest document id.
-2. Classes that can link are brought together: with a fixed global order of shingles, two sets of
-   similarity t share one of their first n - ceil(t n) + 1. Any order is exact; very frequent shingles are put
-   last (a list of bounded size), so that common passages don't bring strangers together.
-   Shingles are matched by aggregation and a join, and the candidate groups are closed
-   by distributed components. Groups are not links yet, only what must be compared.
+2. Most classes cannot link: a set of n needs ceil(t n) shingles in common with another one, so more than
+   n - ceil(t n) shingles that no other document has rule it out. They are counted over half of the hash space,
+   which can only miss some, by the shared ones that each bucket of hashes returns. What is left is ordered by document frequency: two sets that
+   link share one of their first n - ceil(t n) + 1 shingles, rare ones first, so that common passages
+   bring no strangers together. The shared ones are matched by aggregation and a join, and the candidate groups
+   are closed by distributed components. Groups are not links yet, only what must be compared.
 3. Each group is searched by DivideSkip: the short inverted lists are heap-merged, candidates with
    enough occurrences are probed in the long lists by binary search, and those that reach the
    required overlap are links. Members are compared with leaders first; a leader's cluster is searched by
@@ -23,19 +24,19 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_text, materialize, small_batches
+from .common import discard, map_text, materialize, shrunk, small_batches, unzipped
 from .components import components
 
 N = 5
 PERCENT = 80
-#: Shingles put last in the order: bounds what is broadcast; any number gives the same result.
-FREQUENT = 100_000
 _CACHED_WORDS = 300_000
-_COUNT_CHUNK = 2_000_000
+_MIDDLE = np.uint64(1 << 63)
+#: Least number of hash buckets, whatever the number of partitions.
+BUCKETS = 64
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(N)], np.uint64)
 
@@ -77,68 +78,137 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> list[int]:
-    """The most frequent shingles of the corpus, at most ``most``; chunks of each task count
-    what they hold twice or more, so that unique shingles are not shuffled. Only the order uses it."""
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(d[0]), int(d[1])
 
-    def count(batches):
-        shingler, held, size = Shingler(), [], 0
 
-        def flush():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            values, n = values[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+def shingle_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, how many of them are in the lower half of the hash space, and the digest
+    (d1, d2) of the set; d1 names the class from here on."""
+    fields = [T.StructField(n, T.LongType()) for n in ("n_shingles", "n_half", "d1", "d2")]
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingler.hashes(text))
-                size += len(held[-1])
-                if size > _COUNT_CHUNK:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+    def make():
+        shingler = Shingler()
 
-    small_batches(docs.sparkSession)
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return [r.h for r in counted.where("n > 16").orderBy(F.desc("n"), "h").limit(most).collect()]
+        def work(texts):
+            sets = [shingler.hashes(t) for t in texts]
+            digests = [_digest(s) for s in sets]
+            return [[len(s) for s in sets], [int(np.searchsorted(s, _MIDDLE)) for s in sets], [d[0] for d in digests], [d[1] for d in digests]]
+
+        return work
 
+    return map_text(docs.select("doc_id", "text"), make, fields, keep=["doc_id"])
 
-def shingle_table(docs: DataFrame, frequent: list[int], percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, the digest (d1, d2) of the set, and its prefix under the order."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), np.int64).view(np.uint64))
-    fields = [
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("d1", T.LongType()),
-        T.StructField("d2", T.LongType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())),
-    ]
 
-    def make():
-        shingler, last = Shingler(), np.sort(sent.value)
+def _half(buckets: int):
+    """Map over texts: for each batch and bucket one row of packed class names, counts and 48-bit hashes."""
 
-        def work(texts):
-            columns: list[list] = [[], [], [], []]
-            for text in texts:
-                s = shingler.hashes(text)
-                need = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                prefix = s[:0]
-                if need:
-                    common = np.zeros(len(s), bool)
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        common = last[at] == s
-                    prefix = s[~common][:need]
-                    if len(prefix) < need:
-                        prefix = np.concatenate([prefix, s[common][: need - len(prefix)]])
-                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                for c, v in zip(columns, (len(s), int(d[0]), int(d[1]), prefix.view(np.int64)), strict=True):
+    def run(batches):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
+            sets = [(_digest(s)[0], s[: np.searchsorted(s, _MIDDLE)]) for s in sets if len(s)]
+            if not sets:
+                continue
+            names = np.array([d for d, _ in sets], np.int64)
+            lengths = np.array([len(s) for _, s in sets])
+            h = np.concatenate([s for _, s in sets])
+            owner = np.repeat(np.arange(len(sets)), lengths)
+            bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(15)).astype(np.int64)
+            order = np.lexsort((owner, bucket))
+            bucket, owner = bucket[order], owner[order]
+            low = h[order].view(np.uint8).reshape(-1, 8)[:, :6]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
+            rows: list[list] = [[], [], [], []]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                who, counts = np.unique(owner[a:b], return_counts=True)
+                for c, v in zip(rows, (int(bucket[a]), names[who].tobytes(), counts.astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
                     c.append(v)
-            return columns
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "names", "counts", "hashes"]
+            )
 
-        return work
+    return run
 
-    return map_text(docs.select("doc_id", "text"), make, fields, keep=["doc_id"])
+
+def _shared_counts(batches):
+    """Rows of some buckets to (d1, n_shared): hashes that another document of the corpus has too, for each bucket."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for bucket, names, counts, hashes in zip(*(batch.column(k) for k in range(4)), strict=True):
+            low = np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, 6)
+            h = np.zeros((len(low), 8), np.uint8)
+            h[:, :6] = low
+            who = np.repeat(np.frombuffer(names.as_py(), np.int64), np.frombuffer(counts.as_py(), np.uint32))
+            held.append((h.view(np.uint64).ravel() | np.uint64(bucket.as_py() & 0x7FFF) << np.uint64(48), who))
+    if held:
+        h, who = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        h, who = h[order], who[order]
+        same = h[1:] == h[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        h, who = h[shared] >> np.uint64(48), who[shared]
+        order = np.lexsort((who, h))
+        h, who = h[order], who[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (h[1:] != h[:-1])])) if len(who) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(who[cuts]), pa.array(np.diff(np.append(cuts, len(who))))], names=["d1", "n_shared"])
+
+
+def possible_classes(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """(d1, node) of the classes that may link; node is the smallest id of the class."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
+    packed = docs.where("doc_id is not null").select("text").mapInArrow(_half(max(parts, BUCKETS)), "bucket long, names binary, counts binary, hashes binary")
+    dealt = packed.repartitionById(parts, (F.col("bucket") % parts).cast("int"))
+    shared = dealt.mapInArrow(_shared_counts, "d1 long, n_shared long").groupBy("d1").agg(F.sum("n_shared").alias("n_shared"))
+    classes = (
+        told.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("d1", "d2")
+        .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.max("n_half").alias("n_half"), F.count("*").alias("copies"))
+    )
+    # Copies of a class share all of its hashes among themselves; that only lets it pass to the next step.
+    unique = F.col("n_half") - F.least(F.coalesce("n_shared", F.lit(0)) / F.col("copies"), F.col("n_half"))
+    allowed = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return classes.join(shared, "d1", "left").where(unique <= allowed).select("d1", "node")
+
+
+def _own_texts(batches):
+    """Rows (d1, compressed text) of which the text has that digest (ids may repeat with other texts), with their size."""
+    shingler = Shingler()
+    for batch in batches:
+        digests, texts = batch.column(0).to_pylist(), [unzipped(z.as_py()).decode() for z in batch.column(1)]
+        sets = [shingler.hashes(t) for t in texts]
+        keep = [i for i, (d, s) in enumerate(zip(digests, sets, strict=True)) if len(s) and _digest(s)[0] == d]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([digests[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())],
+            names=["d1", "n", "text"],
+        )
+
+
+def candidate_groups(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, root) over class names: classes of which some chain of prefixes is shared."""
+
+    def postings(batches):
+        shingler = Shingler()
+        for batch in batches:
+            for d, n, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                h = shingler.hashes(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d)), pa.array(np.full(len(h), n)), pa.array(h)], names=["d1", "n", "h"])
+
+    rows = texts.mapInArrow(postings, "d1 long, n long, h long")
+    shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("d1")
+    ranked = rows.join(shared, "h").withColumns(
+        {
+            "shared": F.count("*").over(own),
+            "k": F.row_number().over(own.orderBy(F.floor(F.log2("c")), "h")),
+        }
+    )
+    # Shingles that no other class has come first in the order and take n - shared places of the prefix.
+    prefix = materialize(ranked.where(F.col("k") <= F.col("shared") - F.ceil(F.col("n") * percent / 100) + 1).select("d1", "h"), "prefixes")
+    ends = prefix.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a < z").select("h", "a")
+    return components(prefix.join(ends, "h").select("a", F.col("d1").alias("b")).where("a != b"))
 
 
 class Index:
@@ -248,29 +318,24 @@ def _between(items, sizes, mine, others, k, inner, found, percent) -> None:
 
 
 def _link_rows(percent: int):
-    """Map over rows sorted by group: (node, root) of every member."""
+    """Map over rows (root, d1, text) sorted by root: (d1, root) of every member, root being one of the linked classes."""
 
     def run(batches):
-        shingler, group, ids, sets = Shingler(), None, [], []
+        shingler, group, names, sets = Shingler(), None, [], []
 
         def flush():
-            roots = link_group(sets, percent) if len(sets) > 1 else [0] * len(sets)
-            least: dict[int, int] = {}
-            for i, r in zip(ids, roots, strict=True):
-                least[r] = min(least.get(r, i), i)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least[r] for r in roots], pa.int64())], names=["node", "root"])
+            roots = link_group(sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[r] for r in roots], pa.int64())], names=["d1", "root"])
 
         for batch in batches:
-            for g, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for g, d, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if g != group:
-                    if ids:
+                    if names:
                         yield flush()
-                    group, ids, sets = g, [], []
-                s = shingler.hashes(text)
-                if len(s):
-                    ids.append(i)
-                    sets.append(s)
-        if ids:
+                    group, names, sets = g, [], []
+                names.append(d)
+                sets.append(shingler.hashes(text))
+        if names:
             yield flush()
 
     return run
@@ -280,43 +345,34 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``.
 
     Two documents link when 100 * |A & B| >= percent * |A | B|. Documents without text or words have
-    no shingles and are components of their own. Rows that share an id are one document to the links.
+    no shingles and are components of their own. Rows that share an id keep a component each.
     A null id has its count but a null component and no links. Extra columns are left out.
     """
     docs = docs.select("doc_id", "text")
-    told = materialize(shingle_table(docs, frequent_shingles(docs), percent), "shingles")
-    classes = (
-        told.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
-        .select("d1", "d2", "node", "prefix")
-    )
-    classes = materialize(classes, "classes")
-    postings = classes.select("node", F.explode("prefix").alias("h"))
-    shared = postings.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("h", "a")
-    edges = postings.join(shared, "h").select("a", F.col("node").alias("b")).where("a < b")
-    groups = materialize(components(edges), "groups")
-    texts = docs.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("root", "doc_id", "text")
-    small_batches(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = texts.repartition(parts, "root").sortWithinPartitions("root", "doc_id").mapInArrow(_link_rows(percent), "node long, root long")
-    links = materialize(near, "links")
-    # A node may hold several classes where ids repeat: its rows then are joined once more.
-    twice = links.groupBy("node").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    if twice.where("a < b").limit(1).count():
-        links = materialize(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
-    roots = classes.select("d1", "d2", "node").join(links.select("node", "root").distinct(), "node", "left")
-    roots = roots.select("d1", "d2", F.coalesce("root", "node").alias("component"))
-    out = told.join(roots, ["d1", "d2"], "left")
+    spark = docs.sparkSession
+    told = materialize(shingle_table(docs), "shingles")
+    possible = materialize(possible_classes(docs, told, percent), "possible")
+    met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id"), "doc_id").select("d1", "z")
+    texts = materialize(met.mapInArrow(_own_texts, "d1 long, n long, text string"), "texts")
+    groups = candidate_groups(texts, percent)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.join(groups.withColumnRenamed("node", "d1"), "d1").select("root", "d1", "text")
+    links = rows.repartition(parts, "root").sortWithinPartitions("root", "d1").mapInArrow(_link_rows(percent), "d1 long, root long").distinct()
+    links = materialize(links, "links")
+    discard(texts)
+    nodes = possible.join(links, "d1")
+    roots = nodes.groupBy("root").agg(F.min("node").alias("component"))
+    found = materialize(nodes.join(roots, "root").select("d1", "component"), "roots")
+    copies = told.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("first"))
+    classes = copies.join(found, "d1", "left").select("d1", F.coalesce("component", "first").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    result = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    return result
+    return told.join(classes, "d1", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays, the one with the smallest id, with its own columns.
 
-    Rows with a null id stay; of rows that share an id all stay if it is the smallest one.
+    Rows with a null id stay; an id goes if any of its rows is in the component of a smaller one.
     """
     found = jaccard_components(docs, percent).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
