@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_text, materialize, small_batches
+from .common import as_bytes, free_name, map_text, materialize, shrunk, small_batches, unzipped, zipped
 from .induced import SEPARATOR, repeated_starts
 
 WINDOW = 200
@@ -80,43 +80,17 @@ class Anchors:
         return s, np.append(s[1:], n_windows), np.concatenate(hashes).view(np.int64)
 
 
-def _bytes(text: str | None) -> bytes:
-    return text.encode() if text else b""
-
-
-def _zip(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unzip(packed: bytes) -> bytes:
-    return pa.decompress(memoryview(packed)[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _shrunk(docs: DataFrame, keep: list[str], name: str = "z") -> DataFrame:
-    """``keep`` and the compressed text: a text that must be shuffled costs half of what it else does."""
-
-    def make():
-        return lambda texts: [[_zip(_bytes(t)) for t in texts]]
-
-    return map_text(docs, make, [T.StructField(name, T.BinaryType())], keep=keep)
+def repeated_anchors(base: DataFrame, window: int) -> DataFrame:
+    """(h): anchors of at least two strips. A batch sends an anchor once, whatever the number of its copies."""
 
+    def count(batches):
+        find = Anchors(window)
+        for batch in batches:
+            found = [find.strips(as_bytes(t))[2] for t in batch.column(0).to_pylist()]
+            values, n = np.unique(np.concatenate([*found, np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(n, 2))], names=["h", "n"])
 
-def _repeated_anchors(batches):
-    """Rows (h, doc_id, mark) sorted by h, to those of which h occurs in two rows or more; holds one row back."""
-    last, last_sent = None, False
-    for batch in batches:
-        h = batch.column(0).to_numpy()
-        if not len(h):
-            continue
-        same = h[1:] == h[:-1]
-        begins = last is not None and h[0] == last[0][0].as_py()
-        sent = np.concatenate([[begins], same])
-        sent[:-1] |= same
-        if begins and not last_sent:
-            yield pa.RecordBatch.from_arrays(list(last), names=["h", "doc_id", "mark"])
-        last, last_sent = [c.slice(len(h) - 1, 1) for c in batch.columns], bool(sent[-1])
-        if sent.any():
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(sent)).columns, names=["h", "doc_id", "mark"])
+    return base.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def _cut_strips(window: int, buckets: int):
@@ -128,7 +102,7 @@ def _cut_strips(window: int, buckets: int):
             ids, marks = (batch.column(k).to_pylist() for k in range(2))
             found: dict[int, dict[tuple[int, bytes], list[int]]] = defaultdict(dict)
             for k, (i, mark) in enumerate(zip(ids, marks, strict=True)):
-                raw = _unzip(batch.column(2)[k].as_py())
+                raw = unzipped(batch.column(2)[k].as_py())
                 start, end, h = find.strips(raw)
                 hit = np.flatnonzero(np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False)))
                 null, i = int(i is None), i or 0
@@ -138,7 +112,7 @@ def _cut_strips(window: int, buckets: int):
             for bucket, strips in found.items():
                 head = np.array([(h, len(s), len(p) // 4) for (h, s), p in strips.items()], np.int64)
                 places = np.array([x for p in strips.values() for x in p], np.int64)
-                packed = (bucket, _zip(head.tobytes()), _zip(b"".join(s for _, s in strips)), _zip(places.tobytes()))
+                packed = (bucket, zipped(head.tobytes()), zipped(b"".join(s for _, s in strips)), zipped(places.tobytes()))
                 for c, v in zip(rows, packed, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -185,13 +159,13 @@ def _sort_shards(window: int):
         who, places = [], []
         for batch in batches:
             for head, body, own in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-                head = np.frombuffer(_unzip(head.as_py()), np.int64).reshape(-1, 3)
-                body, at, found = _unzip(body.as_py()), 0, []
+                head = np.frombuffer(unzipped(head.as_py()), np.int64).reshape(-1, 3)
+                body, at, found = unzipped(body.as_py()), 0, []
                 for h, n, _ in head.tolist():
                     found.append(number.setdefault((h, body[at : at + n]), len(number)))
                     at += n
                 who.append(np.repeat(np.array(found, np.int64), head[:, 2]))
-                places.append(np.frombuffer(_unzip(own.as_py()), np.int64).reshape(-1, 4))
+                places.append(np.frombuffer(unzipped(own.as_py()), np.int64).reshape(-1, 4))
         if not who:
             return
         owner, places = np.concatenate(who), np.concatenate(places)
@@ -239,13 +213,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def make():
         find = Anchors(window)
-        return lambda texts: [[find.strips(_bytes(t))[2] for t in texts]]
+        return lambda texts: [[find.strips(as_bytes(t))[2] for t in texts]]
 
     anchors = map_text(base, make, [T.StructField("anchors", T.ArrayType(T.LongType()))], keep=["doc_id", "mark"])
-    rows = anchors.select(F.explode("anchors").alias("h"), "doc_id", "mark").repartition(parts, "h").sortWithinPartitions("h")
-    again = rows.mapInArrow(_repeated_anchors, "h long, doc_id long, mark long")
+    # A plain join, not a sort by anchor in one map: Spark splits the partition of an anchor that is everywhere.
+    again = anchors.select(F.explode("anchors").alias("h"), "doc_id", "mark").join(repeated_anchors(base, window), "h")
     hit = again.groupBy("doc_id", "mark").agg(F.collect_set("h").alias("anchors")).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "anchors")
-    texts = _shrunk(base, ["doc_id", "mark"])
+    texts = shrunk(base, ["doc_id", "mark"])
     met = texts.join(hit, texts["doc_id"].eqNullSafe(hit["i"]) & (texts["mark"] == hit["m"])).select("doc_id", "mark", "z", "anchors")
     cut = met.mapInArrow(_cut_strips(window, parts), "bucket long, head binary, body binary, places binary")
     shards = cut.repartitionById(parts, F.col("bucket").cast("int")) if hasattr(cut, "repartitionById") else cut.repartition(parts, "bucket")
@@ -273,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, st
     found = found.select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.col("ranges").alias(r))
     others = [c for c in docs.columns if c != "text"]
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    small = _shrunk(marked, [*others, mark], z)
+    small = shrunk(marked, [*others, mark], z)
     joined = small.join(found, small["doc_id"].eqNullSafe(found[i]) & (small[mark] == found[m]), "left").select(*others, z, r)
     name = free_name(docs, "dedup")
     kind = T.StructType(
@@ -287,7 +261,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, st
         for batch in batches:
             out = []
             for packed, blobs in zip(batch.column(n), batch.column(n + 1).to_pylist(), strict=True):
-                raw, spans = _unzip(packed.as_py()), _spans(blobs)
+                raw, spans = unzipped(packed.as_py()), _spans(blobs)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(raw[at:a])
@@ -307,7 +281,7 @@ def repeats_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def brute_force(texts: list[str | None], window: int) -> list[tuple[int, int, int, str]]:
     """What the digest must hold, from a table of all windows; for tests."""
-    raw = [_bytes(t) for t in texts]
+    raw = [as_bytes(t) for t in texts]
     seen: dict[bytes, int] = defaultdict(int)
     for b in raw:
         for k in range(len(b) - window + 1):
