@@ -282,7 +282,7 @@ class Cli:
         spark, definitions, target = _session(config), self._definitions(config), replay.parse_target(plan.target)
         view, source = replay.view_for(definitions, target), replay.source_table(definitions, target)
         table = next(d for d in definitions if d.kind == "table" and (d.database, d.name) == target)
-        out = replay.Target(spark, os.path.join(config.warehouse, "replay", plan.target), table.spark_schema())
+        out = replay.Target(spark, os.path.join(os.path.abspath(config.warehouse), "replay", plan.target), table.spark_schema())
         left = {fail_chunk: fail_count}
         order = {c.id: k for k, c in enumerate(runstate.plan_chunks(plan))}
 

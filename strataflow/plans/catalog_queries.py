@@ -335,10 +335,10 @@ def granule_token_index(spark, d):
     return granules.token_sets(_granules(spark, d, "documents", "doc_id", 100), "text")
 
 
-@query("SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^A-Za-z0-9]+'), 'token')")
+@query("SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^A-Za-z0-9]+'), 'clown')")
 def granule_token_prune(spark, d):
     g = _granules(spark, d, "documents", "doc_id", 100)
-    return granules.prune_tokens(g, granules.token_sets(g, "text"), ["token"]).where(F.array_contains(granules.tokens("text"), "token")).select("doc_id")
+    return granules.prune_tokens(g, granules.token_sets(g, "text"), ["clown"]).where(F.array_contains(granules.tokens("text"), "clown")).select("doc_id")
 
 
 @query("""

@@ -22,11 +22,12 @@ ATTEMPTS, WAIT_S = 5, 0.15
 
 class Journal:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path if "://" in path else os.path.abspath(path)
 
     def read(self) -> DataFrame:
         """One row for each migration, the earliest if a retry wrote it twice, by name."""
-        if not os.path.isdir(self.path.removeprefix("file://")):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         return rows.groupBy("name").agg(F.min_by(F.struct("applied_at", "checksum", "version"), "applied_at").alias("r")).select("name", "r.*").orderBy("name")
