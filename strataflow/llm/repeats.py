@@ -216,8 +216,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return lambda texts: [[find.strips(as_bytes(t))[2] for t in texts]]
 
     anchors = map_text(base, make, [T.StructField("anchors", T.ArrayType(T.LongType()))], keep=["doc_id", "mark"])
-    # A plain join, not a sort by anchor in one map: Spark splits the partition of an anchor that is everywhere.
-    again = anchors.select(F.explode("anchors").alias("h"), "doc_id", "mark").join(repeated_anchors(base, window), "h")
+    # Stored first, so that the join has a shuffle on either side: only then can Spark split the partition of an
+    # anchor that is everywhere.
+    known = materialize(repeated_anchors(base, window), "anchors")
+    again = anchors.select(F.explode("anchors").alias("h"), "doc_id", "mark").join(known.hint("merge"), "h")
     hit = again.groupBy("doc_id", "mark").agg(F.collect_set("h").alias("anchors")).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "anchors")
     texts = shrunk(base, ["doc_id", "mark"])
     met = texts.join(hit, texts["doc_id"].eqNullSafe(hit["i"]) & (texts["mark"] == hit["m"])).select("doc_id", "mark", "z", "anchors")
