@@ -201,3 +201,25 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, words_per_pass:
         ]
     )
     return found.mapInArrow(digest, kind)
+
+
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, m, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)
+), x AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m FROM d, (SELECT DISTINCT m FROM p)), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)
+), h AS (SELECT x.doc_id, x.i, x.m, p.item FROM x JOIN p ON x.m = p.m AND x.g = p.g),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS s FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       coalesce(t.s, sha256('')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

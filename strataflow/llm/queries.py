@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import ORACLE as CONTAMINATION
 from .jaccard import ORACLE as JACCARD
 from .lines import ORACLE as LINES
 
@@ -96,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_three_line_windows": LINES, "op10_t_occurrence_jaccard": JACCARD}
+ORACLES: dict[str, str] = {"op5_wu_manber_decontamination": CONTAMINATION, "op9_three_line_windows": LINES, "op10_t_occurrence_jaccard": JACCARD}
