@@ -352,7 +352,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     told = materialize(shingle_table(docs), "shingles")
     possible = materialize(possible_classes(docs, told, percent), "possible")
-    met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id"), "doc_id").select("d1", "z")
+    met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("d1", "z")
     texts = materialize(met.mapInArrow(_own_texts, "d1 long, n long, text string"), "texts")
     groups = candidate_groups(texts, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
