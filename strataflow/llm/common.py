@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +53,23 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_strataflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="strataflow-code-"), "strataflow.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(path)
+    context._strataflow_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: whole texts are long, so batches must be short."""
+    """Before any map in Python: ship the code, and bound the rows of an Arrow batch, since whole texts are long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > MAX_ROWS_PER_BATCH:
         spark.conf.set(key, str(MAX_ROWS_PER_BATCH))
