@@ -489,10 +489,28 @@ def test_jaccard_equals_brute_force(spark, docs, texts):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
     assert got == plain_components(rows) and sum(i != c for i, (_, c) in got.items()) > 10
+    split = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame, group=3).collect()}
+    assert split == got  # groups dealt out to parts of three, leaders and clusters compared across them
     kept = jaccard.keep_one(frame)
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c} and kept.columns == frame.columns
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_of_a_chained_family_in_parts(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(60)]
+    rows, last = [], words
+    for k in range(80):  # each copy differs a little from some earlier one, so that clusters touch at their edges only
+        last = list(rng.choice(rows)[1].split(" ")) if rows else list(words)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            last[rng.randrange(len(last))] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(last)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows)
+    for group in (4, 1000):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame, group=group).collect()} == want
+
+
 def test_jaccard_odd(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd(spark, "h").withColumnRenamed("h", "n_shingles")).collect())
     assert got == [("1", 0, 1), ("2", 0, 2), ("3", 1, 3), ("3", 1, 3), ("4", 0, 4), ("None", 1, None)]
