@@ -58,6 +58,39 @@ def test_lm_background_counts_are_those_of_all_documents(spark, docs, texts):
     assert all((a == sum(e[k] for e in every)).all() for k, a in enumerate((word, history, bigram))) and word.sum() == sum(len(lm_score.words_of(t)) for t in texts.values())
 
 
+def test_lm_scores_equal_a_plain_computation(spark, docs, texts):
+    import math
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    good = lm_score.target_texts(docs, labels)
+    lists = lm_score.choose_lists(good)
+    known = set(lists.id)
+    of = lambda t: [w if w in known else None for w in lm_score.words_of(t)]
+    listed = {("<s>" if a == 0 else None if a == 1 else list(known_words)[a - 2], None if b == 1 else list(known_words)[b - 2]) for known_words in [sorted(lists.id, key=lists.id.get)] for a, b in ((int(c) // lists.size, int(c) % lists.size) for c in lists.bigrams)}
+
+    def model(every):
+        one, head, two = Counter(), Counter(), Counter()
+        for t in every:
+            w = of(t)
+            one.update(w)
+            pairs = list(zip(["<s>", *w[:-1]], w, strict=True)) if w else []
+            head.update(a for a, _ in pairs)
+            two.update(p for p in pairs if p in listed)
+        spent = Counter()
+        for (a, _), n in two.items():
+            spent[a] += (n - 0.75) / head[a]
+        uni = lambda w: (one[w] + 1) / (sum(one.values()) + len(known) + 1)
+        return lambda a, w: (max(two[a, w] - 0.75, 0) / head[a] if head[a] else 0) + max(1 - spent[a], 1e-12) * uni(w)
+
+    target, background = model(good), model(texts.values())
+    got = {r.doc_id: r for r in lm_score.lm_digest(docs, labels).collect()}
+    for i in list(texts)[:25]:
+        w = of(texts[i])
+        pairs = list(zip(["<s>", *w[:-1]], w, strict=True))
+        want = sum(math.log2(background(*p)) - math.log2(target(*p)) for p in pairs) / len(pairs)
+        assert abs(got[i].difference - want) < 1e-6 and got[i].n_tokens == len(pairs)
+
+
 def test_lm_odd_inputs(spark):
     labels = spark.createDataFrame([(3, 1, None), (3, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     frame = odd(spark, "lm")
