@@ -12,13 +12,16 @@
    enough occurrences are probed in the long lists by binary search, and those that reach the
    required overlap are links. Members are compared with leaders first; a leader's cluster is searched by
    members of another one only if the distance of the leaders allows a link between the two.
+   A group of more than ``GROUP`` classes is dealt out by hash first: parts are clustered each for itself, then
+   leaders of different parts are compared, and then the members of those pairs of clusters that may link.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -37,6 +40,8 @@ _CACHED_WORDS = 300_000
 _MIDDLE = np.uint64(1 << 63)
 #: Least number of hash buckets, whatever the number of partitions.
 BUCKETS = 64
+#: Classes that one task compares at a time.
+GROUP = 4000
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(N)], np.uint64)
 
@@ -102,13 +107,14 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
 
 def _half(buckets: int):
-    """Map over texts: for each batch and bucket one row of packed class names, counts and 48-bit hashes."""
+    """Map over texts: for each batch and bucket one row of packed class names, counts and 48-bit hashes; copies inside
+    of a batch are sent once."""
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
-            sets = [(_digest(s)[0], s[: np.searchsorted(s, _MIDDLE)]) for s in sets if len(s)]
+            found = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
+            sets = list({_digest(s)[0]: s[: np.searchsorted(s, _MIDDLE)] for s in found if len(s)}.items())
             if not sets:
                 continue
             names = np.array([d for d, _ in sets], np.int64)
@@ -167,8 +173,8 @@ def possible_classes(docs: DataFrame, told: DataFrame, percent: int) -> DataFram
         .groupBy("d1", "d2")
         .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.max("n_half").alias("n_half"), F.count("*").alias("copies"))
     )
-    # Copies of a class share all of its hashes among themselves; that only lets it pass to the next step.
-    unique = F.col("n_half") - F.least(F.coalesce("n_shared", F.lit(0)) / F.col("copies"), F.col("n_half"))
+    # A class with copies is sent by several batches, so that its own count says nothing: it passes to the next step.
+    unique = F.when(F.col("copies") > 1, 0).otherwise(F.col("n_half") - F.coalesce("n_shared", F.lit(0)))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100)
     return classes.join(shared, "d1", "left").where(unique <= allowed).select("d1", "node")
 
@@ -208,7 +214,9 @@ def candidate_groups(texts: DataFrame, percent: int) -> DataFrame:
     # Shingles that no other class has come first in the order and take n - shared places of the prefix.
     prefix = materialize(ranked.where(F.col("k") <= F.col("shared") - F.ceil(F.col("n") * percent / 100) + 1).select("d1", "h"), "prefixes")
     ends = prefix.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a < z").select("h", "a")
-    return components(prefix.join(ends, "h").select("a", F.col("d1").alias("b")).where("a != b"))
+    out = components(prefix.join(ends, "h").select("a", F.col("d1").alias("b")).where("a != b"))
+    discard(prefix)
+    return out
 
 
 class Index:
@@ -264,84 +272,215 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Component of each set among the sets of one candidate group (all non-empty)."""
-    sizes = [len(s) for s in sets]
-    order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
-    values, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = n[inverse] > 1  # what only one set has is never in common
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    items = [inverse[cuts[i] : cuts[i + 1]][shared[cuts[i] : cuts[i + 1]]].tolist() for i in range(len(sets))]
-    found, leaders, radius = Groups(len(sets)), Index(), {}
-    members: dict[int, list[int]] = {}
-    linked = lambda n, m, o: 100 * o >= percent * (n + m - o)
-    rank_of = {x: k for k, x in enumerate(order)}
-    for i in order:  # by size, so that every indexed set is at most as large
-        close = [(k, o) for k, o in leaders.search(items[i], least_overlap(sizes[i], percent)) if linked(sizes[i], leaders.size[k], o)]
-        for k, _ in close:
-            found.join(i, order[k])
-        if close:
-            k, o = max(close, key=lambda x: x[1])
-            members[k].append(i)
-            radius[k] = max(radius[k], 1 - o / (sizes[i] + leaders.size[k] - o))
-        else:
-            k = rank_of[i]
-            leaders.add(k, items[i], sizes[i])
-            members[k], radius[k] = [i], 0.0
-    wide = [k for k in members if radius[k] > 0]
-    reach, within = 1 - percent / 100, max(radius.values(), default=0.0)
-    inner: dict[int, Index] = {}
-    for k in wide:
-        i = order[k]
-        least = (1 - (radius[k] + within + reach)) - 1e-9
-        for other, o in leaders.search(items[i], max(1, int(np.ceil(least * sizes[i])))):
-            j = order[other]
-            if other == k or found.root(i) == found.root(j):
+class Clusters:
+    """The sets of one candidate group: their components, and for each its leader and the distance to it."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent, self.sizes = percent, [len(s) for s in sets]
+        _, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = n[inverse] > 1  # what only one set has is never in common
+        cuts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.items = [inverse[a:b][shared[a:b]].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # By size, so that every indexed set is at most as large as the one that searches.
+        self.order = sorted(range(len(sets)), key=lambda i: (self.sizes[i], i))
+        self.found = Groups(len(sets))
+        self.leaders, self.radius = Index(), {}
+        self.leader, self.distance = list(range(len(sets))), [0.0] * len(sets)
+
+    def linked(self, n: int, m: int, overlap: int) -> bool:
+        return 100 * overlap >= self.percent * (n + m - overlap)
+
+    def assign(self) -> None:
+        """Every set joins all leaders it links to and the cluster of the nearest, or leads one."""
+        for rank, i in enumerate(self.order):
+            n = self.sizes[i]
+            close = [(k, o) for k, o in self.leaders.search(self.items[i], least_overlap(n, self.percent)) if self.linked(n, self.leaders.size[k], o)]
+            for k, _ in close:
+                self.found.join(i, self.order[k])
+            if close:
+                k, o = max(close, key=lambda x: x[1])
+                self.leader[i], self.distance[i] = self.order[k], 1 - o / (n + self.leaders.size[k] - o)
+                self.radius[k] = max(self.radius[k], self.distance[i])
+            else:
+                self.leaders.add(rank, self.items[i], n)
+                self.radius[rank] = 0.0
+
+    def link_leaders(self) -> Iterator[tuple[int, int]]:
+        """Every set leads; yields links that join two components."""
+        for rank, i in enumerate(self.order):
+            for k, o in self.leaders.search(self.items[i], least_overlap(self.sizes[i], self.percent)):
+                j = self.order[k]
+                if self.found.root(i) != self.found.root(j) and self.linked(self.sizes[i], self.sizes[j], o):
+                    self.found.join(i, j)
+                    yield i, j
+            self.leaders.add(rank, self.items[i], self.sizes[i])
+
+    def near(self, radius: dict[int, float]) -> Iterator[tuple[int, int]]:
+        """Pairs of leaders in different components of which members may link: Jaccard distance is a metric, so that the
+        leaders of two linked members are at most the two radii and one link apart.
+
+        Only leaders outside of the largest component search: one side of every such pair is outside of it.
+        """
+        reach, widest = 1 - self.percent / 100, max(radius.values(), default=0.0)
+        counts = Counter(self.found.root(self.order[k]) for k in radius)
+        largest = max(counts, key=counts.get, default=None)
+        for k in radius:
+            i = self.order[k]
+            if self.found.root(i) == largest:
                 continue
-            if 1 - o / (sizes[i] + sizes[j] - o) > radius[k] + radius[other] + reach + 1e-9:
+            least = 1 - (radius[k] + widest + reach) - 1e-9
+            for other, o in self.leaders.search(self.items[i], max(1, int(np.ceil(least * self.sizes[i])))):
+                j = self.order[other]
+                if self.found.root(i) != self.found.root(j) and 1 - o / (self.sizes[i] + self.sizes[j] - o) <= radius[k] + radius[other] + reach + 1e-9:
+                    yield i, j
+
+    def finish(self) -> None:
+        """Links between members of clusters that are not joined yet."""
+        if max(self.radius.values(), default=0.0) == 0:
+            return
+        members: dict[int, list[int]] = {}
+        for i, x in enumerate(self.leader):
+            members.setdefault(x, []).append(i)
+        inner: dict[int, Index] = {}
+        for i, j in self.near(self.radius):
+            if self.found.root(i) == self.found.root(j):
                 continue
-            _between(items, sizes, members[k], members[other], k, inner, found, percent)
-    return [found.root(i) for i in range(len(sets))]
+            if i not in inner:
+                inner[i] = index_of(members[i], self.items, self.sizes)
+            if hit := first_link(inner[i], [(x, self.items[x], self.sizes[x]) for x in members[j]], self.percent):
+                self.found.join(*hit)
+
+    def roots(self) -> list[int]:
+        return [self.found.root(i) for i in range(len(self.sizes))]
+
+
+def index_of(numbers: list[int], items: list[list[int]], sizes: list[int]) -> Index:
+    out = Index()
+    for x in sorted(numbers):
+        out.add(x, items[x], sizes[x])
+    return out
+
 
+def first_link(index: Index, others: list[tuple[int, list[int], int]], percent: int) -> tuple[int, int] | None:
+    """Some (indexed, other) pair that links, if there is one."""
+    for j, items, n in others:
+        for i, o in index.search(items, least_overlap(n, percent)):
+            if 100 * o >= percent * (n + index.size[i] - o):
+                return i, j
+    return None
 
-def _between(items, sizes, mine, others, k, inner, found, percent) -> None:
-    """Search the members of one cluster with those of another, until a link joins the two."""
-    if k not in inner:
-        inner[k] = Index()
-        for number in sorted(mine):
-            inner[k].add(number, items[number], sizes[number])
-    for j in others:
-        for number, o in inner[k].search(items[j], least_overlap(sizes[j], percent)):
-            if 100 * o >= percent * (sizes[j] + sizes[number] - o):
-                found.join(number, j)
-                return
+
+def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+    """Component of each set among the sets of one candidate group (all non-empty)."""
+    c = Clusters(sets, percent)
+    c.assign()
+    c.finish()
+    return c.roots()
 
 
-def _link_rows(percent: int):
-    """Map over rows (root, d1, text) sorted by root: (d1, root) of every member, root being one of the linked classes."""
+def _by_group(work, names: list[str], width: int):
+    """Map over rows sorted by a group of ``width`` columns: ``work(group, shingler, rows)`` yields output rows as tuples."""
 
     def run(batches):
-        shingler, group, names, sets = Shingler(), None, [], []
+        shingler, group, rows = Shingler(), None, []
 
         def flush():
-            roots = link_group(sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[r] for r in roots], pa.int64())], names=["d1", "root"])
+            out = list(zip(*work(group, shingler, rows), strict=True)) or [()] * len(names)
+            kinds = [pa.float64() if n in ("distance", "radius") else pa.int64() for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for g, d, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if g != group:
-                    if names:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != group:
+                    if rows:
                         yield flush()
-                    group, names, sets = g, [], []
-                names.append(d)
-                sets.append(shingler.hashes(text))
-        if names:
+                    group, rows = row[:width], []
+                rows.append(row[width:])
+        if rows:
             yield flush()
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _cluster_part(percent: int):
+    def work(group, shingler, rows):
+        names = [r[0] for r in rows]
+        c = Clusters([shingler.hashes(r[1]) for r in rows], percent)
+        c.assign()
+        c.finish()
+        for i, root in enumerate(c.roots()):
+            yield group[0], group[1], names[i], names[root], names[c.leader[i]], c.distance[i]
+
+    return work
+
+
+def _compare_leaders(percent: int):
+    """Leaders of one group (part, leader, component, radius, text) to (a, b, linked): links that join components of
+    different parts, and then pairs of clusters that may still hold one."""
+
+    def work(group, shingler, rows):
+        c = Clusters([shingler.hashes(r[4]) for r in rows], percent)
+        first: dict[int, int] = {}
+        for i, r in enumerate(rows):
+            c.found.join(i, first.setdefault(r[2], i))
+        for i, j in c.link_leaders():
+            yield rows[i][1], rows[j][1], 1
+        seen = set()
+        for i, j in c.near({rank: rows[i][3] for rank, i in enumerate(c.order)}):
+            a, b = sorted((rows[i][1], rows[j][1]))
+            if rows[i][0] != rows[j][0] and (a, b) not in seen:
+                seen.add((a, b))
+                yield a, b, 0
+
+    return work
+
+
+def _compare_members(percent: int):
+    """Members of one pair of clusters (side, d1, text) to one link, if there is one."""
+
+    def work(group, shingler, rows):
+        c = Clusters([shingler.hashes(r[2]) for r in rows], percent)
+        side = lambda k: [i for i, r in enumerate(rows) if r[0] == k]
+        hit = first_link(index_of(side(0), c.items, c.sizes), [(i, c.items[i], c.sizes[i]) for i in side(1)], percent)
+        if hit:
+            yield rows[hit[0]][1], rows[hit[1]][1]
+
+    return work
+
+
+def class_links(texts: DataFrame, groups: DataFrame, percent: int, group: int) -> DataFrame:
+    """(d1, root) of the classes in candidate groups: the components of their links."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    sizes = materialize(sizes.select(F.col("root").alias("big"), F.ceil(F.col("n") / group).alias("n_parts")), "large-groups")
+    placed = groups.join(sizes, groups["root"] == sizes["big"], "left").select(
+        "root", F.when(F.col("n_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("n_parts"))).cast("long").alias("part"), F.col("node").alias("d1")
+    )
+    rows = placed.join(texts.select("d1", "text"), "d1").select("root", "part", "d1", "text")
+    dealt = rows.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "d1")
+    schema = "root long, part long, d1 long, component long, leader long, distance double"
+    own = materialize(dealt.mapInArrow(_by_group(_cluster_part(percent), [c.split()[0] for c in schema.split(", ")], 2), schema), "clusters")
+    local = own.select("d1", F.col("component").alias("root")).distinct()
+    if not sizes.limit(1).count():
+        return local
+    large = own.join(sizes, own["root"] == sizes["big"], "left_semi")
+    leaders = large.groupBy("root", "part", "leader").agg(F.min("component").alias("component"), F.max("distance").alias("radius"))
+    led = leaders.join(texts.select(F.col("d1").alias("leader"), "text"), "leader").select("root", "part", "leader", "component", "radius", "text")
+    compare = _by_group(_compare_leaders(percent), ["a", "b", "linked"], 1)
+    pairs = materialize(led.repartition(parts, "root").sortWithinPartitions("root", "part", "leader").mapInArrow(compare, "a long, b long, linked long"), "leader-pairs")
+    open_pairs = pairs.where("linked = 0")
+    members = large.select("leader", "d1")
+    sides = [open_pairs.join(members.withColumnRenamed("leader", c), c).select("a", "b", F.lit(k).alias("side"), "d1") for k, c in enumerate("ab")]
+    both = sides[0].unionByName(sides[1]).join(texts.select("d1", "text"), "d1").select("a", "b", "side", "d1", "text")
+    dealt = both.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "side", "d1")
+    met = dealt.mapInArrow(_by_group(_compare_members(percent), ["x", "y"], 2), "x long, y long")
+    edges = local.select(F.col("d1").alias("a"), F.col("root").alias("b")).unionByName(pairs.where("linked = 1").select("a", "b")).unionByName(met.toDF("a", "b"))
+    joined = components(edges).withColumnRenamed("node", "d1")
+    return joined.unionByName(local.where("d1 = root").join(joined.select("d1"), "d1", "left_anti"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``.
 
     Two documents link when 100 * |A & B| >= percent * |A | B|. Documents without text or words have
@@ -349,20 +488,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A null id has its count but a null component and no links. Extra columns are left out.
     """
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
     told = materialize(shingle_table(docs), "shingles")
     possible = materialize(possible_classes(docs, told, percent), "possible")
     met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("d1", "z")
     texts = materialize(met.mapInArrow(_own_texts, "d1 long, n long, text string"), "texts")
-    groups = candidate_groups(texts, percent)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.join(groups.withColumnRenamed("node", "d1"), "d1").select("root", "d1", "text")
-    links = rows.repartition(parts, "root").sortWithinPartitions("root", "d1").mapInArrow(_link_rows(percent), "d1 long, root long").distinct()
-    links = materialize(links, "links")
+    groups = materialize(candidate_groups(texts, percent), "groups")
+    links = materialize(class_links(texts, groups, percent, group), "links")
     discard(texts)
     nodes = possible.join(links, "d1")
     roots = nodes.groupBy("root").agg(F.min("node").alias("component"))
     found = materialize(nodes.join(roots, "root").select("d1", "component"), "roots")
+    for done in (possible, groups, links):
+        discard(done)
     copies = told.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("first"))
     classes = copies.join(found, "d1", "left").select("d1", F.coalesce("component", "first").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
