@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,7 +153,9 @@ def cutoffs(counted: DataFrame, labels: DataFrame, c: str, alpha: float, delta:
     )
     n_strata = max(1, rows.select("stratum").distinct().count())
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(pdf):
+        import pandas as pd  # here, since workers that only count need not hold it
+
         def histogram(fit: bool, quality: int) -> list[int]:
             part = pdf[(pdf.fit == fit) & (pdf.q == quality)]
             out = [0] * (GRID + 1)
