@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import free_name, map_text
 
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 ROW_SIZES = (4, 8, 16, 32, 64)
 _NONE = np.int64(1) << 40  # no pair starts here
 _ID_BITS = 20
