@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-ROUNDS = 4
+ROUNDS = 3
 MIN_COUNT = 6
 RULES_PER_ROUND = 4096
 _TABLE_BITS = 16
@@ -63,15 +63,24 @@ class Grammar:
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right"))
         s = self.sequence[first : last + 1]
         skip = start - (int(ends[first]) - int(self.lengths[s[0]]))
+        under, at = self._expansions()
+        width = self.lengths[s]
+        places = np.repeat(at[s] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        return under[places[skip : skip + stop - start]].astype(np.uint32)
+
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids under all symbols in one array, and where those of each symbol begin."""
         n = len(self.alphabet)
+        s = np.arange(len(self.lengths))
         while (deep := s >= n).any():
             width = deep + 1
             at = np.cumsum(width) - width
             out = np.empty(int(width.sum()), np.int64)
-            out[at] = np.where(deep, self.rules[np.where(deep, s - n, 0), 0] if len(self.rules) else s, s)
+            out[at[~deep]] = s[~deep]
+            out[at[deep]] = self.rules[s[deep] - n, 0]
             out[at[deep] + 1] = self.rules[s[deep] - n, 1]
             s = out
-        return self.alphabet[s[skip : skip + stop - start]].astype(np.uint32)
+        return self.alphabet[s], np.cumsum(self.lengths) - self.lengths
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> Grammar:
@@ -89,7 +98,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
     for _ in range(rounds):
         if len(s) < 2 * min_count or symbols >= 1 << 31:
             break
-        keys = s[:-1] << 32 | s[1:]
+        small = symbols + RULES_PER_ROUND <= 1 << 16
+        bits = 16 if small else 32
+        keys = s[:-1].astype(np.uint32) << 16 | s[1:].astype(np.uint32) if small else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:].astype(np.uint64)
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         counts = np.diff(edge)
@@ -103,8 +114,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         pairs = pairs[order]
         # A table of slots finds a pair's rank; of pairs that share a slot the most frequent one is in this round.
         slot = _slots(pairs)
-        table = np.full(1 << _TABLE_BITS, -1, np.int64)
-        table[slot[::-1]] = np.arange(len(pairs))[::-1]
+        table = np.full(1 << _TABLE_BITS, -1, np.int32)
+        table[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = table[_slots(keys)]
         found = rank >= 0
         found[found] = pairs[rank[found]] == keys[found]
@@ -118,7 +129,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         at = np.flatnonzero(chosen)
         at = at[np.concatenate([[True], np.diff(at) > 1])]
         used, fresh = np.unique(rank[at], return_inverse=True)
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
+        both = pairs[used].astype(np.int64)
+        rules.append(np.stack([both >> bits, both & ((1 << bits) - 1)], axis=1))
         s[at] = symbols + fresh
         symbols += len(used)
         keep = np.ones(len(s), bool)
@@ -129,4 +141,6 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
 
 def _slots(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        if keys.dtype == np.uint32:
+            return keys * np.uint32(0x9E3779B1) >> np.uint32(32 - _TABLE_BITS)
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)

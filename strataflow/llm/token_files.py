@@ -7,6 +7,8 @@ the rows, so that files are committed and read by Spark wherever the shared fold
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ from .repair import Grammar, compress
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 FILE_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<long>, grammar binary"
 
 
@@ -32,50 +34,105 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# A mark of sentence ends right behind a letter or digit is a token of its own to the splitting pattern.
+_TAIL = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
+_CHUNK = 2000
+
+
 class WordCache:
     """Library encodings of words between spaces and line ends, which no token of this kind of vocabulary spans.
 
-    Only for tokenizers that split at white space and normalize on either side of it alone; ``check`` says so.
+    Only for tokenizers that split at white space, lower-case, and end each word with a marked token;
+    ``check`` says so, and whole texts are encoded otherwise. Texts are lower-cased first where that cannot
+    change a token (composed text without letters of unusual lower case), and a new word that ends in sentence marks
+    is put together from its parts, so that fewer words are new. Words are kept in two generations of bounded size.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.tokenizer, self.cached = _tokenizer(path), cached
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = self.check()
 
     def check(self) -> bool:
-        probe = "Ab cd\nef  Gh. x\t'S 12\n\né ü"
+        probe = "Ab cd\nef  Gh. x\t'S 12\n\né Ü, end."
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = [i for w in probe.replace("\n", " ").split(" ") if w for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        return whole == parts
+        parts = [i for w in _prepared(probe) if w for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        return whole == parts and bool(self.ends.any())
+
+    def _learn(self, missing: set[str]) -> None:
+        """Plain words go in one text, cut again at the marked tokens; the others go one by one."""
+        new, old = self.new, self.old
+        parts: dict[str, tuple[str, str]] = {}
+        wanted: set[str] = set()
+        for w in missing:
+            found = old.get(w)
+            if found is not None:
+                new[w] = found
+            elif not w.isalpha() and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
+                parts[w] = m.groups()
+                wanted.update(x for x in m.groups() if x not in new)
+            else:
+                wanted.add(w)
+        plain, other = [], []
+        for w in wanted:
+            found = old.get(w)
+            if found is not None:
+                new[w] = found
+            else:
+                (plain if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) else other).append(w)
+        for at in range(0, len(plain), _CHUNK):
+            part = plain[at : at + _CHUNK]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                other += part
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            begin = 0
+            for w, end in zip(part, (cuts * size).tolist(), strict=True):
+                self.new[w] = raw[begin:end]
+                begin = end
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.new[w] = np.array(e.ids, self.kind).tobytes()
+        for w, (core, tail) in parts.items():
+            new[w] = new[core] + new[tail]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.kind) for t in texts]
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [_prepared(t) if t else [] for t in texts]
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for w in set().union(*split):
-            if w not in new:
-                found = old.get(w)
-                if found is None:
-                    missing.append(w)
-                else:
-                    new[w] = found
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            new[w] = np.array(e.ids, self.kind).tobytes()
+        new = self.new
+        missing = {w for words in split for w in words if w not in new}
+        if missing:
+            self._learn(missing)
         return [np.frombuffer(b"".join(map(new.__getitem__, words)), self.kind) for words in split]
 
 
+def _prepared(text: str) -> list[str]:
+    """Words between spaces and line ends."""
+    if unicodedata.is_normalized("NFC", text) and len(low := text.lower()) == len(text) and "Σ" not in text and "<|" not in text:
+        text = low
+    return text.replace("\n", " ").split(" ")
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> WordCache:
+    """One cache for all tasks of a worker process."""
+    return WordCache(path)
+
+
 def _write_blocks(path: str, end_id: int, block_ids: int):
     """Sorted (doc_id, text) to the blocks of the task's shard."""
 
     def run(batches):
-        cache, shard = WordCache(path), TaskContext.get().partitionId()
+        cache, shard = _words(path), TaskContext.get().partitionId()
         ids, held, counts, size, block, start = [], [], [], 0, 0, 0
 
         def flush():
