@@ -121,13 +121,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         found[found] = pairs[rank[found]] == keys[found]
         big = len(pairs)
         worth = np.where(found, big - rank, 0)  # larger: more frequent
-        left = np.concatenate([[0], worth[:-1]])
-        right = np.concatenate([worth[1:], [0]])
-        chosen = found & (worth > left) & (worth >= right)
+        chosen = _without_overlap(worth)
         if not chosen.any():
             break
         at = np.flatnonzero(chosen)
-        at = at[np.concatenate([[True], np.diff(at) > 1])]
         used, fresh = np.unique(rank[at], return_inverse=True)
         both = pairs[used].astype(np.int64)
         rules.append(np.stack([both >> bits, both & ((1 << bits) - 1)], axis=1))
@@ -139,6 +136,26 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
     return Grammar(alphabet, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), s)
 
 
+def _without_overlap(worth: np.ndarray, passes: int = 2) -> np.ndarray:
+    """Places to replace, none beside another: twice those worth more than their neighbours, then every other one left."""
+    worth = worth.astype(np.int32)
+    chosen = np.zeros(len(worth), bool)
+    for _ in range(passes):
+        best = worth > 0
+        best[1:] &= worth[1:] > worth[:-1]
+        best[:-1] &= worth[:-1] >= worth[1:]
+        chosen |= best
+        worth[best] = 0
+        worth[:-1][best[1:]] = 0
+        worth[1:][best[:-1]] = 0
+    left = np.flatnonzero(worth)
+    if len(left):
+        start = np.concatenate([[True], np.diff(left) > 1])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(left)), 0))
+        chosen[left[(np.arange(len(left)) - first) % 2 == 0]] = True
+    return chosen
+
+
 def _slots(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         if keys.dtype == np.uint32:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +25,7 @@ from .repair import Grammar, compress
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 FILE_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<long>, grammar binary"
 
 
@@ -34,9 +36,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-# A mark of sentence ends right behind a letter or digit is a token of its own to the splitting pattern.
-_TAIL = re.compile(r"(.*[^\W_])([.,;:!?]+)", re.S)
-_CHUNK = 2000
+# Marks right behind a letter or digit are a token of their own to the splitting pattern (apostrophes may not be).
+_TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.S)
+# The alphabet of byte-level models: printable Latin-1 stands for itself, the other bytes for characters from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SYMBOLS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordCache:
@@ -44,70 +48,71 @@ class WordCache:
 
     Only for tokenizers that split at white space, lower-case, and end each word with a marked token;
     ``check`` says so, and whole texts are encoded otherwise. Texts are lower-cased first where that cannot
-    change a token (composed text without letters of unusual lower case), and a new word that ends in sentence marks
-    is put together from its parts, so that fewer words are new. Words are kept in two generations of bounded size.
+    change a token (composed text without letters of unusual lower case), and a new word that ends in marks
+    is put together from its parts, so that fewer words are new. Words are kept in two generations of bounded size; those
+    that come up again after a change of generation stay from then on, up to the same bound. Plain words go to the library's
+    model at once, as normalizing and splitting leave them as they are.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.tokenizer, self.cached = _tokenizer(path), cached
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = self.check()
 
     def check(self) -> bool:
         probe = "Ab cd\nef  Gh. x\t'S 12\n\né Ü, end."
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         parts = [i for w in _prepared(probe) if w for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        return whole == parts and bool(self.ends.any())
+        plain = ("theaheble", "zqx", "étéß", "straße", "中文")
+        direct = [[t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_SYMBOLS))] for w in plain]
+        self.by_model = direct == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain]
+        return whole == parts
 
     def _learn(self, missing: set[str]) -> None:
-        """Plain words go in one text, cut again at the marked tokens; the others go one by one."""
-        new, old = self.new, self.old
-        parts: dict[str, tuple[str, str]] = {}
-        wanted: set[str] = set()
+        """Plain words go to the model in its alphabet of bytes, all others through the whole tokenizer."""
+        new, old, hot, room = self.new, self.old, self.hot, self.cached
+        parts: list[tuple[str, str, str]] = []
+        wanted = set()
         for w in missing:
             found = old.get(w)
             if found is not None:
                 new[w] = found
-            elif not w.isalpha() and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
-                parts[w] = m.groups()
-                wanted.update(x for x in m.groups() if x not in new)
+                if len(hot) < room:
+                    hot[w] = found
+            elif not w.isalpha() and "<|" not in w and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
+                parts.append((w, m[1], m[2]))
+                wanted.add(m[1])
+                wanted.add(m[2])
             else:
                 wanted.add(w)
-        plain, other = [], []
+        tokenize, other = self.tokenizer.model.tokenize, []
+        kind = "H" if self.kind is np.uint16 else "I"
         for w in wanted:
+            if w in new:
+                continue
             found = old.get(w)
             if found is not None:
                 new[w] = found
+            elif self.by_model and w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w):
+                symbols = w if w.isascii() else w.encode().decode("latin-1").translate(_SYMBOLS)
+                new[w] = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
             else:
-                (plain if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w) else other).append(w)
-        for at in range(0, len(plain), _CHUNK):
-            part = plain[at : at + _CHUNK]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                other += part
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            begin = 0
-            for w, end in zip(part, (cuts * size).tolist(), strict=True):
-                self.new[w] = raw[begin:end]
-                begin = end
+                other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.new[w] = np.array(e.ids, self.kind).tobytes()
-        for w, (core, tail) in parts.items():
+        for w, core, tail in parts:
             new[w] = new[core] + new[tail]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.kind) for t in texts]
         split = [_prepared(t) if t else [] for t in texts]
-        if len(self.new) > self.cached:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.cached + len(self.hot):
+            self.old, self.new = self.new, dict(self.hot)
         new = self.new
         missing = {w for words in split for w in words if w not in new}
         if missing:
@@ -168,16 +173,15 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, block_id
     return materialize(rows.mapInArrow(_write_blocks(path, end_id, block_ids), FILE_SCHEMA), "token-files")
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, ids): decoded documents with the number of ids in all documents before each.
-
-    Only one total for each shard goes to the driver.
-    """
+def _read(files: DataFrame, columns: Callable[[list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
+    """(doc_id, start, ...): what ``columns`` makes of the little-endian ids of each document. Only one total for
+    each shard goes to the driver."""
     totals = {r.shard: r.n for r in files.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
     before, at = {}, 0
     for shard in sorted(totals):
         before[shard] = at
         at += totals[shard]
+    names = ["doc_id", "start", *(part.split()[0] for part in schema.split(","))]
 
     def run(batches):
         for batch in batches:
@@ -185,12 +189,16 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 ids = Grammar.loads(row["grammar"]).decode()
                 ends = np.cumsum(row["counts"])
                 starts = ends - np.array(row["counts"]) + row["start"] + before[row["shard"]]
-                parts = [x.tobytes() for x in np.split(ids.astype("<u4"), ends[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "start", "ids"]
-                )
+                raw, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+                parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), *columns(parts)], names=names)
 
-    return files.mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.mapInArrow(run, f"doc_id long, start long, {schema}")
+
+
+def read_token_files(files: DataFrame) -> DataFrame:
+    """(doc_id, start, ids): decoded documents with the number of ids in all documents before each."""
+    return _read(files, lambda parts: [pa.array(parts, pa.binary())], "ids binary")
 
 
 def read_range(files: DataFrame, shard: int, block: int, start: int, stop: int) -> list[int]:
@@ -201,13 +209,5 @@ def read_range(files: DataFrame, shard: int, block: int, start: int, stop: int)
 
 def token_files_digest(docs: DataFrame, path: str) -> DataFrame:
     """What the files hold for each document: start, n_tokens, ids_crc32."""
-
-    def digest(batches):
-        for batch in batches:
-            parts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read_token_files(write_token_files(docs, path)).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    make = lambda parts: [pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+    return _read(write_token_files(docs, path), make, "n_tokens long, ids_crc32 long")
