@@ -18,12 +18,8 @@ _TABLE_BITS = 16
 class Grammar:
     """``alphabet``: ids of the terminals; ``rules``: (left, right) of each nonterminal; ``lengths``: ids under each symbol."""
 
-    def __init__(self, alphabet: np.ndarray, rules: np.ndarray, sequence: np.ndarray):
-        self.alphabet, self.rules, self.sequence = alphabet, rules, sequence
-        lengths = np.ones(len(alphabet) + len(rules), np.int64)
-        for k, (a, b) in enumerate(rules.tolist(), len(alphabet)):
-            lengths[k] = lengths[a] + lengths[b]
-        self.lengths = lengths
+    def __init__(self, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray):
+        self.alphabet, self.rules, self.lengths, self.sequence = alphabet, rules, lengths, sequence
 
     def dumps(self) -> bytes:
         wide = 2 if len(self.lengths) <= 1 << 16 else 4
@@ -94,7 +90,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         alphabet, s = np.unique(ids, return_inverse=True)
         s = s.astype(np.int64)
     rules: list[np.ndarray] = []
-    symbols = len(alphabet)
+    symbols, lengths = len(alphabet), np.ones(len(alphabet), np.int64)
     for _ in range(rounds):
         if len(s) < 2 * min_count or symbols >= 1 << 31:
             break
@@ -117,40 +113,45 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         table = np.full(1 << _TABLE_BITS, -1, np.int32)
         table[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = table[_slots(keys)]
-        found = rank >= 0
-        found[found] = pairs[rank[found]] == keys[found]
-        big = len(pairs)
-        worth = np.where(found, big - rank, 0)  # larger: more frequent
-        chosen = _without_overlap(worth)
-        if not chosen.any():
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at]
+        same = pairs[rank] == keys[at]
+        at, rank = at[same], rank[same]
+        if not len(at):
             break
-        at = np.flatnonzero(chosen)
-        used, fresh = np.unique(rank[at], return_inverse=True)
+        chosen = _without_overlap(at, len(pairs) - rank)
+        at, rank = at[chosen], rank[chosen]
+        used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)))
+        number = np.zeros(len(pairs), np.int64)
+        number[used] = np.arange(len(used))
         both = pairs[used].astype(np.int64)
         rules.append(np.stack([both >> bits, both & ((1 << bits) - 1)], axis=1))
-        s[at] = symbols + fresh
+        lengths = np.concatenate([lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]])
+        s[at] = symbols + number[rank]
         symbols += len(used)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-    return Grammar(alphabet, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), s)
+    return Grammar(alphabet, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), lengths, s)
 
 
-def _without_overlap(worth: np.ndarray, passes: int = 2) -> np.ndarray:
-    """Places to replace, none beside another: twice those worth more than their neighbours, then every other one left."""
+def _without_overlap(at: np.ndarray, worth: np.ndarray, passes: int = 2) -> np.ndarray:
+    """Which of the places ``at`` (ascending) to replace, none right beside another: twice those worth more than their
+    neighbours, then every other one of what is left."""
+    beside = np.diff(at) == 1
     worth = worth.astype(np.int32)
-    chosen = np.zeros(len(worth), bool)
+    chosen = np.zeros(len(at), bool)
     for _ in range(passes):
         best = worth > 0
-        best[1:] &= worth[1:] > worth[:-1]
-        best[:-1] &= worth[:-1] >= worth[1:]
+        best[1:] &= ~beside | (worth[1:] > worth[:-1])
+        best[:-1] &= ~beside | (worth[:-1] >= worth[1:])
         chosen |= best
         worth[best] = 0
-        worth[:-1][best[1:]] = 0
-        worth[1:][best[:-1]] = 0
+        worth[:-1][best[1:] & beside] = 0
+        worth[1:][best[:-1] & beside] = 0
     left = np.flatnonzero(worth)
     if len(left):
-        start = np.concatenate([[True], np.diff(left) > 1])
+        start = np.concatenate([[True], np.diff(at[left]) > 1])
         first = np.maximum.accumulate(np.where(start, np.arange(len(left)), 0))
         chosen[left[(np.arange(len(left)) - first) % 2 == 0]] = True
     return chosen

@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .repair import Grammar, compress
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 FILE_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<long>, grammar binary"
 
 
@@ -49,16 +50,14 @@ class WordCache:
     Only for tokenizers that split at white space, lower-case, and end each word with a marked token;
     ``check`` says so, and whole texts are encoded otherwise. Texts are lower-cased first where that cannot
     change a token (composed text without letters of unusual lower case), and a new word that ends in marks
-    is put together from its parts, so that fewer words are new. Words are kept in two generations of bounded size; those
-    that come up again after a change of generation stay from then on, up to the same bound. Plain words go to the library's
+    is put together from its parts, so that fewer words are new. The number of words kept is bounded; the oldest
+    quarter goes when it is reached. Plain words go to the library's
     model at once, as normalizing and splitting leave them as they are.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self.tokenizer, self.cached = _tokenizer(path), cached
         self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.by_word = self.check()
@@ -74,31 +73,27 @@ class WordCache:
 
     def _learn(self, missing: set[str]) -> None:
         """Plain words go to the model in its alphabet of bytes, all others through the whole tokenizer."""
-        new, old, hot, room = self.new, self.old, self.hot, self.cached
+        new = self.new
         parts: list[tuple[str, str, str]] = []
         wanted = set()
         for w in missing:
-            found = old.get(w)
-            if found is not None:
-                new[w] = found
-                if len(hot) < room:
-                    hot[w] = found
-            elif not w.isalpha() and "<|" not in w and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
+            if not w.isalpha() and "<|" not in w and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
                 parts.append((w, m[1], m[2]))
                 wanted.add(m[1])
                 wanted.add(m[2])
             else:
                 wanted.add(w)
-        tokenize, other = self.tokenizer.model.tokenize, []
+        tokenize, by_model, other = self.tokenizer.model.tokenize, self.by_model, []
         kind = "H" if self.kind is np.uint16 else "I"
         for w in wanted:
             if w in new:
                 continue
-            found = old.get(w)
-            if found is not None:
-                new[w] = found
-            elif self.by_model and w.isalpha() and w.islower() and unicodedata.is_normalized("NFC", w):
-                symbols = w if w.isascii() else w.encode().decode("latin-1").translate(_SYMBOLS)
+            if not (by_model and w.isalpha() and w.islower()):
+                other.append(w)
+            elif w.isascii():
+                new[w] = array(kind, [t.id for t in tokenize(w)]).tobytes()
+            elif unicodedata.is_normalized("NFC", w):
+                symbols = w.encode().decode("latin-1").translate(_SYMBOLS)
                 new[w] = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
             else:
                 other.append(w)
@@ -111,9 +106,10 @@ class WordCache:
         if not self.by_word:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.kind) for t in texts]
         split = [_prepared(t) if t else [] for t in texts]
-        if len(self.new) > self.cached + len(self.hot):
-            self.old, self.new = self.new, dict(self.hot)
         new = self.new
+        if len(new) > self.cached:
+            for w in list(islice(new, self.cached // 4)):
+                del new[w]
         missing = {w for words in split for w in words if w not in new}
         if missing:
             self._learn(missing)
@@ -150,7 +146,7 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
             for at in range(0, len(texts), 100):
                 for i, found in zip(names[at : at + 100], cache.encode_many(texts[at : at + 100]), strict=True):
                     ids.append(i)
-                    held.append(np.append(found, np.array([end_id], found.dtype)))
+                    held += (found, np.array([end_id], found.dtype))
                     counts.append(len(found) + 1)
                     size += len(found) + 1
                     if size >= block_ids:
