@@ -26,7 +26,7 @@ from .repair import Grammar, compress
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 FILE_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<long>, grammar binary"
 
 
@@ -71,7 +71,7 @@ class WordCache:
         self.by_model = direct == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain]
         return whole == parts
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         """Plain words go to the model in its alphabet of bytes, all others through the whole tokenizer."""
         new = self.new
         parts: list[tuple[str, str, str]] = []
@@ -110,7 +110,7 @@ class WordCache:
         if len(new) > self.cached:
             for w in list(islice(new, self.cached // 4)):
                 del new[w]
-        missing = {w for words in split for w in words if w not in new}
+        missing = [w for w in set().union(*split) if w not in new]
         if missing:
             self._learn(missing)
         return [np.frombuffer(b"".join(map(new.__getitem__, words)), self.kind) for words in split]
@@ -143,8 +143,8 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 100):
-                for i, found in zip(names[at : at + 100], cache.encode_many(texts[at : at + 100]), strict=True):
+            for at in range(0, len(texts), 250):
+                for i, found in zip(names[at : at + 250], cache.encode_many(texts[at : at + 250]), strict=True):
                     ids.append(i)
                     held += (found, np.array([end_id], found.dtype))
                     counts.append(len(found) + 1)
