@@ -18,10 +18,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_text
+from .common import as_bytes, free_name, map_text
 
 CACHED_PIECES = 100_000
 ROW_SIZES = (4, 8, 16, 32, 64)
@@ -295,8 +294,18 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Documents with ids, and the text decoded from them compared with what went in."""
-    coded = encode_documents(docs, path, pattern, "token_ids")
-    name = coded.columns[-1]
-    back = decode_documents(coded, path, pattern, ids=name)
-    return back.withColumn("intact", F.col(back.columns[-1]) == F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))
+    """``docs`` plus the array column ``token_ids`` and the boolean ``intact``, each under a free name: whether the ids decode to
+    the bytes that went in. Both are made in one map, so that a task needs one Python worker."""
+    fields = [T.StructField(free_name(docs, "token_ids"), T.ArrayType(T.IntegerType())), T.StructField(free_name(docs, "intact"), T.BooleanType())]
+
+    def make():
+        table = ranks(path, pattern)
+        encoder = Encoder(table)
+
+        def work(texts):
+            ids = encoder.encode_many(texts)
+            return [ids, [decode(table, i) == as_bytes(t) for i, t in zip(ids, texts, strict=True)]]
+
+        return work
+
+    return map_text(docs, make, fields)
