@@ -44,8 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     coded = roundtrip(docs, path, public_tokenizers.PATTERN)
-    ids = coded.columns[len(docs.columns)]
-    return coded.select(*docs.columns, F.col(ids).alias("token_ids"), F.size(ids).cast("long").alias("n_tokens"), "intact")
+    ids, intact = coded.columns[len(docs.columns) :]
+    return coded.select(*docs.columns, F.col(ids).alias("token_ids"), F.size(ids).cast("long").alias("n_tokens"), F.col(intact).alias("intact"))
 
 
 STAGES = [
