@@ -501,7 +501,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     for done in (possible, groups, links):
         discard(done)
     copies = told.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("first"))
-    classes = copies.join(found, "d1", "left").select("d1", F.coalesce("component", "first").alias("component"))
+    # Stored, so that the last join has a shuffle on either side and Spark can split the partition of a class of many copies.
+    classes = materialize(copies.join(found, "d1", "left").select("d1", F.coalesce("component", "first").alias("component")), "components").hint("merge")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return told.join(classes, "d1", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
