@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ def test_plan_and_run_rules(tmp_path):
     with pytest.raises(runstate.StateError):
         runstate.execute_run(store, plan.id, lambda c: 0, options, resume=True)
     calls = []
-    assert runstate.execute_run(store, plan.id, lambda c: calls.append(c) or 1, options, stop=lambda: len(calls) >= 2).status == "paused"
+    one_by_one = replace(options, max_parallel=1)  # so that the stop is seen after two chunks, whatever the timing
+    assert runstate.execute_run(store, plan.id, lambda c: calls.append(c) or 1, one_by_one, stop=lambda: len(calls) >= 2).status == "paused"
     with pytest.raises(runstate.StateError):
         runstate.execute_run(store, plan.id, lambda c: 1, runstate.Options(max_attempts=2))
     other = runstate.make_plan(store, "a.t", "2026-01-01", "2026-01-03", "ts", "table", options)
