@@ -20,9 +20,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import lm_digest
+    from .lm_corpus import corpus_digest
 
-    return lm_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return corpus_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
