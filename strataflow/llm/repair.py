@@ -1,16 +1,19 @@
 """Re-Pair grammar compression of token ids, in numpy rounds.
 
 A round counts all pairs of a block, gives every frequent one a nonterminal and replaces its occurrences; where
-occurrences overlap, the more frequent pair wins and the other waits for a later round. A block stores its
-alphabet, the rules, and the expansion length of every symbol, so that any range of ids can be decoded alone.
+occurrences overlap, the more frequent pair wins and the other waits for a later round. Rounds go on until no pair
+is frequent: each replaces the most frequent one at least. A pair of old symbols can only grow rarer, so after the
+first round only places of pairs that were frequent or hold a new symbol are counted. A block stores its alphabet, the rules, and the expansion length of every symbol, so that any range of ids can be decoded alone.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 
-ROUNDS = 3
 MIN_COUNT = 6
+#: Pairs replaced at once, the most frequent first; the others are in later rounds.
 RULES_PER_ROUND = 4096
 _TABLE_BITS = 16
 
@@ -59,15 +62,20 @@ class Grammar:
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop - 1, "right"))
         s = self.sequence[first : last + 1]
         skip = start - (int(ends[first]) - int(self.lengths[s[0]]))
-        under, at = self._expansions()
         width = self.lengths[s]
+        if self.lengths.sum() > 4 * width.sum():  # a short range, or long symbols many of which hold each other
+            return self.alphabet[self._expand(s)][skip : skip + stop - start].astype(np.uint32)
+        under, at = self._expansions()
         places = np.repeat(at[s] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
         return under[places[skip : skip + stop - start]].astype(np.uint32)
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids under all symbols in one array, and where those of each symbol begin."""
+        return self.alphabet[self._expand(np.arange(len(self.lengths)))], np.cumsum(self.lengths) - self.lengths
+
+    def _expand(self, s: np.ndarray) -> np.ndarray:
+        """Places in the alphabet of the ids under some symbols, one after the other."""
         n = len(self.alphabet)
-        s = np.arange(len(self.lengths))
         while (deep := s >= n).any():
             width = deep + 1
             at = np.cumsum(width) - width
@@ -76,11 +84,11 @@ class Grammar:
             out[at[deep]] = self.rules[s[deep] - n, 0]
             out[at[deep] + 1] = self.rules[s[deep] - n, 1]
             s = out
-        return self.alphabet[s], np.cumsum(self.lengths) - self.lengths
+        return s
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> Grammar:
-    """The grammar of one block of ids (of any values up to 2**32 - 1)."""
+def compress(ids: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> Grammar:
+    """The grammar of one block of ids (of any values up to 2**32 - 1), complete unless ``rounds`` bounds it."""
     if len(ids) and int(ids.max()) < 1 << 20:
         alphabet = np.flatnonzero(np.bincount(ids))
         place = np.zeros(int(alphabet[-1]) + 1, np.int64)
@@ -91,18 +99,22 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         s = s.astype(np.int64)
     rules: list[np.ndarray] = []
     symbols, lengths = len(alphabet), np.ones(len(alphabet), np.int64)
-    for _ in range(rounds):
-        if len(s) < 2 * min_count or symbols >= 1 << 31:
+    place = np.arange(max(len(s) - 1, 0))
+    for _ in count() if rounds is None else range(rounds):
+        if not len(place) or symbols >= 1 << 31:
             break
         small = symbols + RULES_PER_ROUND <= 1 << 16
         bits = 16 if small else 32
-        keys = s[:-1].astype(np.uint32) << 16 | s[1:].astype(np.uint32) if small else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:].astype(np.uint64)
+        left, right = s[place], s[place + 1]
+        keys = left.astype(np.uint32) << 16 | right.astype(np.uint32) if small else left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         counts = np.diff(edge)
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
+        waits = np.zeros(1 << _TABLE_BITS, bool)
+        waits[_slots(ordered[edge[often]])] = True
         if len(often) > RULES_PER_ROUND:
             often = often[np.argsort(-counts[often], kind="stable")[:RULES_PER_ROUND]]
         pairs, counts = ordered[edge[often]], counts[often]
@@ -112,13 +124,14 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         slot = _slots(pairs)
         table = np.full(1 << _TABLE_BITS, -1, np.int32)
         table[slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rank = table[_slots(keys)]
+        slot = _slots(keys)
+        again = np.zeros(len(s), bool)
+        again[place] = waits[slot]
+        rank = table[slot]
         at = np.flatnonzero(rank >= 0)
         rank = rank[at]
         same = pairs[rank] == keys[at]
-        at, rank = at[same], rank[same]
-        if not len(at):
-            break
+        at, rank = place[at[same]], rank[same]
         chosen = _without_overlap(at, len(pairs) - rank)
         at, rank = at[chosen], rank[chosen]
         used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)))
@@ -129,9 +142,11 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT)
         lengths = np.concatenate([lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]])
         s[at] = symbols + number[rank]
         symbols += len(used)
+        again[at] = again[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        place = np.flatnonzero(again[keep][:-1])
     return Grammar(alphabet, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), lengths, s)
 
 

@@ -2,10 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.llm import lm_corpus, lm_score
+from strataflow.llm import lm_corpus, lm_score, repair
 
 ODD = [(1, None, "x"), (2, "", "y"), (3, "one two", "y"), (3, "one two", "y"), (None, "one two", None), (4, "  \n \t", "z")]
 
@@ -71,3 +72,17 @@ def test_corpus_digest_odd_inputs(spark):
         assert len(rows) == 6 and all((r.difference is None) == (r.n_tokens == 0) for r in rows)
     assert lm_corpus.corpus_digest(frame.limit(0), labels).count() == 0
     assert lm_corpus.corpus_digest(frame.where("doc_id < 3"), labels).count() == 2
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 5000, 900)
+    for ids in (np.tile(passage, 60), np.zeros(20_000, np.int64), rng.zipf(1.3, 60_000) % 3000, rng.integers(0, 40, 60_000), np.zeros(11, np.int64), np.tile([7, 8], 6), np.tile(passage, 60) * 100_000):
+        g = repair.Grammar.loads(repair.compress(ids).dumps())
+        assert (g.decode() == ids).all() and (g.decode(5, len(ids) - 1) == ids[5:-1]).all() and (g.decode(3, 9) == ids[3:9]).all()
+        s = g.sequence
+        assert not len(s) > 1 or np.unique(s[:-1] << 32 | s[1:], return_counts=True)[1].max() < repair.MIN_COUNT
+    assert len(repair.compress(np.tile(passage, 60)).sequence) < 200
