@@ -3,7 +3,7 @@
 1. quality: documents that the base rules or the risk-controlled cutoffs reject go.
 2. line_dedup: lines covered by later occurrences of a three-line window go; every document keeps its row.
 3. near_duplicates: of each component of 5-word shingle sets of similarity 0.8 or more the smallest doc_id stays.
-4. decontamination: documents that hold a benchmark window go.
+4. decontamination: documents that hold a benchmark window go, whether or not its item has an id.
 5. bpe: token ids of each text, with the check that decoding gives back its bytes.
 """
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), without_id=True)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

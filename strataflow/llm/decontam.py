@@ -77,7 +77,9 @@ class Matcher:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             m = min(WINDOW, len(ids))
             for at in range(len(ids) - m + 1 if ids else 0):
-                by_length[m][tuple(ids[at : at + m])].add(str(item))
+                owners = by_length[m][tuple(ids[at : at + m])]
+                if item is not None:
+                    owners.add(str(item))
         base = len(self.vocabulary) + 1
         self.parts = [WuManber(patterns, m, base) for m, patterns in sorted(by_length.items())]
 
@@ -114,20 +116,21 @@ _FOUND = T.StructType(
 )
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str, words_per_pass: int = WORDS_PER_PASS, keep: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, name: str, words_per_pass: int = WORDS_PER_PASS, keep: list[str] | None = None, without_id: bool = False) -> DataFrame:
     """``docs`` plus the struct ``name``: n_words, merged hit runs and the items found.
 
     The benchmark's size is checked first. Up to ``words_per_pass`` its items go to every task; a
-    larger one is split by a hash of the item id and its parts are searched one after the other,
-    each adding to the columns of the pass before. Items without id or words have no windows;
-    repeated items count once; null texts have no words.
+    larger one is split by a hash of id and text and its parts are searched one after the other,
+    each adding to the columns of the pass before. Items without words have no windows, nor have those
+    without id unless ``without_id``: their windows give runs, and no item. Repeated items count once; null texts
+    have no words.
     """
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.where("text is not null" if without_id else "item_id is not null and text is not null").select("item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-int(chars) // (4 * words_per_pass)) or 1
     spark, frame, stored = docs.sparkSession, docs, None
     for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
 
         def make(sent=sent):
@@ -165,10 +168,10 @@ def n_hit(runs: list[int]) -> int:
     return sum(b - a for a, b in merged(list(zip(runs[::2], runs[1::2], strict=True))))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words_per_pass: int = WORDS_PER_PASS, without_id: bool = False) -> DataFrame:
+    """The documents without any benchmark window, with their own columns; those of items without id count if asked for."""
     name = free_name(docs, "contamination")
-    return find_contamination(docs, benchmark, name).where(F.size(f"{name}.runs") == 0).select(*docs.columns)
+    return find_contamination(docs, benchmark, name, words_per_pass, without_id=without_id).where(F.size(f"{name}.runs") == 0).select(*docs.columns)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.llm import lm_corpus, lm_score, repair
+from strataflow.llm import decontam, lm_corpus, lm_score, repair
 
 ODD = [(1, None, "x"), (2, "", "y"), (3, "one two", "y"), (3, "one two", "y"), (None, "one two", None), (4, "  \n \t", "z")]
 
@@ -86,3 +87,16 @@ def test_grammar_leaves_no_frequent_pair():
         s = g.sequence
         assert not len(s) > 1 or np.unique(s[:-1] << 32 | s[1:], return_counts=True)[1].max() < repair.MIN_COUNT
     assert len(repair.compress(np.tile(passage, 60)).sequence) < 200
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_drops_passages_of_items_without_id(spark, tmp_path):
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "delta epsilon"), (1, "zeta eta")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = spark.createDataFrame([(1, "x alpha beta gamma y"), (2, "delta epsilon"), (3, "a zeta eta"), (4, "clean text"), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, rows, str(tmp_path)).collect()) == [4, 5]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(rows, items, 3, without_id=True).collect()) == [4, 5]
+    found = decontam.find_contamination(rows, items, "found", without_id=True).select("doc_id", "found.items").collect()
+    assert {r.doc_id: r["items"] for r in found} == {1: [], 2: [], 3: ["1"], 4: [], 5: []}
