@@ -2,7 +2,7 @@
 
 1. quality: documents that the base rules or the risk-controlled cutoffs reject go.
 2. line_dedup: lines covered by later occurrences of a three-line window go; every document keeps its row.
-3. near_duplicates: of each component of 5-word shingle sets of similarity 0.8 or more the smallest doc_id stays.
+3. near_duplicates: of each component of 5-word shingle sets of similarity 0.8 or more one row with the smallest doc_id stays.
 4. decontamination: documents that hold a benchmark window go, whether or not its item has an id.
 5. bpe: token ids of each text, with the check that decoding gives back its bytes.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.bpe import roundtrip
 from strataflow.llm.common import materialize, table
 from strataflow.llm.decontam import drop_contaminated
-from strataflow.llm.jaccard import keep_one
+from strataflow.llm.jaccard import keep_one_row
 from strataflow.llm.lines import dedup_lines
 from strataflow.llm.quality import quality_filter
 
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one_row(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, map_text, materialize, shrunk, small_batches, unzipped
+from .common import discard, free_name, map_text, materialize, shrunk, small_batches, unzipped
 from .components import components
 
 N = 5
@@ -516,6 +516,25 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keep_one_row(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component stays, one of those with the smallest id, with its own columns.
+
+    Rows are told apart by a number of their own, not by id: exact copies that share an id or have none leave one row,
+    and a text that links to nothing stays whatever other rows have its id. A null id comes after all others.
+    """
+    row = free_name(docs, "row")
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # the same numbers at each reading
+    own = stored.select(F.col(row).alias("doc_id"), "text")
+    found = materialize(jaccard_components(own, percent).select(F.col("doc_id").alias("n"), "component_id"), "row-components")
+    ids = stored.select(F.col(row).alias("n"), F.col("doc_id").alias("id"))
+    linked = materialize(found.join(ids, "n").select("n", "component_id", F.struct(F.col("id").isNull().alias("none"), "id", "n").alias("place")), "linked-rows")
+    first = linked.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.n").alias("n"))
+    gone = materialize(linked.select("n").join(first, "n", "left_anti").withColumnRenamed("n", row), "removed-rows")
+    for done in (found, linked):
+        discard(done)
+    return stored.join(gone, row, "left_anti").select(*docs.columns)
+
+
 ORACLE = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.llm import decontam, lm_corpus, lm_score, repair
+from strataflow.llm import decontam, jaccard, lm_corpus, lm_score, repair
 
 ODD = [(1, None, "x"), (2, "", "y"), (3, "one two", "y"), (3, "one two", "y"), (None, "one two", None), (4, "  \n \t", "z")]
 
@@ -100,3 +100,24 @@ def test_pipeline_drops_passages_of_items_without_id(spark, tmp_path):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(rows, items, 3, without_id=True).collect()) == [4, 5]
     found = decontam.find_contamination(rows, items, "found", without_id=True).select("doc_id", "found.items").collect()
     assert {r.doc_id: r["items"] for r in found} == {1: [], 2: [], 3: ["1"], 4: [], 5: []}
+
+
+# Pipeline --------------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_leaves_one_row_of_each_group(spark):
+    near = " ".join(f"w{k}" for k in range(80))
+    schema = "doc_id long, text string, row string"
+    rows = [(5, "one two", "a"), (5, "one two", "b"), (None, "one two", "c"), (None, "three", "d"), (None, "three", "e"), (7, near, "f"), (8, near + " x", "g"),
+            (8, "another text", "h"), (8, None, "i"), (8, "", "j"), (9, "one two", "k"), (4, near + " y", "l")]
+    frame = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    got = {r["row"] for r in kept.collect()}
+    assert kept.columns == frame.columns and len(got & {"a", "b"}) == 1 and len(got & {"d", "e"}) == 1
+    assert got - {"a", "b", "d", "e"} == {"h", "i", "j", "l"}
+    assert jaccard.keep_one_row(frame.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_the_same_documents_where_ids_are_unique(spark, docs):
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(jaccard.keep_one_row(docs)) == ids(jaccard.keep_one(docs))
