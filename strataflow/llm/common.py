@@ -114,7 +114,7 @@ def map_text(
             at = batch.schema.get_field_index(text)
             new = work(batch.column(at).to_pylist())
             old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*old, *(pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*old, *(v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))], names=names)
 
     return source.mapInArrow(run, schema)
 

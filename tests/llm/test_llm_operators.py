@@ -409,14 +409,17 @@ def test_bpe_pieces_and_rows_equal_the_library(tik):
         assert bpe.encode_piece(table, p) == tik._encode_single_piece(p)
         for size in bpe.ROW_SIZES:
             if len(p) <= size and p not in table.rank:
-                assert bpe.encode_rows(table, [p], size)[0] == tik._encode_single_piece(p)
+                ids, counts = bpe.encode_rows(table, [p, b"th", p], size)
+                assert ids[: counts[0]].tolist() == ids[counts[:2].sum() :].tolist() == tik._encode_single_piece(p)
 
 
 def test_bpe_texts_equal_the_library(tik, texts):
     encoder = bpe.Encoder(bpe.ranks(RANKS, public_tokenizers.PATTERN), cached=50)
     odd_texts = ["", "a" * 5000, "   x\x1c\x85y", "don't  \n\n 12three", "日本語 ไทย 🙂🙂", "\x00\x01", " " * 300 + "x"]
     every = [*texts.values(), *odd_texts]
-    assert encoder.encode_many(every) == [tik.encode_ordinary(t) for t in every] and encoder.encode(odd_texts[4]) == tik.encode_ordinary(odd_texts[4])
+    assert [ids.tolist() for ids in encoder.encode_many(every)] == [tik.encode_ordinary(t) for t in every]
+    assert [ids.tolist() for ids in encoder.encode_many(every, chars=40)] == [tik.encode_ordinary(t) for t in every]
+    assert encoder.encode(odd_texts[4]) == tik.encode_ordinary(odd_texts[4])
     for c in range(1, 0x3000):
         assert encoder.encode("a " + chr(c) * 2 + " b") == tik.encode_ordinary("a " + chr(c) * 2 + " b"), hex(c)
 
