@@ -12,6 +12,7 @@ from itertools import count
 
 import numpy as np
 
+#: A pair is frequent from this count on: a rule takes its two symbols and a length, so fewer places would not pay for it.
 MIN_COUNT = 6
 #: Pairs replaced at once, the most frequent first; the others are in later rounds.
 RULES_PER_ROUND = 4096
@@ -53,7 +54,8 @@ class Grammar:
         return out
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids start..stop of the block; only the symbols that reach into the range are expanded."""
+        """Ids start..stop of the block. For a range that is short beside the rules only the symbols that reach into it are
+        expanded; for a long one every symbol is, once."""
         ends = np.cumsum(self.lengths[self.sequence])
         total = int(ends[-1]) if len(ends) else 0
         stop = total if stop is None else min(stop, total)
@@ -91,22 +93,22 @@ def compress(ids: np.ndarray, rounds: int | None = None, min_count: int = MIN_CO
     """The grammar of one block of ids (of any values up to 2**32 - 1), complete unless ``rounds`` bounds it."""
     if len(ids) and int(ids.max()) < 1 << 20:
         alphabet = np.flatnonzero(np.bincount(ids))
-        place = np.zeros(int(alphabet[-1]) + 1, np.int64)
+        place = np.zeros(int(alphabet[-1]) + 1, np.int32)
         place[alphabet] = np.arange(len(alphabet))
         s = place[ids]
     else:
         alphabet, s = np.unique(ids, return_inverse=True)
-        s = s.astype(np.int64)
+        s = s.astype(np.int32)
     rules: list[np.ndarray] = []
     symbols, lengths = len(alphabet), np.ones(len(alphabet), np.int64)
-    place = np.arange(max(len(s) - 1, 0))
+    place = np.arange(max(len(s) - 1, 0), dtype=np.int32)
     for _ in count() if rounds is None else range(rounds):
         if not len(place) or symbols >= 1 << 31:
             break
         small = symbols + RULES_PER_ROUND <= 1 << 16
         bits = 16 if small else 32
-        left, right = s[place], s[place + 1]
-        keys = left.astype(np.uint32) << 16 | right.astype(np.uint32) if small else left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        left, right = (s[:-1], s[1:]) if len(place) == len(s) - 1 else (s[place], s[place + 1])
+        keys = left.view(np.uint32) << 16 | right.view(np.uint32) if small else left.astype(np.uint64) << np.uint64(32) | right.view(np.uint32)
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         counts = np.diff(edge)
@@ -128,14 +130,12 @@ def compress(ids: np.ndarray, rounds: int | None = None, min_count: int = MIN_CO
         again = np.zeros(len(s), bool)
         again[place] = waits[slot]
         rank = table[slot]
-        at = np.flatnonzero(rank >= 0)
-        rank = rank[at]
-        same = pairs[rank] == keys[at]
-        at, rank = place[at[same]], rank[same]
+        at = np.flatnonzero((rank >= 0) & (pairs[rank] == keys))
+        at, rank = place[at], rank[at]
         chosen = _without_overlap(at, len(pairs) - rank)
         at, rank = at[chosen], rank[chosen]
         used = np.flatnonzero(np.bincount(rank, minlength=len(pairs)))
-        number = np.zeros(len(pairs), np.int64)
+        number = np.zeros(len(pairs), np.int32)
         number[used] = np.arange(len(used))
         both = pairs[used].astype(np.int64)
         rules.append(np.stack([both >> bits, both & ((1 << bits) - 1)], axis=1))
@@ -146,7 +146,7 @@ def compress(ids: np.ndarray, rounds: int | None = None, min_count: int = MIN_CO
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        place = np.flatnonzero(again[keep][:-1])
+        place = np.flatnonzero(again[keep][:-1]).astype(np.int32)
     return Grammar(alphabet, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), lengths, s)
 
 

@@ -7,26 +7,28 @@ the rows, so that files are committed and read by Spark wherever the shared fold
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 from .repair import Grammar, compress
+from .wordcache import BATCH_CHARS, IdCache, batches
 
 END_ID = 2
-BLOCK_IDS = 1 << 18
-CACHED_WORDS = 700_000
+#: A grammar covers so many ids of a shard, which bounds the memory of writing and the work of reading one document.
+BLOCK_IDS = 1 << 20
+CACHED_WORDS = 400_000
+WORDS_AT_ONCE = 500
 FILE_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<long>, grammar binary"
 
 
@@ -37,90 +39,98 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-# Marks right behind a letter or digit are a token of their own to the splitting pattern (apostrophes may not be).
-_TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)", re.S)
-# The alphabet of byte-level models: printable Latin-1 stands for itself, the other bytes for characters from 256 on.
-_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_SYMBOLS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+# A mark right behind a letter or digit is a token of its own to the splitting pattern (an apostrophe may not be). Only letters
+# that are letters in every version of Unicode; marks behind others stay with their word.
+_BEFORE_MARK = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~])"
 
 
 class WordCache:
     """Library encodings of words between spaces and line ends, which no token of this kind of vocabulary spans.
 
     Only for tokenizers that split at white space, lower-case, and end each word with a marked token;
-    ``check`` says so, and whole texts are encoded otherwise. Texts are lower-cased first where that cannot
-    change a token (composed text without letters of unusual lower case), and a new word that ends in marks
-    is put together from its parts, so that fewer words are new. The number of words kept is bounded; the oldest
-    quarter goes when it is reached. Plain words go to the library's
-    model at once, as normalizing and splitting leave them as they are.
+    ``check`` says so from their definition and a probe, and whole texts are encoded otherwise. Texts are lower-cased first where
+    that cannot change a token (composed text without letters of unusual lower case), and marks behind a letter or digit become
+    words of their own, so that fewer words are new. New words of letters are encoded many at a time, with spaces between them.
+    The number of words kept is bounded.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        self.tokenizer, self.cached = _tokenizer(path), cached
-        self.new: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
+        self.tokenizer = _tokenizer(path)
+        definition = json.loads(self.tokenizer.to_str())
+        vocabulary, suffix = self.tokenizer.get_vocab(), definition["model"].get("end_of_word_suffix")
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
-        self.by_word = self.check()
-
-    def check(self) -> bool:
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.cache = IdCache(self._learn, self.kind, cached)
+        self.by_word = self.check(definition)
+
+    def check(self, definition: dict) -> bool:
+        steps = definition.get("normalizer") or {}
+        steps = [s["type"] for s in steps.get("normalizers", [steps]) if s]
+        if not self.ends.any() or not set(steps) <= {"NFC", "Replace", "Lowercase"} or "Lowercase" not in steps:
+            return False
         probe = "Ab cd\nef  Gh. x\t'S 12\n\né Ü, end."
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = [i for w in _prepared(probe) if w for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        plain = ("theaheble", "zqx", "étéß", "straße", "中文")
-        direct = [[t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_SYMBOLS))] for w in plain]
-        self.by_model = direct == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in plain]
-        return whole == parts
-
-    def _learn(self, missing: list[str]) -> None:
-        """Plain words go to the model in its alphabet of bytes, all others through the whole tokenizer."""
-        new = self.new
-        parts: list[tuple[str, str, str]] = []
-        wanted = set()
-        for w in missing:
-            if not w.isalpha() and "<|" not in w and (m := _TAIL.fullmatch(w)) and unicodedata.is_normalized("NFC", w):
-                parts.append((w, m[1], m[2]))
-                wanted.add(m[1])
-                wanted.add(m[2])
-            else:
-                wanted.add(w)
-        tokenize, by_model, other = self.tokenizer.model.tokenize, self.by_model, []
-        kind = "H" if self.kind is np.uint16 else "I"
-        for w in wanted:
-            if w in new:
-                continue
-            if not (by_model and w.isalpha() and w.islower()):
-                other.append(w)
-            elif w.isascii():
-                new[w] = array(kind, [t.id for t in tokenize(w)]).tobytes()
-            elif unicodedata.is_normalized("NFC", w):
-                symbols = w.encode().decode("latin-1").translate(_SYMBOLS)
-                new[w] = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
-            else:
-                other.append(w)
+        return whole == [i for w in _prepared(probe).split(" ") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        new: dict[str, bytes] = {}
+        letters = [w for w in missing if w.isalpha()]
+        other = [w for w in missing if not w.isalpha()]
+        for at in range(0, len(letters), WORDS_AT_ONCE):
+            self._learn_letters(letters[at : at + WORDS_AT_ONCE], new, other)
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, self.kind).tobytes()
-        for w, core, tail in parts:
-            new[w] = new[core] + new[tail]
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+            new[w] = np.array(e.ids, self.kind).tobytes()
+        return [new[w] for w in missing]
+
+    def _learn_letters(self, words: list[str], new: dict[str, bytes], other: list[str]) -> None:
+        """Words of letters in one encoding, cut behind the tokens that end a word; one by one if their number differs."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            other += words
+            return
+        held, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+        for w, a, b in zip(words, [0, *stops], stops, strict=False):
+            new[w] = held[a:b]
+
+    def encode_many(self, texts: list[str | None], chars: int = BATCH_CHARS) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.kind) for t in texts]
-        split = [_prepared(t) if t else [] for t in texts]
-        new = self.new
-        if len(new) > self.cached:
-            for w in list(islice(new, self.cached // 4)):
-                del new[w]
-        missing = [w for w in set().union(*split) if w not in new]
-        if missing:
-            self._learn(missing)
-        return [np.frombuffer(b"".join(map(new.__getitem__, words)), self.kind) for words in split]
-
-
-def _prepared(text: str) -> list[str]:
-    """Words between spaces and line ends."""
+        out = []
+        for at, cut in batches(texts, chars):
+            runs = [_prepared(t) if t else "" for t in texts[at:cut]]
+            if cut == at + 1:
+                out.append(np.concatenate([self._ids(run)[0] for run in _runs(runs[0], chars)]))
+                continue
+            ids, stops = self._ids(*runs)
+            out += [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def _ids(self, *runs: str) -> tuple[np.ndarray, list[int]]:
+        apart = pa.array([run if "<|" not in run else None for run in runs], pa.large_string())
+        apart = pc.replace_substring_regex(apart, pattern=_BEFORE_MARK, replacement=r"\1 \2")
+        if apart.null_count:  # what may hold a special token stays as it is
+            apart = pc.coalesce(apart, pa.array(runs, pa.large_string()))
+        split = pc.split_pattern(apart, " ")
+        ids, ends = self.cache.ids(split.flatten())
+        return ids, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+
+
+def _prepared(text: str) -> str:
+    """The text with spaces for line ends, lower-cased where that is safe."""
     if unicodedata.is_normalized("NFC", text) and len(low := text.lower()) == len(text) and "Σ" not in text and "<|" not in text:
         text = low
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
+
+
+def _runs(text: str, chars: int):
+    """A text in runs of about ``chars`` characters, cut at spaces."""
+    at = 0
+    while len(text) - at > chars and (cut := text.find(" ", at + chars)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
 
 
 @lru_cache(maxsize=2)
@@ -143,16 +153,15 @@ def _write_blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 250):
-                for i, found in zip(names[at : at + 250], cache.encode_many(texts[at : at + 250]), strict=True):
-                    ids.append(i)
-                    held += (found, np.array([end_id], found.dtype))
-                    counts.append(len(found) + 1)
-                    size += len(found) + 1
-                    if size >= block_ids:
-                        yield flush()
-                        start += size
-                        ids, held, counts, size, block = [], [], [], 0, block + 1
+            for i, found in zip(names, cache.encode_many(texts), strict=True):
+                ids.append(i)
+                held += (found, np.array([end_id], found.dtype))
+                counts.append(len(found) + 1)
+                size += len(found) + 1
+                if size >= block_ids:
+                    yield flush()
+                    start += size
+                    ids, held, counts, size, block = [], [], [], 0, block + 1
         if ids:
             yield flush()
 

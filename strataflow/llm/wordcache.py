@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of texts that are worked off together, and of a long text that are cut off at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 class IdCache:
