@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import as_bytes, free_name, map_text
-from .wordcache import BATCH_CHARS, IdCache, batches
+from .wordcache import BATCH_CHARS, IdCache, spans
 
 CACHED_PIECES = 400_000
 #: Widths of trees in steps of 2 and more; any width works, as a node's children are 2i and 2i + 1 in any heap.
@@ -241,7 +241,7 @@ class Encoder:
     def encode_many(self, texts: list[str | None], chars: int = BATCH_CHARS) -> list[np.ndarray]:
         """Ids of whole texts (null: none); new pieces of a batch are worked off together."""
         out: list[np.ndarray] = []
-        for at, cut in batches(texts, chars):
+        for at, cut in spans(texts, chars):
             if cut == at + 1 and len(texts[at] or "") > chars:
                 out.append(np.concatenate([self.cache.ids(pa.array(run, pa.large_string()))[0] for run in self._cut(texts[at], chars)]))
                 continue

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges and ``m``, the least ``b`` of their ``a``. The minimum is combined before the shuffle. The edges of a centre with
+    very many are split by Spark in the join: it does so only where both sides come right from a shuffle, hence the second
+    one of the minima, of which each node has one."""
+    least = edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).repartition(F.col("c"))
+    return edges.join(least.hint("merge"), F.col("a") == F.col("c")).drop("c")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    m = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-    return both.withColumn("m", m).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges point from the larger to the smaller node."""
-    m = F.min("b").over(Window.partitionBy("a"))
-    found = edges.where("a > b").withColumn("m", m)
     pairs = F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")
-    return found.select(pairs).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a > b").distinct()
+    return _with_least(edges.where("a > b")).select(pairs).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a > b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

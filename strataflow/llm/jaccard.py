@@ -13,61 +13,84 @@
    required overlap are links. Members are compared with leaders first; a leader's cluster is searched by
    members of another one only if the distance of the leaders allows a link between the two.
    A group of more than ``GROUP`` classes is dealt out by hash first: parts are clustered each for itself, then
-   leaders of different parts are compared, and then the members of those pairs of clusters that may link.
+   the leaders of any two parts are compared in a task of their own, and then the members of those clusters that may still link.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, free_name, map_text, materialize, shrunk, small_batches, unzipped
 from .components import components
+from .wordcache import BATCH_CHARS, runs, spans
 
 N = 5
 PERCENT = 80
-_CACHED_WORDS = 300_000
+_SPACE = re.compile(r"[\t-\r ]")
 _MIDDLE = np.uint64(1 << 63)
 #: Least number of hash buckets, whatever the number of partitions.
 BUCKETS = 64
 #: Classes that one task compares at a time.
-GROUP = 4000
+GROUP = 1000
+#: Rows of the table of large groups up to which it is broadcast (two numbers each).
+MAX_BROADCAST = 100_000
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(N)], np.uint64)
 
 
 class Shingler:
-    """Hash sets of whole texts; word hashes are kept in a cache of bounded size."""
+    """Hash sets of whole texts; each distinct word of a batch is hashed once."""
 
     def __init__(self, n: int = N):
-        self.n, self.seen = n, {}
+        self.n = n
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Sorted distinct shingle hashes (uint64); empty for null or a text without words."""
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.seen) > _CACHED_WORDS:
-            self.seen = {}
-        seen, digest = self.seen, xxhash.xxh3_64_intdigest
+    def many(self, texts: list[str | None], chars: int = BATCH_CHARS) -> list[np.ndarray]:
+        """Sorted distinct shingle hashes (uint64) of each text; empty for null or a text without words."""
         out = []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = digest(w)
-            out.append(h)
-        x = np.array(out, np.uint64)
-        n = min(self.n, len(x))
+        for at, cut in spans(texts, chars):
+            if cut == at + 1:
+                parts = [self._words([run])[0] for run in runs(texts[at] or "", chars, _SPACE)]
+                out.append(self._shingles(np.concatenate(parts)))
+                continue
+            x, counts = self._words([t or "" for t in texts[at:cut]])
+            stops = np.cumsum(counts).tolist()
+            every = self._mixed(x, self.n) if len(x) >= self.n else None
+            for a, b in zip([0, *stops], stops, strict=False):
+                out.append(np.unique(every[a : b - self.n + 1]) if b - a >= self.n else self._shingles(x[a:b]))
+        return out
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the number of words of each text."""
+        plain = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        split = pc.ascii_split_whitespace(plain)
+        words = split.flatten()
+        counts = pc.list_value_length(split).to_numpy() - pc.equal(plain, "").cast(pa.int64()).to_numpy()  # no word splits into one empty one
+        coded = words.filter(pc.not_equal(words, "")).dictionary_encode()
+        digests = b"".join(map(xxhash.xxh3_64_digest, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        return np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()], counts
+
+    def _shingles(self, x: np.ndarray) -> np.ndarray:
+        return np.unique(self._mixed(x, min(self.n, len(x)))) if len(x) else x
+
+    @staticmethod
+    def _mixed(x: np.ndarray, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             total = np.full(len(x) - n + 1, n, np.uint64)
             for k in range(n):
@@ -75,7 +98,7 @@ class Shingler:
             total ^= total >> np.uint64(31)
             total *= np.uint64(0xBF58476D1CE4E5B9)
             total ^= total >> np.uint64(29)
-        return np.unique(total)
+        return total
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -90,14 +113,14 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def shingle_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, how many of them are in the lower half of the hash space, and the digest
-    (d1, d2) of the set; d1 names the class from here on."""
+    (d1, d2) of the set, which names its class."""
     fields = [T.StructField(n, T.LongType()) for n in ("n_shingles", "n_half", "d1", "d2")]
 
     def make():
         shingler = Shingler()
 
         def work(texts):
-            sets = [shingler.hashes(t) for t in texts]
+            sets = shingler.many(texts)
             digests = [_digest(s) for s in sets]
             return [[len(s) for s in sets], [int(np.searchsorted(s, _MIDDLE)) for s in sets], [d[0] for d in digests], [d[1] for d in digests]]
 
@@ -107,66 +130,93 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
 
 def _half(buckets: int):
-    """Map over texts: for each batch and bucket one row of packed class names, counts and 48-bit hashes; copies inside
-    of a batch are sent once."""
+    """Map over texts: for each batch and bucket one row of packed class names, counts, 48-bit hashes, and the hashes that the
+    batch itself has twice. Copies inside of a batch are sent once.
+
+    Of a hash that several classes of the batch have, only the hash is sent on: it is shared, and the classes' own counts of such
+    hashes are rows without hashes (in a bucket below zero). A hash that all documents have makes one entry for each batch so.
+    """
 
     def run(batches):
-        shingler = Shingler()
+        shingler, part, rest = Shingler(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            found = [shingler.hashes(t) for t in batch.column(0).to_pylist()]
+            found = shingler.many(batch.column(0).to_pylist())
             sets = list({_digest(s)[0]: s[: np.searchsorted(s, _MIDDLE)] for s in found if len(s)}.items())
             if not sets:
                 continue
             names = np.array([d for d, _ in sets], np.int64)
-            lengths = np.array([len(s) for _, s in sets])
             h = np.concatenate([s for _, s in sets])
-            owner = np.repeat(np.arange(len(sets)), lengths)
-            bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(15)).astype(np.int64)
-            order = np.lexsort((owner, bucket))
-            bucket, owner = bucket[order], owner[order]
-            low = h[order].view(np.uint8).reshape(-1, 8)[:, :6]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
-            rows: list[list] = [[], [], [], []]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                who, counts = np.unique(owner[a:b], return_counts=True)
-                for c, v in zip(rows, (int(bucket[a]), names[who].tobytes(), counts.astype(np.uint32).tobytes(), low[a:b].tobytes()), strict=True):
+            order = np.argsort(h, kind="stable")
+            owner = np.repeat(np.arange(len(sets)), [len(s) for _, s in sets])[order]
+            h = h[order]
+            edge = np.ones(len(h) + 1, bool)
+            edge[1:-1] = h[1:] != h[:-1]
+            alone = edge[1:] & edge[:-1]
+            twice = h[edge[:-1] & ~alone]
+            within = np.bincount(owner[~alone], minlength=len(sets))
+            h, owner = h[alone], owner[alone]
+            order = np.lexsort((owner, _bucket(h, buckets)))
+            h, owner = h[order], owner[order]
+            rest += 1
+            rows: list[list] = [[-1 - (part + rest * 7919)], [names.tobytes()], [within.astype(np.uint32).tobytes()], [b""], [b""]]
+            low, again = (x.view(np.uint8).reshape(-1, 8)[:, :6] for x in (h, twice))
+            ends = np.arange(1, buckets + 1)
+            cuts, more = (np.concatenate([[0], np.searchsorted(_bucket(x, buckets), ends)]) for x in (h, twice))
+            for k in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(more) > 0)).tolist():
+                who, counts = np.unique(owner[cuts[k] : cuts[k + 1]], return_counts=True)
+                packed = names[who], counts.astype(np.uint32), low[cuts[k] : cuts[k + 1]], again[more[k] : more[k + 1]]
+                for c, v in zip(rows, (k, *(x.tobytes() for x in packed)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "names", "counts", "hashes"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=_HALF)
 
     return run
 
 
+_HALF = ["bucket", "names", "counts", "hashes", "again"]
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes in the lower half, in the order of the hashes."""
+    return ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(15)).astype(np.int64)
+
+
 def _shared_counts(batches):
     """Rows of some buckets to (d1, n_shared): hashes that another document of the corpus has too, for each bucket."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole(raw, bucket):
+        low = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        h = np.zeros((len(low), 8), np.uint8)
+        h[:, :6] = low
+        return h.view(np.uint64).ravel(), np.full(len(low), bucket, np.int64)
+
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for bucket, names, counts, hashes in zip(*(batch.column(k) for k in range(4)), strict=True):
-            low = np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, 6)
-            h = np.zeros((len(low), 8), np.uint8)
-            h[:, :6] = low
-            who = np.repeat(np.frombuffer(names.as_py(), np.int64), np.frombuffer(counts.as_py(), np.uint32))
-            held.append((h.view(np.uint64).ravel() | np.uint64(bucket.as_py() & 0x7FFF) << np.uint64(48), who))
+        for bucket, names, counts, hashes, again in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            names, counts = np.frombuffer(names, np.int64), np.frombuffer(counts, np.uint32).astype(np.int64)
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["d1", "n_shared"])
+                continue
+            h, b = whole(hashes, bucket)
+            held.append((b, h, np.repeat(names, counts), np.ones(len(h), bool)))
+            h, b = whole(again, bucket)
+            held.append((b, h, np.zeros(len(h), np.int64), np.zeros(len(h), bool)))
     if held:
-        h, who = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h)
-        h, who = h[order], who[order]
-        same = h[1:] == h[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, who = h[shared] >> np.uint64(48), who[shared]
-        order = np.lexsort((who, h))
-        h, who = h[order], who[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (h[1:] != h[:-1])])) if len(who) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(who[cuts]), pa.array(np.diff(np.append(cuts, len(who))))], names=["d1", "n_shared"])
+        b, h, who, counted = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((h, b))
+        b, h = b[order], h[order]
+        same = (h[1:] == h[:-1]) & (b[1:] == b[:-1])
+        shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & counted[order]
+        names, counts = np.unique(who[order][shared], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts)], names=["d1", "n_shared"])
 
 
 def possible_classes(docs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
-    """(d1, node) of the classes that may link; node is the smallest id of the class."""
+    """(d1, d2, node) of the classes that may link; node is the smallest id of the class."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small_batches(docs.sparkSession)
-    packed = docs.where("doc_id is not null").select("text").mapInArrow(_half(max(parts, BUCKETS)), "bucket long, names binary, counts binary, hashes binary")
-    dealt = packed.repartitionById(parts, (F.col("bucket") % parts).cast("int"))
+    packed = docs.where("doc_id is not null").select("text").mapInArrow(_half(max(parts, BUCKETS)), "bucket long, names binary, counts binary, hashes binary, again binary")
+    dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    # Counts of d1 alone: should two classes have the same d1, both counts are too high, and both pass to the next step.
     shared = dealt.mapInArrow(_shared_counts, "d1 long, n_shared long").groupBy("d1").agg(F.sum("n_shared").alias("n_shared"))
     classes = (
         told.where("n_shingles > 0 and doc_id is not null")
@@ -176,19 +226,20 @@ def possible_classes(docs: DataFrame, told: DataFrame, percent: int) -> DataFram
     # A class with copies is sent by several batches, so that its own count says nothing: it passes to the next step.
     unique = F.when(F.col("copies") > 1, 0).otherwise(F.col("n_half") - F.coalesce("n_shared", F.lit(0)))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    return classes.join(shared, "d1", "left").where(unique <= allowed).select("d1", "node")
+    return classes.join(shared, "d1", "left").where(unique <= allowed).select("d1", "d2", "node")
 
 
 def _own_texts(batches):
-    """Rows (d1, compressed text) of which the text has that digest (ids may repeat with other texts), with their size."""
+    """Rows (name, d1, d2, compressed text) of which the text has that digest (ids may repeat with other texts), with their size."""
     shingler = Shingler()
     for batch in batches:
-        digests, texts = batch.column(0).to_pylist(), [unzipped(z.as_py()).decode() for z in batch.column(1)]
-        sets = [shingler.hashes(t) for t in texts]
-        keep = [i for i, (d, s) in enumerate(zip(digests, sets, strict=True)) if len(s) and _digest(s)[0] == d]
+        names, d1, d2 = (batch.column(k).to_pylist() for k in range(3))
+        texts = [unzipped(z.as_py()).decode() for z in batch.column(3)]
+        sets = shingler.many(texts)
+        keep = [i for i, s in enumerate(sets) if len(s) and _digest(s) == (d1[i], d2[i])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([digests[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())],
-            names=["d1", "n", "text"],
+            [pa.array([names[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([texts[i] for i in keep], pa.string())],
+            names=["name", "n", "text"],
         )
 
 
@@ -198,13 +249,16 @@ def candidate_groups(texts: DataFrame, percent: int) -> DataFrame:
     def postings(batches):
         shingler = Shingler()
         for batch in batches:
-            for d, n, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = shingler.hashes(text).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d)), pa.array(np.full(len(h), n)), pa.array(h)], names=["d1", "n", "h"])
-
-    rows = texts.mapInArrow(postings, "d1 long, n long, h long")
+            names, n, texts = (batch.column(k).to_pylist() for k in range(3))
+            for at, cut in spans(texts):
+                sets = shingler.many(texts[at:cut])
+                sizes = [len(s) for s in sets]
+                columns = np.repeat(names[at:cut], sizes), np.repeat(n[at:cut], sizes), np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "n", "h"])
+
+    rows = texts.mapInArrow(postings, "name long, n long, h long")
     shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    own = Window.partitionBy("d1")
+    own = Window.partitionBy("name")
     ranked = rows.join(shared, "h").withColumns(
         {
             "shared": F.count("*").over(own),
@@ -212,9 +266,9 @@ def candidate_groups(texts: DataFrame, percent: int) -> DataFrame:
         }
     )
     # Shingles that no other class has come first in the order and take n - shared places of the prefix.
-    prefix = materialize(ranked.where(F.col("k") <= F.col("shared") - F.ceil(F.col("n") * percent / 100) + 1).select("d1", "h"), "prefixes")
-    ends = prefix.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a < z").select("h", "a")
-    out = components(prefix.join(ends, "h").select("a", F.col("d1").alias("b")).where("a != b"))
+    prefix = materialize(ranked.where(F.col("k") <= F.col("shared") - F.ceil(F.col("n") * percent / 100) + 1).select("name", "h"), "prefixes")
+    ends = prefix.groupBy("h").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a < z").select("h", "a")
+    out = components(prefix.join(ends, "h").select("a", F.col("name").alias("b")).where("a != b"))
     discard(prefix)
     return out
 
@@ -223,7 +277,7 @@ class Index:
     """Inverted lists over numbered sets; numbers are added in ascending order."""
 
     def __init__(self):
-        self.lists: dict[int, list[int]] = defaultdict(list)
+        self.lists: dict[int, array] = defaultdict(lambda: array("i"))
         self.size: dict[int, int] = {}
 
     def add(self, number: int, items: list[int], size: int) -> None:
@@ -232,7 +286,11 @@ class Index:
             self.lists[x].append(number)
 
     def search(self, items: list[int], least: int) -> list[tuple[int, int]]:
-        """(number, overlap) of each indexed set that has at least ``least`` of the items."""
+        """(number, overlap) of each indexed set that has at least ``least`` of the items.
+
+        The short lists are merged by a heap; what comes up often enough there is looked for in the long lists by binary
+        search, for all such sets at once, and falls out as soon as the lists left cannot make up what is missing.
+        """
         get = self.lists.get
         lists = sorted((x for x in map(get, items) if x), key=len)
         if least < 1 or len(lists) < least:
@@ -240,19 +298,21 @@ class Index:
         longest = len(lists[-1])
         n_long = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        out = []
-        for number, same in groupby(heapq.merge(*short)):
-            count = sum(1 for _ in same)
-            left = n_long
-            for x in reversed(long):  # the longest first: there a hit is likeliest
-                if count + left < least:
-                    break
-                at = bisect_left(x, number)
-                count += at < len(x) and x[at] == number
-                left -= 1
-            if count >= least:
-                out.append((number, count))
-        return out
+        merged = ((number, sum(1 for _ in same)) for number, same in groupby(heapq.merge(*short)))
+        often = [(number, count) for number, count in merged if count >= least - n_long]
+        if not often:
+            return []
+        numbers, counts = (np.array(x) for x in zip(*often, strict=True))
+        for left, x in zip(range(n_long, 0, -1), reversed(long), strict=True):  # the longest first: there a hit is likeliest
+            alive = counts + left >= least
+            if not alive.all():
+                numbers, counts = numbers[alive], counts[alive]
+                if not len(numbers):
+                    return []
+            held = np.frombuffer(x, np.int32)
+            counts = counts + (held[np.minimum(np.searchsorted(held, numbers), len(held) - 1)] == numbers)
+        enough = counts >= least
+        return list(zip(numbers[enough].tolist(), counts[enough].tolist(), strict=True))
 
 
 class Groups:
@@ -305,16 +365,6 @@ class Clusters:
                 self.leaders.add(rank, self.items[i], n)
                 self.radius[rank] = 0.0
 
-    def link_leaders(self) -> Iterator[tuple[int, int]]:
-        """Every set leads; yields links that join two components."""
-        for rank, i in enumerate(self.order):
-            for k, o in self.leaders.search(self.items[i], least_overlap(self.sizes[i], self.percent)):
-                j = self.order[k]
-                if self.found.root(i) != self.found.root(j) and self.linked(self.sizes[i], self.sizes[j], o):
-                    self.found.join(i, j)
-                    yield i, j
-            self.leaders.add(rank, self.items[i], self.sizes[i])
-
     def near(self, radius: dict[int, float]) -> Iterator[tuple[int, int]]:
         """Pairs of leaders in different components of which members may link: Jaccard distance is a metric, so that the
         leaders of two linked members are at most the two radii and one link apart.
@@ -335,20 +385,23 @@ class Clusters:
                     yield i, j
 
     def finish(self) -> None:
-        """Links between members of clusters that are not joined yet."""
+        """Links between members of clusters that are not joined yet: the members of all clusters that may hold one are indexed
+        once, and those outside of the largest component search."""
         if max(self.radius.values(), default=0.0) == 0:
             return
-        members: dict[int, list[int]] = {}
-        for i, x in enumerate(self.leader):
-            members.setdefault(x, []).append(i)
-        inner: dict[int, Index] = {}
-        for i, j in self.near(self.radius):
-            if self.found.root(i) == self.found.root(j):
-                continue
-            if i not in inner:
-                inner[i] = index_of(members[i], self.items, self.sizes)
-            if hit := first_link(inner[i], [(x, self.items[x], self.sizes[x]) for x in members[j]], self.percent):
-                self.found.join(*hit)
+        members = list(range(len(self.sizes)))
+        if len(members) > 4 * len(self.radius):  # else to search all is less work than to compare leaders
+            open_clusters = {x for pair in self.near(self.radius) for x in pair}
+            members = [i for i in members if self.leader[i] in open_clusters]
+            if not members:
+                return
+        largest = Counter(map(self.found.root, members)).most_common(1)[0][0]
+        searching = [i for i in members if self.found.root(i) != largest]
+        index = index_of(members, self.items, self.sizes)
+        for i in searching:
+            for j, o in index.search(self.items[i], least_overlap(self.sizes[i], self.percent)):
+                if self.found.root(i) != self.found.root(j) and self.linked(self.sizes[i], self.sizes[j], o):
+                    self.found.join(i, j)
 
     def roots(self) -> list[int]:
         return [self.found.root(i) for i in range(len(self.sizes))]
@@ -361,15 +414,6 @@ def index_of(numbers: list[int], items: list[list[int]], sizes: list[int]) -> In
     return out
 
 
-def first_link(index: Index, others: list[tuple[int, list[int], int]], percent: int) -> tuple[int, int] | None:
-    """Some (indexed, other) pair that links, if there is one."""
-    for j, items, n in others:
-        for i, o in index.search(items, least_overlap(n, percent)):
-            if 100 * o >= percent * (n + index.size[i] - o):
-                return i, j
-    return None
-
-
 def link_group(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """Component of each set among the sets of one candidate group (all non-empty)."""
     c = Clusters(sets, percent)
@@ -415,69 +459,94 @@ def _cluster_part(percent: int):
 
 
 def _compare_leaders(percent: int):
-    """Leaders of one group (part, leader, component, radius, text) to (a, b, linked): links that join components of
-    different parts, and then pairs of clusters that may still hold one."""
+    """Leaders of two parts (side, leader, component, radius, members, text) to (root, p, q, side, a, b): links a, b that join
+    components of the two (side -1), and then the leaders ``a`` of clusters that may still hold one, with the component ``b`` by now."""
 
     def work(group, shingler, rows):
-        c = Clusters([shingler.hashes(r[4]) for r in rows], percent)
+        c = Clusters([shingler.hashes(r[5]) for r in rows], percent)
         first: dict[int, int] = {}
         for i, r in enumerate(rows):
             c.found.join(i, first.setdefault(r[2], i))
-        for i, j in c.link_leaders():
-            yield rows[i][1], rows[j][1], 1
-        seen = set()
-        for i, j in c.near({rank: rows[i][3] for rank, i in enumerate(c.order)}):
-            a, b = sorted((rows[i][1], rows[j][1]))
-            if rows[i][0] != rows[j][0] and (a, b) not in seen:
-                seen.add((a, b))
-                yield a, b, 0
+        one, other = ([i for i, r in enumerate(rows) if r[0] == side] for side in (0, 1))
+        index = index_of(one, c.items, c.sizes)
+        for i in other:
+            for j, o in index.search(c.items[i], least_overlap(c.sizes[i], percent)):
+                if c.found.root(i) != c.found.root(j) and c.linked(c.sizes[i], c.sizes[j], o):
+                    c.found.join(i, j)
+                    yield *group, -1, rows[i][1], rows[j][1]
+        roots = set(map(c.found.root, range(len(rows))))
+        if len(roots) == 1 or not any(r[3] for r in rows):
+            return  # without members beside them, leaders have been compared already
+        if sum(r[4] for r in rows) <= 4 * len(rows):  # to search all members is less work than to compare leaders
+            open_leaders = range(len(rows))
+        else:
+            reach, widest = 1 - percent / 100 + 1e-9, max(rows[j][3] for j in one)
+            open_leaders = set()
+            for i in other:
+                radius = rows[i][3] + reach
+                for j, o in index.search(c.items[i], max(1, int(np.ceil((1 - radius - widest) * c.sizes[i])))):
+                    if c.found.root(i) != c.found.root(j) and 1 - o / (c.sizes[i] + c.sizes[j] - o) <= radius + rows[j][3]:
+                        open_leaders |= {i, j}
+        for i in sorted(open_leaders):
+            yield *group, rows[i][0], rows[i][1], rows[c.found.root(i)][1]
 
     return work
 
 
 def _compare_members(percent: int):
-    """Members of one pair of clusters (side, d1, text) to one link, if there is one."""
+    """Members of clusters of two parts (side, label, name, text), those of one label being linked already, to links that join labels."""
 
     def work(group, shingler, rows):
-        c = Clusters([shingler.hashes(r[2]) for r in rows], percent)
-        side = lambda k: [i for i, r in enumerate(rows) if r[0] == k]
-        hit = first_link(index_of(side(0), c.items, c.sizes), [(i, c.items[i], c.sizes[i]) for i in side(1)], percent)
-        if hit:
-            yield rows[hit[0]][1], rows[hit[1]][1]
+        c = Clusters([shingler.hashes(r[3]) for r in rows], percent)
+        first: dict[int, int] = {}
+        for i, r in enumerate(rows):
+            c.found.join(i, first.setdefault(r[1], i))
+        one, other = ([i for i, r in enumerate(rows) if r[0] == side] for side in (0, 1))
+        index = index_of(one, c.items, c.sizes)
+        for i in other:
+            for j, o in index.search(c.items[i], least_overlap(c.sizes[i], percent)):
+                if c.found.root(i) != c.found.root(j) and c.linked(c.sizes[i], c.sizes[j], o):
+                    c.found.join(i, j)
+                    yield rows[i][2], rows[j][2]
 
     return work
 
 
 def class_links(texts: DataFrame, groups: DataFrame, percent: int, group: int) -> DataFrame:
-    """(d1, root) of the classes in candidate groups: the components of their links."""
+    """(name, root) of the classes in candidate groups: the components of their links."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > group)
     sizes = materialize(sizes.select(F.col("root").alias("big"), F.ceil(F.col("n") / group).alias("n_parts")), "large-groups")
     placed = groups.join(sizes, groups["root"] == sizes["big"], "left").select(
-        "root", F.when(F.col("n_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("n_parts"))).cast("long").alias("part"), F.col("node").alias("d1")
+        "root", F.when(F.col("n_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("n_parts"))).cast("long").alias("part"), F.col("node").alias("name")
     )
-    rows = placed.join(texts.select("d1", "text"), "d1").select("root", "part", "d1", "text")
-    dealt = rows.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "d1")
-    schema = "root long, part long, d1 long, component long, leader long, distance double"
+    rows = placed.join(texts.select("name", "text"), "name").select("root", "part", "name", "text")
+    dealt = rows.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "name")
+    schema = "root long, part long, name long, component long, leader long, distance double"
     own = materialize(dealt.mapInArrow(_by_group(_cluster_part(percent), [c.split()[0] for c in schema.split(", ")], 2), schema), "clusters")
-    local = own.select("d1", F.col("component").alias("root")).distinct()
+    local = own.select("name", F.col("component").alias("root")).distinct()
     if not sizes.limit(1).count():
         return local
     large = own.join(sizes, own["root"] == sizes["big"], "left_semi")
-    leaders = large.groupBy("root", "part", "leader").agg(F.min("component").alias("component"), F.max("distance").alias("radius"))
-    led = leaders.join(texts.select(F.col("d1").alias("leader"), "text"), "leader").select("root", "part", "leader", "component", "radius", "text")
-    compare = _by_group(_compare_leaders(percent), ["a", "b", "linked"], 1)
-    pairs = materialize(led.repartition(parts, "root").sortWithinPartitions("root", "part", "leader").mapInArrow(compare, "a long, b long, linked long"), "leader-pairs")
-    open_pairs = pairs.where("linked = 0")
-    members = large.select("leader", "d1")
-    sides = [open_pairs.join(members.withColumnRenamed("leader", c), c).select("a", "b", F.lit(k).alias("side"), "d1") for k, c in enumerate("ab")]
-    both = sides[0].unionByName(sides[1]).join(texts.select("d1", "text"), "d1").select("a", "b", "side", "d1", "text")
-    dealt = both.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "side", "d1")
-    met = dealt.mapInArrow(_by_group(_compare_members(percent), ["x", "y"], 2), "x long, y long")
-    edges = local.select(F.col("d1").alias("a"), F.col("root").alias("b")).unionByName(pairs.where("linked = 1").select("a", "b")).unionByName(met.toDF("a", "b"))
-    joined = components(edges).withColumnRenamed("node", "d1")
-    return joined.unionByName(local.where("d1 = root").join(joined.select("d1"), "d1", "left_anti"))
+    leaders = large.groupBy("root", "part", "leader").agg(F.min("component").alias("component"), F.max("distance").alias("radius"), F.count("*").alias("members"))
+    # Any two parts of a group meet in a task of their own, which holds the leaders of those two and no more.
+    every = F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)
+    met = F.explode(F.transform(every, lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q"))))
+    led = leaders.join(F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST else sizes, leaders["root"] == sizes["big"]).withColumn("met", met).where("met.p < met.q")
+    side = F.when(F.col("part") == F.col("met.p"), 0).otherwise(1).cast("long").alias("side")
+    led = led.join(texts.select(F.col("name").alias("leader"), "text"), "leader").select("root", "met.p", "met.q", side, "leader", "component", "radius", "members", "text")
+    dealt = led.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "side", "leader")
+    schema = "root long, p long, q long, side long, a long, b long"
+    pairs = materialize(dealt.mapInArrow(_by_group(_compare_leaders(percent), [c.split()[0] for c in schema.split(", ")], 3), schema), "leader-pairs")
+    # The members of clusters that may still hold a link, once for each two parts.
+    members = large.select(F.col("leader").alias("a"), "name")
+    both = pairs.where("side >= 0").join(members, "a").select("root", "p", "q", "side", "b", "name").join(texts.select("name", "text"), "name")
+    dealt = both.select("root", "p", "q", "side", "b", "name", "text").repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "side", "name")
+    members_met = dealt.mapInArrow(_by_group(_compare_members(percent), ["x", "y"], 3), "x long, y long")
+    edges = local.select(F.col("name").alias("a"), F.col("root").alias("b")).unionByName(pairs.where("side < 0").select("a", "b")).unionByName(members_met.toDF("a", "b"))
+    joined = components(edges).withColumnRenamed("node", "name")
+    return joined.unionByName(local.where("name = root").join(joined.select("name"), "name", "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
@@ -489,22 +558,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     """
     docs = docs.select("doc_id", "text")
     told = materialize(shingle_table(docs), "shingles")
-    possible = materialize(possible_classes(docs, told, percent), "possible")
-    met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("d1", "z")
-    texts = materialize(met.mapInArrow(_own_texts, "d1 long, n long, text string"), "texts")
+    # A stored number names the class from here on.
+    possible = materialize(possible_classes(docs, told, percent).withColumn("name", F.monotonically_increasing_id()), "possible")
+    met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("name", "d1", "d2", "z")
+    texts = materialize(met.mapInArrow(_own_texts, "name long, n long, text string"), "texts")
     groups = materialize(candidate_groups(texts, percent), "groups")
     links = materialize(class_links(texts, groups, percent, group), "links")
     discard(texts)
-    nodes = possible.join(links, "d1")
+    nodes = possible.join(links, "name")
     roots = nodes.groupBy("root").agg(F.min("node").alias("component"))
-    found = materialize(nodes.join(roots, "root").select("d1", "component"), "roots")
+    found = materialize(nodes.join(roots, "root").select("d1", "d2", "component"), "roots")
     for done in (possible, groups, links):
         discard(done)
-    copies = told.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("first"))
+    copies = told.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     # Stored, so that the last join has a shuffle on either side and Spark can split the partition of a class of many copies.
-    classes = materialize(copies.join(found, "d1", "left").select("d1", F.coalesce("component", "first").alias("component")), "components").hint("merge")
+    component = F.coalesce("component", "first").alias("component")
+    classes = materialize(copies.join(found, ["d1", "d2"], "left").select("d1", "d2", component), "components").hint("merge")
+    discard(found)
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return told.join(classes, "d1", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return told.join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

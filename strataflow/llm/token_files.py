@@ -8,6 +8,7 @@ the rows, so that files are committed and read by Spark wherever the shared fold
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 from .repair import Grammar, compress
-from .wordcache import BATCH_CHARS, IdCache, batches
+from .wordcache import BATCH_CHARS, IdCache, runs, spans
 
 END_ID = 2
 #: A grammar covers so many ids of a shard, which bounds the memory of writing and the work of reading one document.
@@ -42,6 +43,7 @@ def _tokenizer(path: str):
 # A mark right behind a letter or digit is a token of its own to the splitting pattern (an apostrophe may not be). Only letters
 # that are letters in every version of Unicode; marks behind others stay with their word.
 _BEFORE_MARK = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~])"
+_SPACE = re.compile(" ")
 
 
 class WordCache:
@@ -98,20 +100,20 @@ class WordCache:
         if not self.by_word:
             return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, self.kind) for t in texts]
         out = []
-        for at, cut in batches(texts, chars):
-            runs = [_prepared(t) if t else "" for t in texts[at:cut]]
+        for at, cut in spans(texts, chars):
+            whole = [_prepared(t) if t else "" for t in texts[at:cut]]
             if cut == at + 1:
-                out.append(np.concatenate([self._ids(run)[0] for run in _runs(runs[0], chars)]))
+                out.append(np.concatenate([self._ids(run)[0] for run in runs(whole[0], chars, _SPACE)]))
                 continue
-            ids, stops = self._ids(*runs)
+            ids, stops = self._ids(*whole)
             out += [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def _ids(self, *runs: str) -> tuple[np.ndarray, list[int]]:
-        apart = pa.array([run if "<|" not in run else None for run in runs], pa.large_string())
+    def _ids(self, *parts: str) -> tuple[np.ndarray, list[int]]:
+        apart = pa.array([p if "<|" not in p else None for p in parts], pa.large_string())
         apart = pc.replace_substring_regex(apart, pattern=_BEFORE_MARK, replacement=r"\1 \2")
         if apart.null_count:  # what may hold a special token stays as it is
-            apart = pc.coalesce(apart, pa.array(runs, pa.large_string()))
+            apart = pc.coalesce(apart, pa.array(parts, pa.large_string()))
         split = pc.split_pattern(apart, " ")
         ids, ends = self.cache.ids(split.flatten())
         return ids, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
@@ -124,15 +126,6 @@ def _prepared(text: str) -> str:
     return text.replace("\n", " ")
 
 
-def _runs(text: str, chars: int):
-    """A text in runs of about ``chars`` characters, cut at spaces."""
-    at = 0
-    while len(text) - at > chars and (cut := text.find(" ", at + chars)) >= 0:
-        yield text[at:cut]
-        at = cut + 1
-    yield text[at:]
-
-
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordCache:
     """One cache for all tasks of a worker process."""

@@ -6,7 +6,8 @@ by numpy. The number of strings kept is bounded; the oldest quarter goes when it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -51,7 +52,7 @@ class IdCache:
         return flat[np.repeat(move, width) + np.arange(int(ends[-1]))], ends
 
 
-def batches(texts: list[str | None], chars: int = BATCH_CHARS):
+def spans(texts: list[str | None], chars: int = BATCH_CHARS):
     """(from, to) of runs of texts of up to ``chars`` characters, or of one longer text."""
     at = 0
     while at < len(texts):
@@ -61,3 +62,12 @@ def batches(texts: list[str | None], chars: int = BATCH_CHARS):
             cut += 1
         yield at, cut
         at = cut
+
+
+def runs(text: str, chars: int, space: re.Pattern) -> Iterator[str]:
+    """A text in runs of about ``chars`` characters, cut at single white-space characters, which are left out."""
+    at = 0
+    while len(text) - at > chars and (m := space.search(text, at + chars)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
