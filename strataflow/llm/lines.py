@@ -60,14 +60,13 @@ def dedup_lines(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with the text that is left, and the names of two long columns: lines and lines removed.
 
     Null texts stay null and have no lines; documents of fewer than three lines lose none; a
-    document whose every line goes keeps its row with an empty text; other columns pass through.
+    document whose every line goes keeps its row with an empty text; rows that repeat id and text are one document, so that each
+    keeps what the others keep; an empty table gives an empty one; other columns pass through, whatever their names.
     """
-    n_lines, n_removed, h, c = (free_name(docs, x) for x in ("n_lines", "n_removed", "text_hash", "covered"))
-    gone = covered_lines(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias(f"{h}_id"), F.col("text_hash").alias(f"{h}_other"), F.col("covered").alias(c)
-    )
+    n_lines, n_removed, h, i, other, c = (free_name(docs, x) for x in ("n_lines", "n_removed", "text_hash", "hash_id", "hash_other", "covered"))
+    gone = covered_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias(i), F.col("text_hash").alias(other), F.col("covered").alias(c))
     left = docs.withColumn(h, F.xxhash64("text"))
-    joined = left.join(gone, left["doc_id"].eqNullSafe(gone[f"{h}_id"]) & (left[h] == gone[f"{h}_other"]), "left")
+    joined = left.join(gone, left["doc_id"].eqNullSafe(gone[i]) & (left[h] == gone[other]), "left")
     ls = free_name(docs, "line_array")
     split = joined.withColumn(ls, F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(c))

@@ -178,15 +178,20 @@ def _verdict(c: str, cut: str) -> Column:
     return ~base_failed(c) & ~fired
 
 
+def _stratum(docs: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in docs.columns else F.lit("")
+
+
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.1, stratum: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(verdicts, cutoffs): one row per document with doc_id, stratum, counts, base_failed, kept.
 
-    Null texts are empty and fail the base rule; a null stratum is a stratum of its own ("");
+    Null texts are empty and fail the base rule; a null stratum is a stratum of its own (""), and so are all rows where there
+    is no such column;
     repeated rows each get their verdict; empty labels or documents give no cutoffs; whatever other
     columns ``docs`` has are not touched.
     """
     stats = materialize(
-        with_counts(docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "text"), "counts", ["doc_id", "stratum"]), "quality"
+        with_counts(docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), "text"), "counts", ["doc_id", "stratum"]), "quality"
     )
     chosen = materialize(cutoffs(stats, labels, "counts", alpha, delta), "cutoffs")
     cut = chosen.select("stratum", F.struct(*(f"t_{r}" for r in RULES)).alias("cut"))
@@ -202,9 +207,10 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **
     _, chosen = quality_verdicts(docs, labels, stratum=stratum, **options)
     c = free_name(docs, "quality_counts")
     s = free_name(docs, "quality_stratum")
-    cut = chosen.select(F.col("stratum").alias(s), F.struct(*(f"t_{r}" for r in RULES)).alias(f"{s}_cut"))
-    frame = with_counts(docs, c).withColumn(s, F.coalesce(F.col(stratum), F.lit(""))).join(cut, s, "left")
-    return frame.where(_verdict(c, f"{s}_cut")).select(*docs.columns)
+    t = free_name(docs, "quality_cut")
+    cut = chosen.select(F.col("stratum").alias(s), F.struct(*(f"t_{r}" for r in RULES)).alias(t))
+    frame = with_counts(docs, c).withColumn(s, _stratum(docs, stratum)).join(cut, s, "left")
+    return frame.where(_verdict(c, t)).select(*docs.columns)
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
