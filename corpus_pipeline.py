@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm.bpe import roundtrip
-from strataflow.llm.common import materialize, table
+from strataflow.llm.common import discard, free_name, materialize, table
 from strataflow.llm.decontam import drop_contaminated
 from strataflow.llm.jaccard import keep_one_row
 from strataflow.llm.lines import dedup_lines
@@ -24,28 +24,37 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts have no words and go; without a ``lang`` column all documents are one stratum; repeated rows get one verdict each;
+    empty labels leave the base rules; an empty table stays empty. Columns pass through."""
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts stay null; rows that repeat id and text are one document; of equal windows the one of the smallest id and position
+    stays. ``n_chars``, where it is, is taken again. Other columns pass through."""
     out, _, _ = dedup_lines(docs)
     out = out.select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without words stay, as they link with nothing; rows are told apart by a number of their own, so that repeated and null
+    ids are no matter; of equal ids in a component any one row stays. Columns pass through."""
     return keep_one_row(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and empty ones stay; benchmark items without id count, those without text do not; with no items all
+    documents stay. Columns pass through."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), without_id=True)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All rows and columns, and token_ids, intact and n_tokens, each under the next free name if the input has it. Null texts
+    have no ids."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     coded = roundtrip(docs, path, public_tokenizers.PATTERN)
-    ids, intact = coded.columns[len(docs.columns) :]
-    return coded.select(*docs.columns, F.col(ids).alias("token_ids"), F.size(ids).cast("long").alias("n_tokens"), F.col(intact).alias("intact"))
+    return coded.withColumn(free_name(coded, "n_tokens"), F.size(coded.columns[len(docs.columns)]).cast("long"))
 
 
 STAGES = [
@@ -64,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again, as a job would."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
