@@ -1,10 +1,12 @@
 """Suffix-array dedup: bytes covered by a 200-byte string that starts anywhere else too are removed.
 
-1. Every window of 200 bytes has an anchor, the leftmost smallest hash among its 32-byte strings, so that
-   equal windows have equal anchors. Consecutive windows with one anchor position are a strip.
+1. Every window of 200 bytes has an anchor, the smallest hash among its 32-byte strings, so that
+   equal windows have equal anchors. Consecutive windows with one anchor are a strip, cut after ``STRIP`` windows, so that
+   a passage of short period makes few strips, equal to each other.
 2. Anchors that occur once are dropped by aggregation: none of their windows can occur elsewhere. Nothing is lost.
-3. The other strips go to the shard of their anchor, equal strips of a batch as one. A shard keeps
-   distinct strips with their number of occurrences, and sorts all their suffixes by external induced sorting
+3. The other strips go to the bucket of their anchor, equal strips of a batch as one. The number of buckets grows with the number
+   of anchors, and a task works them off one after the other. A shard is some anchors of a bucket, of ``SHARD_BYTES`` or one
+   anchor: it has distinct strips with their number of occurrences, and sorts all their suffixes by external induced sorting
    (``induced``): a window is repeated if its strip occurs twice or its common prefix with a neighbour in
    suffix order reaches 200 bytes.
 4. Repeated windows return to their documents as ranges and are merged there.
@@ -26,6 +28,9 @@ from .induced import SEPARATOR, repeated_starts
 
 WINDOW = 200
 ANCHOR = 32
+STRIP = 4096
+ANCHORS_PER_BUCKET = 10_000
+SHARD_BYTES = 2_000_000
 _BLOCK = 1 << 18  # bytes hashed at once: bounds memory for texts of any length
 _B = 0x9E3779B97F4A7C15
 
@@ -54,10 +59,10 @@ class Anchors:
             h ^= h >> np.uint64(29)
         return h
 
-    def strips(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window start, end of window starts, anchor hash) of each strip."""
+    def strips(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window start, end of window starts, anchor hash, whether the anchor is there more than once) of each strip."""
         whole = np.frombuffer(raw, np.uint8)
-        starts, hashes, last = [], [], None
+        starts, hashes, more = [], [], []
         n_windows = len(whole) - self.window + 1
         for at in range(0, max(0, n_windows), _BLOCK):
             a = whole[at : at + _BLOCK + self.window - 1]
@@ -68,16 +73,20 @@ class Anchors:
                 width *= 2
             if want > width:
                 low = np.minimum(low[: len(low) - (want - width)], low[want - width :])
-            # A window keeps its strip's anchor while the minimum stays and its first place is not left behind.
             change = np.concatenate([[True], low[1:] != low[:-1]])
-            change[1:] |= h[: len(low) - 1] == low[:-1]
             cut = np.flatnonzero(change)
+            size = np.diff(np.append(cut, len(low)))
+            if size.max() > STRIP:
+                cut = np.concatenate([np.arange(a, a + n, STRIP) for a, n in zip(cut.tolist(), size.tolist(), strict=True)])
+            # The minimum stayed though its first place was left behind: it is there again.
+            again = np.concatenate([[False], h[: len(low) - 1] == low[:-1]]) & ~change
             starts.append(cut + at)
             hashes.append(low[cut])
+            more.append(np.logical_or.reduceat(again, cut))
         if not starts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         s = np.concatenate(starts)
-        return s, np.append(s[1:], n_windows), np.concatenate(hashes).view(np.int64)
+        return s, np.append(s[1:], n_windows), np.concatenate(hashes).view(np.int64), np.concatenate(more)
 
 
 def repeated_anchors(base: DataFrame, window: int) -> DataFrame:
@@ -86,8 +95,9 @@ def repeated_anchors(base: DataFrame, window: int) -> DataFrame:
     def count(batches):
         find = Anchors(window)
         for batch in batches:
-            found = [find.strips(as_bytes(t))[2] for t in batch.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate([*found, np.empty(0, np.int64)]), return_counts=True)
+            found = [find.strips(as_bytes(t)) for t in batch.column(0).to_pylist()]
+            every = np.concatenate([np.empty(0, np.int64), *(f[2] for f in found), *(f[2][f[3]] for f in found)])
+            values, n = np.unique(every, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(n, 2))], names=["h", "n"])
 
     return base.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
@@ -103,7 +113,7 @@ def _cut_strips(window: int, buckets: int):
             found: dict[int, dict[tuple[int, bytes], list[int]]] = defaultdict(dict)
             for k, (i, mark) in enumerate(zip(ids, marks, strict=True)):
                 raw = unzipped(batch.column(2)[k].as_py())
-                start, end, h = find.strips(raw)
+                start, end, h, _ = find.strips(raw)
                 hit = np.flatnonzero(np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False)))
                 null, i = int(i is None), i or 0
                 for a, b, x in zip(start[hit].tolist(), end[hit].tolist(), h[hit].tolist(), strict=True):
@@ -128,49 +138,52 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sort_shard(rows: list[tuple[int, bytes, int]], window: int, **options) -> list[list[tuple[int, int]]]:
-    """Ranges of repeated window starts in each distinct strip (anchor, bytes, occurrences) of a shard.
+    """Ranges of repeated window starts in each distinct strip (anchor, bytes, occurrences) of a shard."""
+    sep = bytes([SEPARATOR])
+    text = np.frombuffer(sep.join(s for _, s, _ in rows) + sep, np.uint8)
+    hit = repeated_starts(text, window, **options)
+    out, at = [], 0
+    for _, s, n in rows:
+        windows = len(s) - window + 1
+        out.append([(0, windows)] if n > 1 else _runs(hit[at : at + windows]))
+        at += len(s) + 1
+    return out
 
-    Strips whose anchor has no other strip meet no suffix that could share a window, so that their
-    number of occurrences decides; all others are sorted together.
-    """
-    many: dict[int, int] = defaultdict(int)
-    for h, _, _ in rows:
-        many[h] += 1
-    out: list[list[tuple[int, int]]] = [[(0, len(s) - window + 1)] if n > 1 else [] for _, s, n in rows]
-    sorted_rows = [i for i, (h, _, _) in enumerate(rows) if many[h] > 1]
-    if sorted_rows:
-        sep = bytes([SEPARATOR])
-        text = np.frombuffer(sep.join(rows[i][1] for i in sorted_rows) + sep, np.uint8)
-        hit = repeated_starts(text, window, **options)
-        at = 0
-        for i in sorted_rows:
-            n = len(rows[i][1])
-            if rows[i][2] < 2:
-                out[i] = _runs(hit[at : at + n - window + 1])
-            at += n + 1
+
+def sort_bucket(rows: list[tuple[int, bytes, int]], window: int, shard_bytes: int = SHARD_BYTES, **options) -> list[list[tuple[int, int]]]:
+    """As ``sort_shard`` for a bucket, shard by shard: strips of different anchors have no window in common."""
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    ends = np.cumsum([len(rows[i][1]) + 1 for i in order])
+    out: list[list[tuple[int, int]]] = [[]] * len(rows)
+    at = 0
+    while at < len(order):
+        cut = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard_bytes, "right")))
+        while cut < len(order) and rows[order[cut]][0] == rows[order[cut - 1]][0]:
+            cut += 1
+        shard = order[at:cut]
+        for i, found in zip(shard, sort_shard([rows[i] for i in shard], window, **options), strict=True):
+            out[i] = found
+        at = cut
     return out
 
 
 def _sort_shards(window: int):
-    """Packed rows of a shard to (doc_id, mark, ranges), the ranges as one binary of int64 pairs."""
+    """Packed rows, by bucket, to (doc_id, mark, ranges), the ranges as one binary of int64 pairs."""
 
-    def run(batches):
+    def flush(packed):
         number: dict[tuple[int, bytes], int] = {}
         who, places = [], []
-        for batch in batches:
-            for head, body, own in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-                head = np.frombuffer(unzipped(head.as_py()), np.int64).reshape(-1, 3)
-                body, at, found = unzipped(body.as_py()), 0, []
-                for h, n, _ in head.tolist():
-                    found.append(number.setdefault((h, body[at : at + n]), len(number)))
-                    at += n
-                who.append(np.repeat(np.array(found, np.int64), head[:, 2]))
-                places.append(np.frombuffer(unzipped(own.as_py()), np.int64).reshape(-1, 4))
-        if not who:
-            return
+        for head, body, own in packed:
+            head = np.frombuffer(unzipped(head.as_py()), np.int64).reshape(-1, 3)
+            body, at, found = unzipped(body.as_py()), 0, []
+            for h, n, _ in head.tolist():
+                found.append(number.setdefault((h, body[at : at + n]), len(number)))
+                at += n
+            who.append(np.repeat(np.array(found, np.int64), head[:, 2]))
+            places.append(np.frombuffer(unzipped(own.as_py()), np.int64).reshape(-1, 4))
         owner, places = np.concatenate(who), np.concatenate(places)
         times = np.bincount(owner, minlength=len(number))
-        ranges = sort_shard([(h, s, int(n)) for (h, s), n in zip(number, times, strict=True)], window)
+        ranges = sort_bucket([(h, s, int(n)) for (h, s), n in zip(number, times, strict=True)], window)
         del number
         have = np.array([len(r) for r in ranges])
         flat = np.array([x for r in ranges for x in r], np.int64).reshape(-1, 2)
@@ -192,6 +205,18 @@ def _sort_shards(window: int):
                 names=["doc_id", "mark", "ranges"],
             )
 
+    def run(batches):
+        bucket, packed = None, []
+        for batch in batches:
+            for b, *row in zip(*batch.columns, strict=True):
+                if packed and b.as_py() != bucket:
+                    yield from flush(packed)
+                    packed = []
+                bucket = b.as_py()
+                packed.append(row)
+        if packed:
+            yield from flush(packed)
+
     return run
 
 
@@ -223,8 +248,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hit = again.groupBy("doc_id", "mark").agg(F.collect_set("h").alias("anchors")).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "anchors")
     texts = shrunk(base, ["doc_id", "mark"])
     met = texts.join(hit, texts["doc_id"].eqNullSafe(hit["i"]) & (texts["mark"] == hit["m"])).select("doc_id", "mark", "z", "anchors")
-    cut = met.mapInArrow(_cut_strips(window, parts), "bucket long, head binary, body binary, places binary")
-    shards = cut.repartitionById(parts, F.col("bucket").cast("int")) if hasattr(cut, "repartitionById") else cut.repartition(parts, "bucket")
+    buckets = max(parts, known.count() // ANCHORS_PER_BUCKET)
+    cut = met.mapInArrow(_cut_strips(window, buckets), "bucket long, head binary, body binary, places binary")
+    shards = cut.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
     ranges = shards.mapInArrow(_sort_shards(window), "doc_id long, mark long, ranges binary")
     return ranges.groupBy("doc_id", "mark").agg(F.collect_list("ranges").alias("ranges"))
 
