@@ -9,17 +9,20 @@ import argparse
 import json
 import os
 import re
+import runpy
 import sys
-from dataclasses import asdict, dataclass, fields
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import SparkSession
 
 from .plans import codegen, drift, planner, renames, replay, runstate, scope
-from .plans.model import read_snapshot
-from .plans.plugins import Plugin, Runtime
+from .plans.model import Definition, read_snapshot
+from .plans.plugins import Plugin, PluginError, Runtime, load
 from .sources import catalog, files, journal
 
 CONFIG = "strataflow.json"
+CONFIGS = (CONFIG, "strataflow_config.py")
 
 
 @dataclass
@@ -32,31 +35,52 @@ class Config:
     allow_destructive: bool = False
     fail_on: tuple[str, ...] = ("pending", "checksum", "drift")
     generated: str = "generated_schemas.py"
+    ingest_file: str | None = None
+    plugins: tuple[str, ...] = ()
+    backfill_required: bool = True
 
 
 class ConfigError(ValueError):
     """A configuration file that cannot be used."""
 
 
-def load_config(path: str | None) -> Config:
-    path = path or CONFIG
+def load_config(path: str | None, environment: Mapping[str, str] = os.environ) -> Config:
+    """Settings from a JSON file, or from ``config`` in a Python file: a dictionary, or a function of the environment that
+    returns one. A file that is named must be there."""
+    given, path = path, path or next((p for p in CONFIGS if os.path.exists(p)), CONFIGS[0])
     if not os.path.exists(path):
+        if given:
+            raise ConfigError(f"{path} is not there")
         return Config()
-    with open(path) as f:
-        raw = json.load(f)
+    if path.endswith(".py"):
+        raw = runpy.run_path(path).get("config")
+        raw = raw(dict(environment)) if callable(raw) else raw
+    else:
+        with open(path) as f:
+            raw = json.load(f)
+    if not isinstance(raw, dict):
+        raise ConfigError(f"{path} has no settings")
     unknown = set(raw) - {f.name for f in fields(Config)}
     if unknown:
         raise ConfigError(f"unknown settings {sorted(unknown)}")
     return Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
+def _ask(question: str) -> bool:
+    """False without asking where there is no terminal."""
+    return sys.stdin.isatty() and not os.environ.get("CI") and input(question).strip().lower() in ("y", "yes")
+
+
 def _session(config: Config) -> SparkSession:
     return SparkSession.builder.config("spark.sql.warehouse.dir", os.path.abspath(config.warehouse)).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 class Cli:
-    def __init__(self, plugins: list[Plugin] | None = None):
-        self.runtime = Runtime(plugins or [])
+    """``plugins`` come before those that the configuration names, of which one with a name that is taken is left out; ``confirm``
+    answers whether dangerous operations may run, where somebody is there to ask."""
+
+    def __init__(self, plugins: list[Plugin] | None = None, confirm: Callable[[str], bool] | None = None):
+        self.given, self.runtime, self.confirm = list(plugins or []), Runtime([]), confirm or _ask
 
     def parser(self) -> argparse.ArgumentParser:
         p = argparse.ArgumentParser(prog="strataflow")
@@ -87,6 +111,9 @@ class Cli:
         c.add_argument("--check", action="store_true")
         c.add_argument("--out-file")
         c.add_argument("--emit-ingest", action="store_true")
+        c.add_argument("--ingest-out-file")
+        c.add_argument("--include-views", action="store_true")
+        c.add_argument("--style", choices=codegen.STYLES, default="pascal")
         c.add_argument("--integers", choices=("exact", "long"), default="exact")
         c.add_argument("--lenient", action="store_true")
         u = add("pull")
@@ -100,11 +127,14 @@ class Cli:
             bp.add_argument(flag, required=True, dest=name)
         bp.add_argument("--chunk-hours", type=float, default=6)
         bp.add_argument("--time-column")
+        bp.add_argument("--max-parallel", type=int, default=1)
+        bp.add_argument("--max-attempts", type=int, default=3)
         bp.add_argument("--force-large-window", action="store_true")
         bp.add_argument("--force", action="store_true")
         for name in ("run", "resume"):
             r = b.add_parser(name)
             r.add_argument("--plan-id", required=True)
+            r.add_argument("--max-attempts", type=int)
             for flag in ("--replay-done", "--replay-failed", "--force-overlap", "--force-compatibility", "--force-environment"):
                 r.add_argument(flag, action="store_true")
             if name == "run":
@@ -118,6 +148,7 @@ class Cli:
         args = self.parser().parse_args(argv)
         try:
             config = load_config(args.config)
+            self.runtime = self._plugins(args, config)
             self.runtime.notify("init", {"command": args.command})
             self.runtime.notify("config", asdict(config))
             name = args.command if args.command != "backfill" else f"backfill_{args.action}"
@@ -125,7 +156,7 @@ class Cli:
             self.runtime.notify("complete", {"command": args.command, "code": code})
         except journal.DestructiveBlocked as e:
             code, payload = 3, {"error": "destructive_blocked", "operations": [asdict(w) for w in e.warnings]}
-        except (ConfigError, scope.SelectorError, renames.RenameError, replay.ReplayError) as e:
+        except (ConfigError, PluginError, scope.SelectorError, renames.RenameError, replay.ReplayError) as e:
             code, payload = 2, {"error": type(e).__name__, "message": str(e)}
         except (journal.ChecksumMismatch, runstate.StateError, files.SchemaNotFound, ValueError) as e:
             code, payload = 1, {"error": type(e).__name__, "message": str(e)}
@@ -136,6 +167,13 @@ class Cli:
                 print(f"{k}: {v}")
         return code
 
+    def _plugins(self, args, config: Config) -> Runtime:
+        folder = os.path.dirname(os.path.abspath(args.config or CONFIG))
+        names = {p.name for p in self.given}
+        loaded = [p for p in (load(entry, folder) for entry in config.plugins) if p.name not in names]
+        own = Plugin("backfill", check=lambda context: runstate.check(self._store(config), config.backfill_required))
+        return Runtime([*self.given, *loaded, *([own] if "backfill" not in names | {p.name for p in loaded} else [])])
+
     def _definitions(self, config: Config) -> list:
         return self.runtime.fold("schema", files.load_schema(config.schema))
 
@@ -198,14 +236,21 @@ class Cli:
             done = {r.name for r in log.read().collect()}
             waiting = [n for n in contents if n not in done and (only is None or n in only)]
             return 0, {"mode": "plan", "pending": waiting}
-        # Files hold the declared dialect; Spark gets to the same state object by object, from the snapshot's definitions.
-        state = {(d.database, d.name): d for d in read_snapshot(os.path.join(config.meta, "snapshot.json")) or []}
-        apply = Applier(spark, state, contents)
-        done = journal.apply_migrations(
-            log, contents, apply.statement, args.allow_destructive or config.allow_destructive, lambda n, s: apply.begin(n, self.runtime.before_apply(n, s)),
-            lambda n, s: self.runtime.notify("after_apply", n, s), only=only,
-        )
-        return 0, {"mode": "apply", "applied": done}
+        # Files hold the declared dialect; Spark gets to the same state object by object, from the definitions that each file leads to.
+        apply = Applier(spark, config.meta, contents)
+        allowed = args.allow_destructive or config.allow_destructive
+        while True:
+            try:
+                done = journal.apply_migrations(
+                    log, contents, apply.statement, allowed, lambda n, s: apply.begin(n, self.runtime.before_apply(n, s)),
+                    lambda n, s: self.runtime.notify("after_apply", n, s), only=only,
+                )
+                return 0, {"mode": "apply", "applied": done}
+            except journal.DestructiveBlocked as e:  # raised before anything is applied
+                lines = [f"{w.migration}: {w.type} {w.key}: {w.reason}; {w.impact}; {w.advice}" for w in e.warnings]
+                if args.json or not self.confirm("\n".join([*lines, "Apply all the same? [y/N] "])):
+                    raise
+                allowed = True
 
     def _state(self, spark: SparkSession, config: Config) -> journal.Status:
         contents = files.list_migrations(config.migrations)
@@ -231,11 +276,15 @@ class Cli:
         return 0, {"drifted": r.drifted, "objects": r.objects, "tables": [asdict(t) for t in r.tables], "summary": r.summary()}
 
     def do_check(self, args, config: Config):
-        state, r = self._state(_session(config), config), self._drift(args, config)
+        state = self._state(_session(config), config)
+        known = os.path.exists(os.path.join(config.meta, "snapshot.json"))
+        r = self._drift(args, config) if known else None
         found = self.runtime.findings({"status": asdict(state), "drift": r})
         self.runtime.notify("report", asdict(state), [x for v in found.values() for x in v])
-        failed = journal.check_findings(state, r.drifted, [f"{k}: {x}" for k, v in found.items() for x in v], args.strict, config.fail_on)
-        return int(bool(failed)), {"failed": failed, "status": asdict(state), "drifted": r.drifted, "plugins": found}
+        failed = journal.check_findings(state, r.drifted if r else None, found, args.strict, config.fail_on)
+        codes = {name: {"ok": f"plugin:{name}" not in failed, "findings": [asdict(x) for x in v]} for name, v in found.items()}
+        payload = {"ok": not failed, "failed": failed, "status": asdict(state), "drifted": bool(r and r.drifted), "drift_evaluated": known}
+        return int(bool(failed)), {**payload, "drift": r.summary() if r else {}, "plugins": codes}
 
     def do_plugin(self, args, config: Config):
         if not args.name:
@@ -243,13 +292,20 @@ class Cli:
         return self.runtime.command(args.name, args.plugin_command, args.rest), {"plugin": args.name, "command": args.plugin_command}
 
     def do_codegen(self, args, config: Config):
-        text, findings = codegen.render_schemas(self._definitions(config), integers=args.integers, strict=not args.lenient, ingest=args.emit_ingest)
-        path = args.out_file or config.generated
-        state = codegen.freshness(path, text)
+        definitions, apart = self._definitions(config), args.ingest_out_file or config.ingest_file
+        make = lambda ingest: codegen.render_schemas(definitions, args.style, args.integers, not args.lenient, ingest, args.include_views)
+        text, findings = make(args.emit_ingest and not apart)
+        files_ = {args.out_file or config.generated: text}
+        if args.emit_ingest and apart:
+            files_[apart] = make(True)[0]
+        states = {path: codegen.freshness(path, t) for path, t in files_.items()}
+        payload = {"file": next(iter(files_)), "findings": findings, "files": states}
         if args.check:
-            return int(state != "fresh"), {"file": path, "state": state, "findings": findings}
-        files.write_atomically(path, text)
-        return 0, {"file": path, "was": state, "findings": findings}
+            stale = [p for p, s in states.items() if s != "fresh"]
+            return int(bool(stale)), {**payload, "state": states[stale[0]] if stale else "fresh"}
+        for path, t in files_.items():
+            files.write_atomically(path, t)
+        return 0, {**payload, "was": states[payload["file"]]}
 
     def do_pull(self, args, config: Config):
         spark = _session(config)
@@ -273,7 +329,7 @@ class Cli:
         view = replay.view_for(definitions, target)
         column = replay.time_column(source, args.time_column)
         plan = runstate.make_plan(
-            self._store(config), args.target, args.start, args.end, column, "view" if view else "table", runstate.Options(chunk_hours=args.chunk_hours),
+            self._store(config), args.target, args.start, args.end, column, "view" if view else "table", runstate.Options(args.chunk_hours, args.max_parallel, args.max_attempts),
             os.path.abspath(config.warehouse), args.force_large_window, args.force,
         )
         return 0, {**asdict(plan), "chunks": len(runstate.plan_chunks(plan))}
@@ -295,17 +351,20 @@ class Cli:
             names = [c.name for c in table.columns]
             if view:
                 fn = replay.view_function(spark, view.query, f"{source.database}.{source.name}")
-                return out.apply(chunk.token, replay.replay(rows, fn, plan.column, chunk.start, chunk.end, names))
-            return out.apply(chunk.token, replay.self_replay(rows, table, plan.column, chunk.start, chunk.end))
+                return out.apply(chunk.token, replay.replay(rows, fn, plan.column, chunk.start, chunk.end, names), chunk.force)
+            return out.apply(chunk.token, replay.self_replay(rows, table, plan.column, chunk.start, chunk.end), chunk.force)
 
         return execute
 
     def _run(self, args, config: Config, resume: bool):
         store = self._store(config)
         plan = store.plan(args.plan_id)
+        options = plan.run_options()
+        if args.max_attempts:
+            options = replace(options, max_attempts=args.max_attempts)
         execute = self._execute(config, plan, getattr(args, "simulate_fail_chunk", None), getattr(args, "simulate_fail_count", 0))
         run = runstate.execute_run(
-            store, plan.id, execute, runstate.Options(), resume, args.replay_done, args.replay_failed, args.force_overlap, args.force_compatibility,
+            store, plan.id, execute, options, resume, args.replay_done, args.replay_failed, args.force_overlap, args.force_compatibility,
             args.force_environment, os.path.abspath(config.warehouse),
         )
         return int(run.status != "completed"), asdict(runstate.status(store, plan.id))
@@ -331,17 +390,23 @@ class Cli:
 class Applier:
     """Applies the operations of migration files to Spark's catalog, one by one in their order.
 
-    Alterations of one table in one file are applied together, at the first of them: the table goes to the state that the
-    snapshot declares, which the file's operations lead to. Renames of columns in the file carry their values over.
+    Alterations of one table in one file are applied together, at the first of them: the table goes to the state in the
+    snapshot of that file, which the file's operations lead to (files without one of their own use the last snapshot). What later
+    files change stays as it is until they are applied. Renames of columns in the file carry their values over.
     """
 
-    def __init__(self, spark: SparkSession, state: dict, contents: dict[str, str]):
-        self.spark, self.state, self.contents = spark, state, contents
+    def __init__(self, spark: SparkSession, meta: str, contents: dict[str, str]):
+        self.spark, self.meta, self.contents = spark, meta, contents
+        self.state: dict[tuple[str, str], Definition] = {}
         self.by_sql: dict[str, planner.Operation] = {}
         self.altered: set[tuple[str, str]] = set()
         self.renamed: dict[tuple[str, str], dict[str, str]] = {}
 
     def begin(self, name: str, statements: list[str]) -> list[str]:
+        found = read_snapshot(files.snapshot_of(self.meta, name))
+        if found is None:
+            found = read_snapshot(os.path.join(self.meta, "snapshot.json")) or []
+        self.state = {(d.database, d.name): d for d in found}
         clean = lambda s: s.rstrip().rstrip(";").strip()
         ops = files.operations_in(self.contents[name])
         self.by_sql = {clean(o.sql): o for o in ops}
@@ -363,13 +428,13 @@ class Applier:
         database, _, name = place.split(":")[0].partition(".")
         d = self.state.get((database, name))
         if o.type.startswith("drop_"):
-            catalog.run(self.spark, f"DROP {'VIEW' if o.type == 'drop_view' else 'TABLE'} IF EXISTS {database}.{name}")
+            catalog.run(self.spark, f"DROP {'TABLE' if o.type == 'drop_table' else 'VIEW'} IF EXISTS {database}.{name}")
         elif o.type == "alter_table_rename_table":
             old, new = (tuple(x.split(".")) for x in sql.removeprefix("RENAME TABLE ").split(" TO "))
             catalog.run(self.spark, f"CREATE DATABASE IF NOT EXISTS {new[0]}")
             catalog.rename_table(self.spark, old, new)
         elif o.type.startswith("create_"):
-            if d is not None and d.kind != "materialized_view":
+            if d is not None:
                 catalog.create(self.spark, d)
         elif d is not None and (database, name) not in self.altered:
             catalog.alter(self.spark, catalog.describe(self.spark, database, name), d, self.renamed.get((database, name)))

@@ -8,7 +8,8 @@ import re
 from pprint import pformat
 
 from ..functions.types import TypeMappingError, struct_field
-from .model import Definition, Table, View, canonical_all, to_dict
+from ..functions.vocabulary import translate_query
+from .model import Definition, Table, canonical_all, to_dict
 
 STYLES = ("pascal", "camel", "raw")
 HEADER = "# Generated from the declared schema; changes are overwritten.\n"
@@ -39,10 +40,14 @@ def unique_names(definitions: list[Definition], style: str = "pascal") -> dict[s
     return out
 
 
-def render_schemas(definitions: list[Definition], style: str = "pascal", integers: str = "exact", strict: bool = True, ingest: bool = False) -> tuple[str, list[str]]:
-    """(module text, findings). A column of an unknown type is an error, or when not strict a finding and a string."""
-    tables = [d for d in canonical_all(definitions) if isinstance(d, Table)]
-    names, findings = unique_names(tables, style), []
+def render_schemas(
+    definitions: list[Definition], style: str = "pascal", integers: str = "exact", strict: bool = True, ingest: bool = False, views: bool = False
+) -> tuple[str, list[str]]:
+    """(module text, findings). A column of an unknown type is an error, or when not strict a finding and a string. ``views`` adds a
+    function for each view and materialized view, which runs its declared query and so has the types that Spark gives it."""
+    shown = with_views(canonical_all(definitions), views)
+    tables, others = [d for d in shown if isinstance(d, Table)], [d for d in shown if not isinstance(d, Table)]
+    names, findings = unique_names([*tables, *others], style), []
     lines = [HEADER, "from pyspark.sql import types as T", ""]
     if ingest:
         lines = [HEADER, "from pyspark.sql import DataFrame", "from pyspark.sql import types as T", "", "from strataflow.operators.ingest import split", "from strataflow.plans.model import from_dict", ""]
@@ -62,6 +67,11 @@ def render_schemas(definitions: list[Definition], style: str = "pascal", integer
         if ingest:
             lines += ["", f"_{name} = from_dict(", *(f"    {x}" for x in pformat(to_dict(t), width=140, sort_dicts=True).split("\n")), ")", ""]
             lines += ["", f"def ingest_{name}(rows: DataFrame) -> tuple[DataFrame, DataFrame]:", '    """Valid rows in the table\'s types, and the others with their problems."""', f"    return split(rows, _{name})", ""]
+    if others:
+        lines = [x for x in lines if x != "from pyspark.sql import DataFrame"]
+        lines.insert(1, "from pyspark.sql import DataFrame, SparkSession")
+    for d in others:
+        lines += ["", f"def read_{names[f'{d.database}.{d.name}']}(spark: SparkSession) -> DataFrame:", f'    """{d.kind} {d.database}.{d.name}"""', f"    return spark.sql({translate_query(d.query)!r})", ""]
     return "\n".join(lines) + "\n", findings
 
 
@@ -89,4 +99,4 @@ def skipped(objects: list[tuple[str, str, str]], definitions: list[Definition])
 
 
 def with_views(definitions: list[Definition], include: bool) -> list[Definition]:
-    return definitions if include else [d for d in definitions if not isinstance(d, View)]
+    return definitions if include else [d for d in definitions if isinstance(d, Table)]

@@ -146,10 +146,13 @@ def properties(d: Table) -> dict[str, str]:
 
 def spark_create(d: Definition) -> str:
     if isinstance(d, (View, MaterializedView)):
-        kind = "CREATE OR REPLACE VIEW" if isinstance(d, View) else None
-        if kind is None:
-            raise ValueError("a materialized view is kept up by streaming.views or plans.replay, not by DDL")
-        return f"{kind} {place(d)} AS {translate_query(d.query)}"
+        # The catalog entry of a materialized view is a view with its query: streaming.views and plans.replay move the rows.
+        held = {"declared.kind": d.kind, "declared.query": d.query}
+        if isinstance(d, MaterializedView):
+            held["declared.to"] = ".".join(d.to)
+        props = ", ".join(f"{quote_literal(k)} = {quote_literal(v)}" for k, v in held.items())
+        comment = f" COMMENT {quote_literal(d.comment)}" if d.comment else ""
+        return f"CREATE OR REPLACE VIEW {place(d)}{comment} TBLPROPERTIES ({props}) AS {translate_query(d.query)}"
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" + (f" COMMENT {quote_literal(f.metadata['comment'])}" if f.metadata.get("comment") else "") for f in d.spark_schema())
     props = ", ".join(f"{quote_literal(k)} = {quote_literal(v)}" for k, v in properties(d).items())
     comment = f" COMMENT {quote_literal(d.comment)}" if d.comment else ""

@@ -108,7 +108,7 @@ def compare(expected: list[Definition], actual: list[Definition]) -> DriftReport
         other = have.get(k)
         if other is None:
             objects.append(("missing_object", k))
-        elif other.kind != d.kind and not (d.kind == "materialized_view" and other.kind == "view"):
+        elif other.kind != d.kind:
             objects.append(("kind_mismatch", k))
         elif isinstance(d, Table) and isinstance(other, Table) and (found := compare_tables(d, other)):
             tables.append(found)

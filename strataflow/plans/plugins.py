@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+import os
+import runpy
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
+from .. import __version__
 from ..functions.text import normalize_engine
 from .model import Definition, Table
 from .planner import Plan
@@ -18,6 +22,15 @@ class PluginError(RuntimeError):
     """A plugin that cannot be loaded or whose hook failed; names the plugin and the hook."""
 
 
+@dataclass(frozen=True)
+class Finding:
+    """What a check found; only errors fail it."""
+
+    code: str
+    severity: str = "error"
+    message: str = ""
+
+
 @dataclass
 class Plugin:
     """Hooks are optional. ``schema``, ``plan`` and ``before_apply`` return what goes on; the others only look on."""
@@ -30,10 +43,11 @@ class Plugin:
     plan: Callable[[Plan], Plan] | None = None
     before_apply: Callable[[str, list[str]], list[str]] | None = None
     after_apply: Callable[[str, list[str]], None] | None = None
-    check: Callable[[dict], list[str]] | None = None
-    report: Callable[[dict, list[str]], None] | None = None
+    check: Callable[[dict], list[Finding | str]] | None = None
+    report: Callable[[dict, list[Finding]], None] | None = None
     complete: Callable[[dict], None] | None = None
     commands: dict[str, Callable[[list[str]], int]] = field(default_factory=dict)
+    needs_version: str | None = None  # of this package, at least
 
 
 class Runtime:
@@ -44,6 +58,8 @@ class Runtime:
         for p in plugins:
             if p.api_version != API_VERSION:
                 raise PluginError(f"{p.name}: api version {p.api_version}, here {API_VERSION}")
+            if p.needs_version and _numbers(p.needs_version) > _numbers(__version__):
+                raise PluginError(f"{p.name}: needs version {p.needs_version}, here {__version__}")
             if p.name in seen:
                 raise PluginError(f"{p.name} is given twice")
             seen.add(p.name)
@@ -68,14 +84,14 @@ class Runtime:
     def before_apply(self, name: str, statements: list[str]) -> list[str]:
         return reduce(lambda s, p: self._call(p, "before_apply", name, s), self._with("before_apply"), statements)
 
-    def findings(self, context: dict) -> dict[str, list[str]]:
-        """What each plugin's check found; a check that fails is a finding."""
+    def findings(self, context: dict) -> dict[str, list[Finding]]:
+        """What each plugin's check found; a plain text is an error, and so is a check that fails."""
         out = {}
         for p in self._with("check"):
             try:
-                out[p.name] = list(p.check(context))
+                out[p.name] = [f if isinstance(f, Finding) else Finding(f) for f in p.check(context)]
             except Exception as e:
-                out[p.name] = [f"check failed: {e}"]
+                out[p.name] = [Finding("check_failed", "error", str(e))]
         return out
 
     def command(self, plugin: str, name: str, args: list[str]) -> int:
@@ -85,6 +101,25 @@ class Runtime:
         return p.commands[name](args)
 
 
+def _numbers(version: str) -> tuple[int, ...]:
+    return tuple(int(x) for x in version.split("."))
+
+
+def load(entry: str, folder: str = ".") -> Plugin:
+    """The plugin that ``module:name`` or ``file.py:name`` (``plugin`` without a name) stands for; paths are relative to ``folder``."""
+    place, _, name = entry.rpartition(":") if ":" in entry else (entry, "", "plugin")
+    try:
+        found = runpy.run_path(os.path.join(folder, place)) if place.endswith(".py") else vars(importlib.import_module(place))
+    except Exception as e:
+        raise PluginError(f"{entry}: {e}") from e
+    found = found.get(name)
+    if callable(found) and not isinstance(found, Plugin):
+        found = found()
+    if not isinstance(found, Plugin):
+        raise PluginError(f"{entry}: no plugin named {name}")
+    return found
+
+
 def unshare(definitions: list[Definition]) -> list[Definition]:
     """Shared engines as the plain ones they share: a schema hook for catalogs without shared storage."""
     return [replace(d, engine=normalize_engine(d.engine)) if isinstance(d, Table) else d for d in definitions]

@@ -42,6 +42,7 @@ class Chunk:
     token: str
     start: dt.datetime
     end: dt.datetime
+    force: bool = False  # apply it even if its token is in the ledger
 
 
 def parse_time(text: str | dt.datetime) -> dt.datetime:
@@ -168,13 +169,16 @@ def view_function(spark: SparkSession, query: str, source: str) -> ViewFn:
     return view
 
 
-LEDGER = T.StructType([T.StructField("token", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("applied_at", T.TimestampType())])
+LEDGER = T.StructType(
+    [T.StructField("token", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("applied_at", T.TimestampType()), T.StructField("folder", T.StringType())]
+)
 
 
 class Target:
-    """A replayed table: one folder for each applied chunk, and the ledger of applied tokens.
+    """A replayed table: a folder for each applied chunk, and the ledger of applied tokens.
 
-    ``read`` only sees folders in the ledger. With an engine of merging semantics, pass the result to
+    ``read`` only sees the folders that the ledger names last for their token, so that a chunk that is replayed again is
+    exchanged at once, when its new folder is in the ledger. With an engine of merging semantics, pass the result to
     ``operators.merge.final``.
     """
 
@@ -187,22 +191,29 @@ class Target:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(f"{self.path}/_ledger")
 
-    def tokens(self) -> set[str]:
-        return {r.token for r in self._ledger().select("token").distinct().collect()}  # one for each chunk
+    def entries(self) -> DataFrame:
+        """(token, rows, folder, times): what counts for each token, and how often it was applied."""
+        last = F.max_by(F.struct("rows", "folder"), "applied_at").alias("last")
+        return self._ledger().groupBy("token").agg(last, F.count("*").alias("times")).select("token", "last.rows", F.coalesce("last.folder", F.concat(F.lit("chunk="), "token")).alias("folder"), "times")
 
-    def apply(self, token: str, rows: DataFrame) -> int:
-        """Writes a chunk unless its token is in the ledger; returns the rows written."""
-        if token in self.tokens():
-            return 0
-        folder = f"{self.path}/chunk={token}"
+    def tokens(self) -> set[str]:
+        return {r.token for r in self.entries().select("token").collect()}  # one for each chunk
+
+    def apply(self, token: str, rows: DataFrame, force: bool = False) -> int:
+        """Writes a chunk, unless its token is in the ledger and it is not forced; returns the rows that the chunk has."""
+        known = self.entries().where(F.col("token") == token).first()
+        if known and not force:
+            return known.rows
+        name = f"chunk={token}" + (f"-{known.times}" if known else "")
+        folder = f"{self.path}/{name}"
         rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.mode("overwrite").parquet(folder)
         n = self.spark.read.schema(self.schema).parquet(folder).count()
-        entry = self.spark.createDataFrame([(token, n, dt.datetime.now(dt.UTC))], LEDGER)
+        entry = self.spark.createDataFrame([(token, n, dt.datetime.now(dt.UTC), name)], LEDGER)
         entry.coalesce(1).write.mode("append").parquet(f"{self.path}/_ledger")
         return n
 
     def read(self) -> DataFrame:
-        paths = [f"{self.path}/chunk={t}" for t in sorted(self.tokens())]
+        paths = sorted(f"{self.path}/{r.folder}" for r in self.entries().select("folder").collect())  # one for each chunk
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)

@@ -13,11 +13,12 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from threading import Lock
 from typing import Any
 
 from ..sources.files import write_atomically
+from .plugins import Finding
 from .replay import Chunk, Limits, ReplayError, check_window, chunks, parse_time, plan_id
 
 CHUNK_STATES = ("pending", "running", "done", "failed")
@@ -52,6 +53,12 @@ class Plan:
     column: str
     strategy: str
     environment: str = ""
+    options: dict[str, Any] = field(default_factory=dict)
+
+    def run_options(self) -> Options:
+        """The options that the plan was made with."""
+        raw = dict(self.options)
+        return Options(**{**raw, "limits": Limits(**raw["limits"])}) if raw else Options()
 
 
 @dataclass
@@ -64,6 +71,7 @@ class ChunkState:
     attempts: int = 0
     rows: int = 0
     error: str | None = None
+    again: bool = False  # done before, and to be replayed all the same
 
 
 @dataclass
@@ -152,7 +160,7 @@ def make_plan(store: Store, target: str, start: str, end: str, column: str, stra
     a, b, step = parse_time(start), parse_time(end), dt.timedelta(hours=options.chunk_hours)
     check_window(a, b, step, options.limits, force_window)
     name = target.split(".")
-    plan = Plan(plan_id((name[0], name[1]), a, b, step, column), target, a.isoformat(), b.isoformat(), int(step.total_seconds()), column, strategy, environment)
+    plan = Plan(plan_id((name[0], name[1]), a, b, step, column), target, a.isoformat(), b.isoformat(), int(step.total_seconds()), column, strategy, environment, asdict(options))
     return store.save_plan(plan, force)
 
 
@@ -169,7 +177,7 @@ def _attempt(store: Store, run: Run, state: ChunkState, chunk: Chunk, execute: E
         state.status = "running"
         store.save(run, "chunk_started", chunk=state.id, attempt=state.attempts)
         try:
-            state.rows = int(execute(chunk))
+            state.rows = int(execute(replace(chunk, force=state.again)))
         except Exception as e:
             state.error = str(e)[:500]
             if state.attempts < options.max_attempts:
@@ -179,7 +187,7 @@ def _attempt(store: Store, run: Run, state: ChunkState, chunk: Chunk, execute: E
             state.status = "failed"
             store.save(run, "chunk_failed", chunk=state.id, error=state.error)
             return
-        state.status, state.error = "done", None
+        state.status, state.error, state.again = "done", None, False
         store.save(run, "chunk_done", chunk=state.id, rows=state.rows)
         return
 
@@ -200,7 +208,8 @@ def execute_run(
     stop: Callable[[], bool] = lambda: False,
 ) -> Run:
     """Runs what is not done. Failed chunks don't stop the others. Up to ``max_parallel`` chunks run at once, each a Spark
-    job of its own; ``execute`` must be idempotent for a chunk's token, as ``replay.Target.apply`` is."""
+    job of its own; ``execute`` must be idempotent for a chunk's token, as ``replay.Target.apply`` is, unless the chunk says ``force``:
+    then it was done before and ``replay_done`` asks for it again."""
     plan, run = store.plan(id_), store.run(id_)
     if plan.environment != environment and not force_environment:
         raise StateError("the plan belongs to another environment")
@@ -222,6 +231,7 @@ def execute_run(
     replay_failed = replay_failed or resume
     for s in run.chunks:
         if s.status == "running" or (s.status == "failed" and replay_failed) or (s.status == "done" and replay_done):
+            s.again = s.again or replay_done
             s.status, s.attempts = "pending", 0
     store.save(run, "run_started")
     waiting = [(s, c) for s, c in zip(run.chunks, todo, strict=True) if s.status == "pending"]
@@ -293,15 +303,18 @@ def doctor(store: Store, id_: str) -> dict[str, Any]:
     }
 
 
-def check(store: Store) -> list[tuple[str, str, str]]:
-    """(plan, severity, code) of plans without a completed run."""
+def check(store: Store, required: bool = True) -> list[Finding]:
+    """Plans without a completed run, and runs that failed. ``required``: whether the former are errors."""
+    runs = {id_: store.run(id_) for id_ in store.plan_ids()}
+    waiting = [id_ for id_, r in runs.items() if r is None or r.status != "completed"]
+    failed = [id_ for id_, r in runs.items() if r is not None and r.status == "failed"]
     out = []
-    for id_ in store.plan_ids():
-        s = status(store, id_).status
-        if s == "failed":
-            out.append((id_, "error", "backfill_chunk_failed_retry_exhausted"))
-        elif s != "completed":
-            out.append((id_, "warn", "backfill_required_pending"))
+    if waiting:
+        out.append(Finding("backfill_required_pending", "error" if required else "warn", f"{len(waiting)} plans without a completed run: {', '.join(waiting)}"))
+    if failed:
+        out.append(Finding("backfill_chunk_failed_retry_exhausted", "error", f"{len(failed)} runs with chunks that failed at each attempt: {', '.join(failed)}"))
+    if waiting and not required:
+        out.append(Finding("backfill_policy_relaxed", "warn", "open plans do not fail the check"))
     return out
 
 

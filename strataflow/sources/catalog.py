@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.text import key_columns
 from ..functions.types import struct_field
 from ..plans import ddl
-from ..plans.model import Column, Definition, Projection, SkipIndex, Table, View
+from ..plans.model import Column, Definition, MaterializedView, Projection, SkipIndex, Table, View
 
 SYSTEM_DATABASES = ("information_schema", "sys", "global_temp")
 OBJECTS = T.StructType([T.StructField(n, T.StringType()) for n in ("database", "name", "kind")])
@@ -40,7 +40,8 @@ def insert(rows: DataFrame, table: str) -> None:
 
 
 def objects(spark: SparkSession, databases: Iterable[str] | None = None) -> DataFrame:
-    """(database, name, kind) of what is not temporary, a system object or half of a swap."""
+    """(database, name, kind) of what is not temporary, a system object or half of a swap. A materialized view is a
+    view to Spark; its properties say what it is."""
     rows = []
     wanted = set(databases) if databases is not None else None
     for db in spark.catalog.listDatabases():
@@ -48,7 +49,8 @@ def objects(spark: SparkSession, databases: Iterable[str] | None = None) -> Data
             continue
         for t in spark.catalog.listTables(db.name):
             if not t.isTemporary and not t.name.endswith((_NEW, _OLD)):
-                rows.append((db.name, t.name, "view" if t.tableType == "VIEW" else "table"))
+                kind = "table" if t.tableType != "VIEW" else _properties(spark, f"{db.name}.{t.name}").get("declared.kind", "view")
+                rows.append((db.name, t.name, kind))
     return spark.createDataFrame(sorted(rows), OBJECTS)
 
 
@@ -57,7 +59,13 @@ def views(spark: SparkSession, databases: Iterable[str] | None = None) -> DataFr
 
 
 def _properties(spark: SparkSession, name: str) -> dict[str, str]:
-    return {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    """From the session's catalog: SHOW TBLPROPERTIES hides values that look secret, such as any with "url" in it."""
+    state = spark._jsparkSession.sessionState()
+    found, out = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(name)).properties().iterator(), {}
+    while found.hasNext():
+        pair = found.next()
+        out[pair._1()] = pair._2()
+    return out
 
 
 def describe(spark: SparkSession, database: str, name: str) -> Table:
@@ -90,15 +98,21 @@ def _type_name(kind: T.DataType) -> str:
     return names.get(kind.simpleString(), "String")
 
 
+def describe_view(spark: SparkSession, database: str, name: str) -> View | MaterializedView:
+    """A view as a definition: the query that was declared, else Spark's text of it."""
+    rows = {x.col_name: x.data_type for x in spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}").collect()}
+    props = _properties(spark, f"{database}.{name}")
+    text, comment = props.get("declared.query", rows.get("View Text", "")), rows.get("Comment") or None
+    if props.get("declared.kind") == "materialized_view":
+        return MaterializedView(database, name, text, tuple(props["declared.to"].split(".")), comment)
+    return View(database, name, text, comment)
+
+
 def describe_all(spark: SparkSession, databases: Iterable[str] | None = None) -> list[Definition]:
     """Tables and views as definitions, by name."""
     out: list[Definition] = []
     for r in objects(spark, databases).collect():  # one short row for each object
-        if r.kind == "view":
-            text = next((x.data_type for x in spark.sql(f"DESCRIBE TABLE EXTENDED {r.database}.{r.name}").collect() if x.col_name == "View Text"), "")
-            out.append(View(r.database, r.name, text))
-        else:
-            out.append(describe(spark, r.database, r.name))
+        out.append(describe(spark, r.database, r.name) if r.kind == "table" else describe_view(spark, r.database, r.name))
     return out
 
 
@@ -108,7 +122,7 @@ def create(spark: SparkSession, d: Definition) -> None:
 
 
 def drop(spark: SparkSession, d: Definition) -> None:
-    run(spark, f"DROP {'VIEW' if isinstance(d, View) else 'TABLE'} IF EXISTS {d.database}.{d.name}")
+    run(spark, f"DROP {'TABLE' if isinstance(d, Table) else 'VIEW'} IF EXISTS {d.database}.{d.name}")
 
 
 def set_properties(spark: SparkSession, d: Table) -> None:

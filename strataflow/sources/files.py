@@ -96,17 +96,23 @@ def render_migration(plan: Plan, definitions: int, version: str, now: dt.datetim
 
 
 def write_artifacts(plan: Plan, definitions: list[Definition], migrations: str, meta: str, name: str | None = None, id_: str | None = None, version: str = "1", now: dt.datetime | None = None) -> dict[str, str | None]:
-    """The migration file, if there is any operation, and the snapshot, always."""
+    """The migration file and the snapshot that it leads to, if there is any operation, and the last snapshot, always."""
     now = now or dt.datetime.now(dt.UTC)
-    path = None
+    path, held = None, json.dumps(snapshot(definitions, now), indent=2) + "\n"
     if plan.operations:
         path = os.path.join(migrations, migration_name(name, id_, now))
+        write_atomically(snapshot_of(meta, path), held)
         write_atomically(path, render_migration(plan, len(definitions), version, now))
     target = os.path.join(meta, "snapshot.json")
-    write_atomically(target, json.dumps(snapshot(definitions, now), indent=2) + "\n")
+    write_atomically(target, held)
     return {"migration": path, "snapshot": target}
 
 
+def snapshot_of(meta: str, migration: str) -> str:
+    """Where the definitions lie that a migration file leads to."""
+    return os.path.join(meta, "snapshots", os.path.basename(migration).removesuffix(".sql") + ".json")
+
+
 def operations_in(text: str) -> list[Operation]:
     """Operation markers of a migration, with the statements below each."""
     out, mark, body = [], None, []
@@ -137,14 +143,39 @@ class Warning_:
     advice: str
 
 
-# Warning codes by operation type.
+# The warning codes. The texts say what the operation does in Spark's catalog: (code, what is done, who notices, what to look at).
 _WARNINGS = {
-    "drop_table": ("drop_table_data_loss", "the table's rows and metadata go", "readers of the table fail", "check backups and readers first"),
-    "alter_table_drop_column": ("drop_column_irreversible", "the column's values go", "readers of the column fail or lose data", "check that nothing reads it"),
-    "drop_view": ("drop_view_dependency_break", "a query interface goes", "readers of the view fail until it is back", "check that a replacement is ready"),
-    "drop_materialized_view": ("drop_view_dependency_break", "a query interface goes", "its target is not kept up until it is back", "check that a replacement is ready"),
+    "drop_table": (
+        "drop_table_data_loss",
+        "DROP TABLE deletes the table's folder in the warehouse with every Parquet file in it",
+        "running scans fail on files that are not there any more; views over the table stay and fail when they are read",
+        "DESCRIBE EXTENDED shows the folder: copy it, or rename the table for a while instead",
+    ),
+    "alter_table_drop_column": (
+        "drop_column_irreversible",
+        "the table is copied without the column and exchanged for the copy, after which the old files are deleted",
+        "queries and views that name the column no longer resolve; SELECT * has one column less",
+        "search the declared views and projections for the name, and save the column beside its key if it may be wanted again",
+    ),
+    "drop_view": (
+        "drop_view_dependency_break",
+        "the catalog entry with the query text is deleted; no rows are",
+        "a view or job that reads it fails at its next analysis",
+        "see that the same migration creates its successor, or that no declared view names it",
+    ),
+    "drop_materialized_view": (
+        "drop_view_dependency_break",
+        "the catalog entry is deleted, and streams that maintain the target have no query to start from; the target's rows stay",
+        "the target keeps what it has while its source goes on",
+        "note when the stream stops: a replay of that window fills the gap",
+    ),
 }
-_OTHER = ("destructive_operation_review_required", "the planner grades it as dangerous", "schema or data may change for good", "read the statement first")
+_OTHER = (
+    "destructive_operation_review_required",
+    "the statement was planned with risk danger and has no rule of its own here",
+    "unknown",
+    "run the migration on a copy of the warehouse first",
+)
 
 
 def destructive(migration: str, text: str) -> list[Warning_]:

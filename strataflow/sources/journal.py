@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.plugins import Finding
 from . import files
 
 SCHEMA = T.StructType(
@@ -112,8 +113,12 @@ def apply_migrations(
     return waiting
 
 
-def check_findings(state: Status, drifted: bool, plugin_errors: list[str], strict: bool, fail_on: tuple[str, ...] = ("pending", "checksum", "drift")) -> list[str]:
-    """Names of failed checks. ``strict`` fails on everything."""
-    found = {"pending": state.pending > 0, "checksum": state.mismatches > 0, "drift": drifted}
-    out = [k for k, bad in found.items() if bad and (strict or k in fail_on)]
-    return out + [f"plugin:{e}" for e in plugin_errors]
+CHECKS = {"pending": "pending_migrations", "checksum": "checksum_mismatch", "drift": "schema_drift"}  # fixed values: the codes
+
+
+def check_findings(state: Status, drifted: bool | None, plugins: dict[str, list[Finding]], strict: bool, fail_on: tuple[str, ...] = tuple(CHECKS)) -> list[str]:
+    """Codes of failed checks. ``strict`` fails on all that was found; drift is None where there is no snapshot to compare
+    with; of a plugin's findings only errors fail."""
+    found = {"pending": state.pending > 0, "checksum": state.mismatches > 0, "drift": bool(drifted)}
+    out = [CHECKS[k] for k, bad in found.items() if bad and (strict or k in fail_on)]
+    return out + [f"plugin:{name}" for name, fs in plugins.items() if any(f.severity == "error" for f in fs)]

@@ -203,10 +203,20 @@ def test_plugins_fold_and_fail_by_name():
     assert [d.engine for d in r.fold("schema", [users(engine="SharedMergeTree")])] == ["MergeTree()", "MergeTree()"]
     assert r.before_apply("m", ["a"]) == ["a", "x"] and r.command("add", "go", ["1", "2"]) == 2
     r.notify("init", {"a": 1})
-    assert seen == [{"a": 1}] and r.findings({})["add"] == ["finding"] and "check failed" in r.findings({})["bad"][0]
+    assert seen == [{"a": 1}] and r.findings({})["add"] == [plugins.Finding("finding")] and r.findings({})["bad"][0].code == "check_failed"
     with pytest.raises(plugins.PluginError, match="bad.plan"):
         r.fold("plan", None)
     with pytest.raises(plugins.PluginError):
         plugins.Runtime([add, add])
     with pytest.raises(plugins.PluginError):
         plugins.Runtime([plugins.Plugin("old", api_version=0)])
+
+
+def test_plugins_are_loaded_by_name(tmp_path):
+    (tmp_path / "mine.py").write_text("from strataflow.plans.plugins import Plugin\nplugin = Plugin('one')\ndef make():\n    return Plugin('two', needs_version='0.1')\nold = Plugin('old', needs_version='99.0')\n")
+    assert plugins.load("mine.py", str(tmp_path)).name == "one" and plugins.load("mine.py:make", str(tmp_path)).name == "two"
+    for entry in ("mine.py:nope", "gone.py", "no_such_module:x"):
+        with pytest.raises(plugins.PluginError):
+            plugins.load(entry, str(tmp_path))
+    with pytest.raises(plugins.PluginError, match="99.0"):
+        plugins.Runtime([plugins.load("mine.py:old", str(tmp_path))])

@@ -69,17 +69,31 @@ def test_replay_is_idempotent_and_resumes(spark, data, tmp_path):
         if left.get(order[chunk.id], 0):
             left[order[chunk.id]] -= 1
             raise RuntimeError("lost")
-        return target.apply(chunk.token, replay.replay(events, view, "ts", chunk.start, chunk.end, ["hour", "n"]))
+        return target.apply(chunk.token, replay.replay(source[0], view, "ts", chunk.start, chunk.end, ["hour", "n"]), chunk.force)
 
+    source = [events]
     waits = []
     run = runstate.execute_run(store, plan.id, execute, sleep=waits.append)
     assert run.status == "failed" and [c.status for c in run.chunks] == ["done", "failed", "done"] and waits == [1.0, 2.0]
-    assert runstate.doctor(store, plan.id)["issues"] == ["backfill_chunk_failed_retry_exhausted"] and runstate.check(store) == [(plan.id, "error", "backfill_chunk_failed_retry_exhausted")]
+    assert runstate.doctor(store, plan.id)["issues"] == ["backfill_chunk_failed_retry_exhausted"] and [f.code for f in runstate.check(store)] == ["backfill_required_pending", "backfill_chunk_failed_retry_exhausted"]
     run = runstate.execute_run(store, plan.id, execute, resume=True)
     assert run.status == "completed" and run.chunks[0].attempts == 1 and runstate.check(store) == []
     before = sorted(map(tuple, target.read().collect()))
+    rows = [c.rows for c in run.chunks]
     again = runstate.execute_run(store, plan.id, execute, replay_done=True)
-    assert again.status == "completed" and sorted(map(tuple, target.read().collect())) == before
+    assert again.status == "completed" and sorted(map(tuple, target.read().collect())) == before and [c.rows for c in again.chunks] == rows
+    source[0] = events.where("event_type = 'click'")  # what a replay of done chunks reads now
+    again = runstate.execute_run(store, plan.id, execute, replay_done=True)
+    fewer = events.where("ts >= '2024-01-01' and ts < '2024-01-02 12:00:00' and event_type = 'click'").count()
+    assert target.read().agg(F.sum("n")).first()[0] == fewer > 0 and sum(c.rows for c in again.chunks) == target.read().count() and not any(c.again for c in again.chunks)
+    source[0] = events
+    lost = store.run(plan.id)  # as if the run's file had not been written after the ledger was
+    lost.status, lost.chunks[0].status, lost.chunks[0].rows = "running", "running", 0
+    store.save(lost, "test")
+    run = runstate.execute_run(store, plan.id, execute, resume=True)
+    assert run.status == "completed" and [c.rows for c in run.chunks] == [c.rows for c in again.chunks]
+    run = runstate.execute_run(store, plan.id, execute, replay_done=True)
+    assert [c.rows for c in run.chunks] == rows and target.read().count() == sum(rows)
     full = events.where("ts >= '2024-01-01' and ts < '2024-01-02 12:00:00'").groupBy(F.date_trunc("HOUR", "ts").alias("hour")).count()
     assert sorted(map(tuple, merge.final(target.read(), TARGET).collect())) == sorted(map(tuple, full.collect()))
     assert [e["type"] for e in store.events(plan.id)][-1] == "run_completed" and runstate.status(store, plan.id).counts["done"] == 3
@@ -88,7 +102,8 @@ def test_replay_is_idempotent_and_resumes(spark, data, tmp_path):
 def test_interrupted_chunk_is_overwritten(spark, tmp_path):
     target = replay.Target(spark, f"file://{tmp_path}/t", spark.range(0).schema)
     spark.range(5).write.parquet(f"file://{tmp_path}/t/chunk=abc")  # written, but not in the ledger
-    assert target.read().count() == 0 and target.apply("abc", spark.range(3)) == 3 and target.apply("abc", spark.range(3)) == 0 and target.read().count() == 3
+    assert target.read().count() == 0 and target.apply("abc", spark.range(3)) == 3 and target.apply("abc", spark.range(9)) == 3 and target.read().count() == 3
+    assert target.apply("abc", spark.range(4), force=True) == 4 and target.read().count() == 4 and target.apply("abc", spark.range(9)) == 4 and target.tokens() == {"abc"}
 
 
 def test_plan_and_run_rules(tmp_path):

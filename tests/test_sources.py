@@ -6,7 +6,7 @@ import pytest
 from strataflow import cli
 from strataflow.plans import planner
 from strataflow.plans.model import Column, SkipIndex, Table, View, canonical
-from strataflow.plans.plugins import Plugin
+from strataflow.plans.plugins import Finding, Plugin
 from strataflow.sources import catalog, files, journal
 
 USERS = Table("app_t", "users", (Column("id", "UInt64"), Column("email", "String")), primary_key=("id",), order_by=("id",))
@@ -54,8 +54,8 @@ def test_journal_apply_status_and_gates(spark, tmp_path):
     assert journal.status(table, log.read()) == journal.Status(2, 1, 1, 0)
     (tmp_path / "m" / "1.sql").write_text("changed")
     state = journal.status(files.migration_table(spark, str(tmp_path / "m")), log.read())
-    assert state.mismatches == 1 and journal.check_findings(state, True, ["p: x"], False, ("checksum",)) == ["checksum", "plugin:p: x"]
-    assert journal.check_findings(state, True, [], True) == ["pending", "checksum", "drift"]
+    assert state.mismatches == 1 and journal.check_findings(state, True, {"p": [Finding("x")], "q": [Finding("y", "warn")]}, False, ("checksum",)) == ["checksum_mismatch", "plugin:p"]
+    assert journal.check_findings(state, True, {}, True) == ["pending_migrations", "checksum_mismatch", "schema_drift"] and journal.check_findings(state, None, {}, True) == ["pending_migrations", "checksum_mismatch"]
     with pytest.raises(journal.ChecksumMismatch):
         journal.apply_migrations(log, {"1.sql": "changed"}, ran.append)
 
@@ -123,6 +123,20 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     assert run(capsys, "pull", "--database", "cli_t")[0] == 0 and run(capsys, "pull", "--database", "cli_t")[0] == 1
     hello = Plugin("hello", commands={"go": lambda args: 7}, check=lambda c: ["bad"])
     assert run(capsys, "plugin", "hello", "go", plugins=[hello])[0] == 7 and run(capsys, "check", plugins=[hello])[0] == 1
+    (tmp_path / "schema" / "pulled.json").unlink()
+    blocked = cli.Cli(confirm=lambda q: False)
+    schema.write_text(head + "t = Table('cli_t', 'ev', (Column('key', 'Int64'), Column('at', 'DateTime')), order_by=('key',))\n")
+    assert [o["type"] for o in run(capsys, "generate", "--migration-id", "004")[1]["operations"]] == ["alter_table_drop_column"]
+    assert blocked.main(["migrate", "--apply"]) == 3 and cli.Cli(confirm=lambda q: "`n`" not in q and "drop_column" in q).main(["migrate", "--apply"]) == 0
+    capsys.readouterr()
+    (tmp_path / "more.py").write_text("from strataflow.plans.plugins import Plugin, Finding\nplugin = Plugin('more', check=lambda c: [Finding('soft', 'warn')], commands={'n': lambda a: 5})\n")
+    (tmp_path / "strataflow_config.py").write_text("def config(env):\n    return {'plugins': ['more.py'], 'migrations': env.get('MY_MIGRATIONS', 'migrations')}\n")
+    (tmp_path / "strataflow.json").unlink()
+    code, out = run(capsys, "check")
+    assert code == 0 and out["plugins"]["more"]["findings"][0]["code"] == "soft" and out["plugins"]["backfill"]["ok"] and out["drift_evaluated"]
+    assert run(capsys, "plugin", "more", "n")[0] == 5 and run(capsys, "--config", "none.json", "status")[0] == 2
+    monkeypatch.setenv("MY_MIGRATIONS", "elsewhere")
+    assert run(capsys, "status")[1]["total"] == 0
     (tmp_path / "strataflow.json").write_text('{"nope": 1}')
     assert run(capsys, "status")[0] == 2
 
@@ -145,3 +159,49 @@ def test_command_line_backfill(spark, tmp_path, monkeypatch, capsys):
     assert run(capsys, "backfill", "status", "--plan-id", plan["id"])[1]["status"] == "completed" and run(capsys, "backfill", "doctor", "--plan-id", plan["id"])[0] == 0
     assert run(capsys, "backfill", "cancel", "--plan-id", plan["id"])[0] == 1 and run(capsys, "backfill", "resume", "--plan-id", plan["id"])[0] == 0
     assert run(capsys, "backfill", "plan", "--target", "x", "--from", "2024-01-01", "--to", "2024-01-02")[0] == 2
+
+
+def test_each_file_goes_to_its_own_state(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "schema").mkdir()
+    schema = tmp_path / "schema" / "s.py"
+    columns = lambda *names: schema.write_text("from strataflow.plans.model import *\nt = Table('pf_t', 'ev', (" + "".join(f"Column('{n}', 'Int64')," for n in names) + "), order_by=('id',))\n")
+    for number, names in (("001", ("id", "a")), ("002", ("id", "a", "b")), ("003", ("id", "b"))):
+        columns(*names)
+        run(capsys, "generate", "--migration-id", number)
+    late = (tmp_path / "migrations" / "003_auto.sql").rename(tmp_path / "late.sql")
+    assert run(capsys, "migrate", "--apply")[1]["applied"] == ["001_auto.sql", "002_auto.sql"] and spark.table("pf_t.ev").columns == ["id", "a", "b"]
+    spark.sql("INSERT INTO pf_t.ev VALUES (1, 2, 3)")
+    late.rename(tmp_path / "migrations" / "003_auto.sql")
+    assert run(capsys, "migrate", "--apply")[0] == 3 and spark.table("pf_t.ev").columns == ["id", "a", "b"]
+    assert run(capsys, "migrate", "--apply", "--allow-destructive")[0] == 0 and [tuple(r) for r in spark.table("pf_t.ev").collect()] == [(1, 3)]
+
+
+def test_materialized_views_end_to_end(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "schema").mkdir()
+    schema = tmp_path / "schema" / "s.py"
+    tables = (
+        "from strataflow.plans.model import *\n"
+        "e = Table('mv_t', 'events', (Column('id', 'Int64'), Column('ts', 'DateTime')), order_by=('ts',))\n"
+        "h = Table('mv_t', 'hourly', (Column('hour', 'DateTime'), Column('n', 'Int64')), engine='SummingMergeTree(n)', order_by=('hour',))\n"
+        "v = View('mv_t', 'late', 'SELECT id, toDate(ts) AS day FROM mv_t.events')\n"
+    )
+    view = "m = MaterializedView('mv_t', 'mv', 'SELECT toStartOfHour(ts) AS hour, count() AS n FROM mv_t.events GROUP BY hour', ('mv_t', 'hourly'))\n"
+    schema.write_text(tables + view)
+    run(capsys, "generate", "--migration-id", "001")
+    assert run(capsys, "migrate", "--apply")[0] == 0 and run(capsys, "drift")[1]["drifted"] is False and run(capsys, "check", "--strict")[0] == 0
+    assert {(r.name, r.kind) for r in catalog.objects(spark, ["mv_t"]).collect()} >= {("mv", "materialized_view"), ("late", "view")}
+    code, out = run(capsys, "pull", "--dryrun", "--database", "mv_t")
+    pulled = {d["name"]: d for d in json.loads(out["content"])}
+    assert pulled["mv"]["kind"] == "materialized_view" and list(pulled["mv"]["to"]) == ["mv_t", "hourly"] and "toStartOfHour" in pulled["mv"]["query"] and out["skipped"] == {}
+    (tmp_path / "pulled.json").write_text(out["content"])
+    assert planner.plan_changes(files.load_schema(["pulled.json"], str(tmp_path)), files.load_schema(["schema/s.py"], str(tmp_path))).operations == []
+    assert run(capsys, "codegen", "--include-views", "--style", "camel", "--emit-ingest", "--ingest-out-file", "ingest.py")[0] == 0
+    made = {}
+    exec((tmp_path / "generated_schemas.py").read_text(), made)
+    assert made["read_mvTLate"](spark).columns == ["id", "day"] and "def ingest_" in (tmp_path / "ingest.py").read_text() and "def ingest_" not in (tmp_path / "generated_schemas.py").read_text()
+    schema.write_text(tables)
+    run(capsys, "generate", "--migration-id", "002")
+    assert run(capsys, "migrate", "--apply", "--allow-destructive")[0] == 0 and run(capsys, "drift")[1]["drifted"] is False
+    assert "mv" not in {r.name for r in catalog.objects(spark, ["mv_t"]).collect()} and spark.catalog.tableExists("mv_t.hourly")
