@@ -1,115 +1,10 @@
-"""Metadata operators over tables of columns, settings, operations, objects: each takes and returns DataFrames.
-
-The planner works on objects; these are the same operations where the metadata is itself large or is to be queried.
-"""
+"""Catalog facts as DataFrames, where a warehouse has many objects."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RISKS = ("safe", "caution", "danger")
-
-
-def columns_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, op, risk) from two tables with a name column; all other columns are compared, null being a value."""
-    facts = [c for c in old.columns if c != "name"]
-    a = old.select("name", F.struct(*facts).alias("a"))
-    b = new.select("name", F.struct(*facts).alias("b"))
-    op = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "drop").when(~F.col("a").eqNullSafe(F.col("b")), "modify")
-    risk = F.when(F.col("op") == "add", "safe").when(F.col("op") == "modify", "caution").otherwise("danger")
-    return a.join(b, "name", "full_outer").withColumn("op", op).where("op is not null").select("name", "op", risk.alias("risk"))
-
-
-def settings_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, op, value) from two (name, value) tables."""
-    joined = old.withColumnRenamed("value", "before").join(new.withColumnRenamed("value", "value"), "name", "full_outer")
-    op = F.when(F.col("value").isNull(), "reset").when(~F.col("before").eqNullSafe(F.col("value")), "modify")
-    return joined.withColumn("op", op).where("op is not null").select("name", "op", "value")
-
-
-def rename_suggestions(dropped: DataFrame, added: DataFrame) -> DataFrame:
-    """(source, target): dropped columns with the signature of exactly one added column; the first dropped one gets it.
-
-    Inputs are (name, signature, position).
-    """
-    one = added.groupBy("signature").agg(F.count("*").alias("n"), F.first("name").alias("target")).where("n = 1").select("signature", "target")
-    first = dropped.withColumn("k", F.row_number().over(Window.partitionBy("signature").orderBy("position"))).where("k = 1")
-    return first.join(one, "signature").select(F.col("name").alias("source"), "target")
-
-
-def apply_renames(operations: DataFrame, renames: DataFrame) -> DataFrame:
-    """(type, name) operations of a table, with dropped and added pairs in (source, target) made one rename."""
-    have = lambda kind, c: operations.where(F.col("type") == kind).select(F.col("name").alias(c))
-    used = renames.join(have("drop", "source"), "source", "left_semi").join(have("add", "target"), "target", "left_semi")
-    gone = used.select(F.lit("drop").alias("type"), F.col("source").alias("name")).unionByName(used.select(F.lit("add").alias("type"), F.col("target").alias("name")))
-    return operations.join(gone, ["type", "name"], "left_anti").unionByName(used.select(F.lit("rename").alias("type"), F.concat_ws("=", "source", "target").alias("name")))
-
-
-def plan_order(operations: DataFrame) -> DataFrame:
-    """(type, key, risk) with ``seq`` from 1: by rank of the type, then key. One plan is small by nature."""
-    t = F.col("type")
-    rank = (
-        F.when(t.startswith("drop_"), 0).when(t.startswith("alter_"), 1).when(t == "create_database", 2).when(t == "create_table", 3).when(t == "create_view", 4).otherwise(5)
-    )
-    return operations.withColumn("seq", F.row_number().over(Window.orderBy(rank, "key", "type")).cast("long"))
-
-
-def risk_summary(operations: DataFrame) -> DataFrame:
-    """(risk, n) for each risk, zeros included."""
-    levels = operations.sparkSession.createDataFrame([(r,) for r in RISKS], "risk string")
-    return levels.join(operations.groupBy("risk").agg(F.count("*").alias("n")), "risk", "left").select("risk", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def validation_issues(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """(code, object, name) from (object, name, position) columns and (object, code, name) keys."""
-    again = columns.withColumn("k", F.row_number().over(Window.partitionBy("object", "name").orderBy("position"))).where("k > 1")
-    missing = keys.join(columns.select("object", "name").distinct(), ["object", "name"], "left_anti")
-    return again.select(F.lit("duplicate_column_name").alias("code"), "object", "name").unionByName(missing.select("code", "object", "name"))
-
-
-def object_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(object, code) from two (object, kind) tables."""
-    joined = expected.withColumnRenamed("kind", "want").join(actual.withColumnRenamed("kind", "have"), "object", "full_outer")
-    code = F.when(F.col("have").isNull(), "missing_object").when(F.col("want").isNull(), "extra_object").when(F.col("want") != F.col("have"), "kind_mismatch")
-    return joined.withColumn("code", code).where("code is not null").select("object", "code")
-
-
-def table_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(object, code, n) from two tables of facts (object, facet, name, shape); columns have their own three codes."""
-    a = expected.withColumnRenamed("shape", "want")
-    b = actual.withColumnRenamed("shape", "have")
-    joined = a.join(b, ["object", "facet", "name"], "full_outer").where("not (want <=> have)")
-    column = F.when(F.col("have").isNull(), "missing_column").when(F.col("want").isNull(), "extra_column").otherwise("changed_column")
-    code = F.when(F.col("facet") == "column", column).otherwise(F.concat("facet", F.lit("_mismatch")))
-    kept = joined.where("facet != 'setting' or want is not null")
-    return kept.groupBy("object", code.alias("code")).agg(F.count("*").alias("n"))
-
-
-def drift_totals(drift: DataFrame) -> DataFrame:
-    """(code, n) and, with a null code, the number of all."""
-    return drift.rollup("code").agg(F.sum("n").alias("n"))
-
-
-def in_scope(operations: DataFrame, database: str | None, value: str, prefix: bool) -> DataFrame:
-    """Operations on tables that a selector matches, and on their databases."""
-    key = F.col("key")
-    parts = operations.withColumns(
-        {
-            "db": F.when(key.startswith("database:"), F.substring_index(key, ":", -1)).otherwise(F.regexp_extract(key, "^table:([^.]+)\\.", 1)),
-            "tb": F.regexp_extract(key, "^table:[^.]+\\.([^:]+)", 1),
-        }
-    )
-    name = F.col("tb").startswith(value) if prefix else F.col("tb") == value
-    hit = parts.where((F.col("tb") != "") & name & (F.lit(True) if database is None else F.col("db") == database))
-    dbs = parts.where(key.startswith("database:")).join(hit.select("db").distinct(), "db", "left_semi")
-    return hit.select(*operations.columns).unionByName(dbs.select(*operations.columns))
-
-
-def skipped_objects(objects: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(kind, n) of objects without a definition."""
-    return objects.join(definitions.select("object"), "object", "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
-
 
 def table_details(tables: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """Tables with their columns by position and their indexes by name, joined by (database, name)."""

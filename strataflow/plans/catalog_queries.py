@@ -1,6 +1,6 @@
 """Queries of the engine's own operators, each with the SQL it is compared with.
 
-Metadata queries take literal rows on both sides, so that the SQL does not depend on our Python.
+Queries over rows of the test tables, and over literal rows on both sides; ``engine_queries`` has those of definitions, files and state.
 """
 
 from __future__ import annotations
@@ -152,69 +152,6 @@ def replay_positional_reorder(spark, d):
     return replay.replay(_t(spark, d, "events"), view, "ts", "2024-01-10 00:00:00", "2024-01-11 00:00:00", ["day", "user_id", "event_type", "event_id"])
 
 
-@query(f"WITH g AS ({_FULL_GRID}) SELECT chunk, CAST(count(event_id) AS BIGINT) AS n FROM g JOIN events ON ts >= start AND ts < \"end\" GROUP BY 1")
-def replay_idempotent(spark, d):
-    """The grid twice: the second pass finds every token in the ledger and adds nothing."""
-    rows = replay.assigned(_t(spark, d, "events"), "ts", START, STEP_S).join(replay.chunk_identity(replay.chunk_grid(spark, START, END, "6 hours"), "p1").select("chunk", "token"), "chunk")
-    applied = rows.groupBy("chunk", "token").agg(F.count("*").alias("n"))
-    again = applied.join(applied.select("token"), "token", "left_anti")
-    return applied.unionByName(again).select("chunk", "n")
-
-
-@query("""
-SELECT id, CAST(hours AS BIGINT) AS hours, hours > 0 AS ordered, hours <= 720 AS within, chunk_minutes >= 15 AS chunk_ok,
-       hours > 0 AND hours <= 720 AND chunk_minutes >= 15 AS allowed
-FROM (SELECT id, (epoch(b) - epoch(a)) / 3600 AS hours, chunk_minutes FROM (VALUES (1, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', 360),
- (2, TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-01', 360), (3, TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-01', 60), (4, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', 5)) AS t(id, a, b, chunk_minutes))
-""")
-def window_guard_report(spark, d):
-    rows = _rows(spark, "id int, a string, b string, chunk_minutes int", (1, "2024-01-01", "2024-01-31", 360), (2, "2024-01-01", "2024-03-01", 360), (3, "2024-01-02", "2024-01-01", 60), (4, "2024-01-01", "2024-01-02", 5))
-    limits = replay.Limits()
-    hours = ((F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))) / 3600).cast("long")
-    out = rows.select("id", hours.alias("hours"), "chunk_minutes").withColumns(
-        {"ordered": F.col("hours") > 0, "within": F.col("hours") <= int(limits.max_window_hours), "chunk_ok": F.col("chunk_minutes") >= int(limits.min_chunk_minutes)}
-    )
-    return out.select("id", "hours", "ordered", "within", "chunk_ok", (F.col("ordered") & F.col("within") & F.col("chunk_ok")).alias("allowed"))
-
-
-@query(f"""
-WITH g AS ({_FULL_GRID}), c AS (SELECT chunk, CASE WHEN chunk % 5 = 0 THEN 'failed' WHEN chunk % 5 = 1 THEN 'pending' ELSE 'done' END AS status, chunk % 3 + 1 AS attempts, chunk * 10 AS written FROM g)
-SELECT count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending,
-CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(written) FILTER (status = 'done') AS BIGINT) AS written FROM c
-""")
-def run_status_summary(spark, d):
-    k = F.col("chunk")
-    status = F.when(k % 5 == 0, "failed").when(k % 5 == 1, "pending").otherwise("done")
-    c = replay.chunk_grid(spark, START, END, "6 hours").select(status.alias("status"), (k % 3 + 1).alias("attempts"), (k * 10).alias("written"))
-    is_ = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return c.agg(F.count("*").alias("total"), is_("done"), is_("failed"), is_("pending"), F.sum("attempts").alias("attempts"), F.sum(F.when(F.col("status") == "done", F.col("written"))).alias("written"))
-
-
-_RUNS = "(VALUES ('p1', 'app.a', 'running'), ('p2', 'app.a', 'running'), ('p3', 'app.a', 'completed'), ('p4', 'app.b', 'running'), ('p5', 'app.c', 'failed'))"
-
-
-def _runs(spark):
-    return _rows(spark, "plan string, target string, status string", ("p1", "app.a", "running"), ("p2", "app.a", "running"), ("p3", "app.a", "completed"), ("p4", "app.b", "running"), ("p5", "app.c", "failed"))
-
-
-@query(f"WITH r AS (SELECT * FROM {_RUNS} AS t(plan, target, status)) SELECT a.plan, b.plan AS blocked_by FROM r a JOIN r b ON a.target = b.target AND a.plan <> b.plan AND b.status = 'running'")
-def run_overlap_report(spark, d):
-    r = _runs(spark)
-    other = r.where("status = 'running'").select(F.col("plan").alias("blocked_by"), "target")
-    return r.join(other, "target").where("plan != blocked_by").select("plan", "blocked_by")
-
-
-@query(f"""
-WITH r AS (SELECT * FROM {_RUNS} AS t(plan, target, status)), p AS (SELECT unnest(['p1','p2','p3','p4','p5','p6']) AS plan)
-SELECT p.plan, CASE WHEN status = 'completed' THEN 'none' WHEN status = 'failed' THEN 'error' WHEN status = 'running' THEN 'active' ELSE 'required' END AS finding FROM p LEFT JOIN r USING (plan)
-""")
-def backfill_required(spark, d):
-    plans = _rows(spark, "plan string", *[(f"p{i}",) for i in range(1, 7)])
-    s = F.col("status")
-    finding = F.when(s == "completed", "none").when(s == "failed", "error").when(s == "running", "active").otherwise("required")
-    return plans.join(_runs(spark), "plan", "left").select("plan", finding.alias("finding"))
-
-
 @query("""
 SELECT name, CASE WHEN in_key THEN 'order_by' ELSE 'column_scan' END AS found_by, CAST(row_number() OVER (ORDER BY NOT in_key, pos) AS BIGINT) AS preference
 FROM (VALUES (0, 'id', 'UInt64', true), (1, 'created_at', 'DateTime64(3)', false), (2, 'ts', 'DateTime', true), (3, 'loaded', 'DateTime', false), (4, 'event_time', 'DateTime(''UTC'')', false)) AS t(pos, name, type, in_key)
@@ -367,136 +304,21 @@ def view_filter_project(spark, d):
 
 # --- metadata ------------------------------------------------------------------------------------------------------------
 
-_OLD_COLS = "(VALUES ('id', 'UInt64', false), ('email', 'String', false), ('age', 'UInt8', true), ('gone', 'Date', false)) AS t(name, type, nullable)"
-_NEW_COLS = "(VALUES ('id', 'UInt64', false), ('email', 'String', true), ('age', 'UInt16', true), ('city', 'String', false)) AS t(name, type, nullable)"
+_TABLES = "(VALUES ('a', 'e', 'MergeTree()'), ('a', 'u', 'Log()'), ('b', 'e', 'Log()')) AS t(database, name, engine)"
+_COLUMNS = "(VALUES ('a', 'e', 2, 'ts', 'DateTime'), ('a', 'e', 1, 'id', 'UInt64'), ('a', 'u', 1, 'id', 'UInt64'), ('x', 'y', 1, 'q', 'Int8')) AS t(database, name, position, \"column\", type)"
+_INDEXES = "(VALUES ('a', 'e', 'j', 'ts'), ('a', 'e', 'i', 'id')) AS t(database, name, \"index\", expression)"
 
 
 @query(f"""
-SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'add' WHEN b.name IS NULL THEN 'drop' ELSE 'modify' END AS op,
- CASE WHEN a.name IS NULL THEN 'safe' WHEN b.name IS NULL THEN 'danger' ELSE 'caution' END AS risk
-FROM (SELECT * FROM {_OLD_COLS}) a FULL JOIN (SELECT * FROM {_NEW_COLS}) b ON a.name = b.name
-WHERE a.name IS NULL OR b.name IS NULL OR a.type <> b.type OR a.nullable <> b.nullable
-""")
-def columns_diff(spark, d):
-    s = "name string, type string, nullable boolean"
-    old = _rows(spark, s, ("id", "UInt64", False), ("email", "String", False), ("age", "UInt8", True), ("gone", "Date", False))
-    new = _rows(spark, s, ("id", "UInt64", False), ("email", "String", True), ("age", "UInt16", True), ("city", "String", False))
-    return metadata.columns_diff(old, new)
-
-
-@query("""
-SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'reset' ELSE 'modify' END AS op, b.value AS value
-FROM (VALUES ('a', '1'), ('b', '2'), ('c', '3')) AS a(name, value) FULL JOIN (VALUES ('b', '2'), ('c', '4'), ('d', '5')) AS b(name, value) ON a.name = b.name
-WHERE a.value IS DISTINCT FROM b.value
-""")
-def settings_diff(spark, d):
-    s = "name string, value string"
-    return metadata.settings_diff(_rows(spark, s, ("a", "1"), ("b", "2"), ("c", "3")), _rows(spark, s, ("b", "2"), ("c", "4"), ("d", "5")))
-
-
-@query("""
-WITH o AS (SELECT * FROM (VALUES ('email', 'String|0', 1), ('mail', 'String|0', 2), ('age', 'UInt8|0', 3), ('x', 'Date|0', 4)) AS t(name, sig, pos)),
-n AS (SELECT * FROM (VALUES ('address', 'String|0'), ('years', 'UInt8|0'), ('y', 'Date|0'), ('z', 'Date|0')) AS t(name, sig)),
-u AS (SELECT sig, min(name) AS target FROM n GROUP BY 1 HAVING count(*) = 1)
-SELECT o.name AS source, u.target FROM o JOIN u USING (sig) QUALIFY row_number() OVER (PARTITION BY sig ORDER BY pos) = 1
-""")
-def rename_suggestions(spark, d):
-    s = "name string, signature string, position int"
-    old = _rows(spark, s, ("email", "String|0", 1), ("mail", "String|0", 2), ("age", "UInt8|0", 3), ("x", "Date|0", 4))
-    new = _rows(spark, s, ("address", "String|0", 1), ("years", "UInt8|0", 2), ("y", "Date|0", 3), ("z", "Date|0", 4))
-    return metadata.rename_suggestions(old, new)
-
-
-@query("""
-WITH o AS (SELECT * FROM (VALUES ('drop', 'a'), ('add', 'b'), ('add', 'c'), ('drop', 'd'), ('modify', 'e')) AS t(type, name)),
-r AS (SELECT * FROM (VALUES ('a', 'b'), ('d', 'x')) AS t(s, n)),
-u AS (SELECT * FROM r WHERE EXISTS (SELECT 1 FROM o WHERE type = 'drop' AND name = s) AND EXISTS (SELECT 1 FROM o WHERE type = 'add' AND name = n))
-SELECT type, name FROM o WHERE NOT EXISTS (SELECT 1 FROM u WHERE (type = 'drop' AND name = s) OR (type = 'add' AND name = n))
-UNION ALL SELECT 'rename', s || '=' || n FROM u
+SELECT t.database, t.name, engine, (SELECT string_agg("column" || ' ' || type, ',' ORDER BY position) FROM {_COLUMNS.replace("AS t(", "AS c(")} WHERE c.database = t.database AND c.name = t.name) AS columns,
+ (SELECT string_agg("index" || ' ' || expression, ',' ORDER BY "index") FROM {_INDEXES.replace("AS t(", "AS i(")} WHERE i.database = t.database AND i.name = t.name) AS indexes FROM {_TABLES}
 """)
-def explicit_renames_applied(spark, d):
-    ops = _rows(spark, "type string, name string", ("drop", "a"), ("add", "b"), ("add", "c"), ("drop", "d"), ("modify", "e"))
-    return metadata.apply_renames(ops, _rows(spark, "source string, target string", ("a", "b"), ("d", "x")))
-
-
-_OPS = (
-    ("create_table", "table:app.b", "safe"), ("alter_table_add_column", "table:app.a:column:x", "safe"), ("drop_view", "view:app.v", "danger"), ("create_view", "view:app.w", "safe"),
-    ("create_database", "database:app", "safe"), ("create_materialized_view", "materialized_view:app.m", "caution"), ("alter_table_modify_ttl", "table:app.a:ttl", "caution"),
-    ("create_table", "table:log.events_raw", "safe"), ("create_database", "database:log", "safe"), ("drop_table", "table:log.events_old", "danger"),
-)
-_OPS_SQL = "(VALUES " + ", ".join(str(o) for o in _OPS) + ") AS t(type, key, risk)"
-
-
-def _ops(spark):
-    return _rows(spark, "type string, key string, risk string", *_OPS)
-
-
-@query(f"""
-SELECT type, key, risk, CAST(row_number() OVER (ORDER BY CASE WHEN type LIKE 'drop%' THEN 0 WHEN type LIKE 'alter%' THEN 1 WHEN type = 'create_database' THEN 2
- WHEN type = 'create_table' THEN 3 WHEN type = 'create_view' THEN 4 ELSE 5 END, key, type) AS BIGINT) AS seq FROM {_OPS_SQL}
-""")
-def plan_ordered(spark, d):
-    return metadata.plan_order(_ops(spark))
-
-
-@query(f"SELECT r.risk, CAST(count(t.key) AS BIGINT) AS n FROM (VALUES ('safe'), ('caution'), ('danger')) AS r(risk) LEFT JOIN (SELECT * FROM {_OPS_SQL} WHERE type LIKE 'create%') t ON t.risk = r.risk GROUP BY 1")
-def plan_risk_summary(spark, d):
-    return metadata.risk_summary(_ops(spark).where("type like 'create%'"))
-
-
-@query(f"""
-WITH o AS (SELECT *, CASE WHEN key LIKE 'database:%' THEN split_part(key, ':', 2) ELSE regexp_extract(key, '^table:([^.]+)\\.', 1) END AS db, regexp_extract(key, '^table:[^.]+\\.([^:]+)', 1) AS tb FROM {_OPS_SQL}),
-h AS (SELECT * FROM o WHERE tb LIKE 'events%')
-SELECT type, key, risk FROM h UNION ALL SELECT type, key, risk FROM o WHERE key LIKE 'database:%' AND db IN (SELECT db FROM h)
-""")
-def scope_filter(spark, d):
-    return metadata.in_scope(_ops(spark), None, "events", True)
-
-
-@query("""
-WITH c AS (SELECT * FROM (VALUES ('t.a', 'id', 1), ('t.a', 'x', 2), ('t.a', 'x', 3), ('t.b', 'id', 1)) AS t(object, name, pos)),
-k AS (SELECT * FROM (VALUES ('t.a', 'primary_key_missing_column', 'id'), ('t.a', 'order_by_missing_column', 'nope'), ('t.b', 'primary_key_missing_column', 'x')) AS t(object, code, name))
-SELECT 'duplicate_column_name' AS code, object, name FROM c QUALIFY row_number() OVER (PARTITION BY object, name ORDER BY pos) > 1
-UNION ALL SELECT code, object, name FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.object = k.object AND c.name = k.name)
-""")
-def validation_issues(spark, d):
-    c = _rows(spark, "object string, name string, position int", ("t.a", "id", 1), ("t.a", "x", 2), ("t.a", "x", 3), ("t.b", "id", 1))
-    k = _rows(spark, "object string, code string, name string", ("t.a", "primary_key_missing_column", "id"), ("t.a", "order_by_missing_column", "nope"), ("t.b", "primary_key_missing_column", "x"))
-    return metadata.validation_issues(c, k)
-
-
-@query("""
-SELECT coalesce(a.o, b.o) AS object, CASE WHEN b.o IS NULL THEN 'missing_object' WHEN a.o IS NULL THEN 'extra_object' ELSE 'kind_mismatch' END AS code
-FROM (VALUES ('a.x', 'table'), ('a.y', 'view'), ('a.z', 'table')) AS a(o, k) FULL JOIN (VALUES ('a.x', 'table'), ('a.y', 'table'), ('a.w', 'view')) AS b(o, k) ON a.o = b.o WHERE a.k IS DISTINCT FROM b.k
-""")
-def object_drift(spark, d):
-    s = "object string, kind string"
-    return metadata.object_drift(_rows(spark, s, ("a.x", "table"), ("a.y", "view"), ("a.z", "table")), _rows(spark, s, ("a.x", "table"), ("a.y", "table"), ("a.w", "view")))
-
-
-_WANT = (("a.x", "column", "id", "UInt64"), ("a.x", "column", "m", "String"), ("a.x", "setting", "g", "8192"), ("a.x", "ttl", "", "ts+1"), ("a.y", "column", "id", "Int8"))
-_HAVE = (("a.x", "column", "id", "UInt32"), ("a.x", "column", "q", "String"), ("a.x", "setting", "g", "1"), ("a.x", "setting", "other", "1"), ("a.x", "ttl", "", "ts+1"), ("a.y", "column", "id", "Int8"), ("a.y", "index", "i", "minmax"))
-_DRIFT = f"""
-SELECT object, CASE WHEN facet <> 'column' THEN facet || '_mismatch' WHEN h IS NULL THEN 'missing_column' WHEN w IS NULL THEN 'extra_column' ELSE 'changed_column' END AS code, count(*) AS n
-FROM (SELECT coalesce(a.o, b.o) AS object, coalesce(a.f, b.f) AS facet, a.s AS w, b.s AS h
- FROM (VALUES {", ".join(map(str, _WANT))}) AS a(o, f, n, s) FULL JOIN (VALUES {", ".join(map(str, _HAVE))}) AS b(o, f, n, s) ON a.o = b.o AND a.f = b.f AND a.n = b.n)
-WHERE w IS DISTINCT FROM h AND (facet <> 'setting' OR w IS NOT NULL) GROUP BY 1, 2
-"""
-
-
-def _drifted(spark):
-    s = "object string, facet string, name string, shape string"
-    return metadata.table_drift(_rows(spark, s, *_WANT), _rows(spark, s, *_HAVE))
-
-
-@query(_DRIFT)
-def table_drift_reasons(spark, d):
-    return _drifted(spark)
-
-
-@query(f"SELECT code, CAST(sum(n) AS BIGINT) AS n FROM ({_DRIFT}) GROUP BY ROLLUP (code)")
-def drift_summary(spark, d):
-    return metadata.drift_totals(_drifted(spark))
+def table_details(spark, d):
+    tables = _rows(spark, "database string, name string, engine string", ("a", "e", "MergeTree()"), ("a", "u", "Log()"), ("b", "e", "Log()"))
+    columns = _rows(spark, "database string, name string, position int, column string, type string", ("a", "e", 2, "ts", "DateTime"), ("a", "e", 1, "id", "UInt64"), ("a", "u", 1, "id", "UInt64"), ("x", "y", 1, "q", "Int8"))
+    indexes = _rows(spark, "database string, name string, index string, expression string", ("a", "e", "j", "ts"), ("a", "e", "i", "id"))
+    text = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x[a], x[b])), ",").alias(c)
+    return metadata.table_details(tables, columns, indexes).select("database", "name", "engine", text("columns", "column", "type"), text("indexes", "index", "expression"))
 
 
 _FILES = (("001_a.sql", "create a"), ("002_b.sql", "create b"), ("003_c.sql", "create c"), ("004_d.sql", "create d"))
@@ -523,12 +345,6 @@ def checksum_mismatches(spark, d):
     return journal.mismatches(*_journal(spark))
 
 
-@query("SELECT k AS kind, count(*) AS n FROM (VALUES ('a.x', 'table'), ('a.y', 'view'), ('a.z', 'view'), ('a.w', 'dictionary')) AS t(o, k) WHERE o NOT IN ('a.x', 'a.y') GROUP BY 1")
-def skipped_objects(spark, d):
-    objects = _rows(spark, "object string, kind string", ("a.x", "table"), ("a.y", "view"), ("a.z", "view"), ("a.w", "dictionary"))
-    return metadata.skipped_objects(objects, _rows(spark, "object string", ("a.x",), ("a.y",)))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN o_custkey BETWEEN 0 AND 255 THEN '' ELSE 'o_custkey' END AS problem FROM orders
 """)

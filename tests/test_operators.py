@@ -88,16 +88,9 @@ def test_ingest_splits_with_reasons(spark):
     assert empty.count() == 0 and rest.count() == 4
 
 
-def test_table_details_and_null_facts(spark):
+def test_table_details(spark):
     tables = spark.createDataFrame([("d", "t"), ("d", "u")], "database string, name string")
     columns = spark.createDataFrame([("d", "t", 2, "b", "X"), ("d", "t", 1, "a", "Y")], "database string, name string, position int, column string, type string")
     indexes = spark.createDataFrame([], "database string, name string, index string, expression string")
     got = metadata.table_details(tables, columns, indexes).collect()
     assert [c.column for c in got[0].columns] == ["a", "b"] and got[1].columns is None
-    s = "name string, default string"
-    assert rows(metadata.columns_diff(spark.createDataFrame([("a", None), ("b", None)], s), spark.createDataFrame([("a", "1"), ("b", None)], s))) == [("a", "modify", "caution")]
-
-
-def test_scope_with_database_and_exact_name(spark):
-    ops = spark.createDataFrame([("create_table", "table:a.t", "safe"), ("create_table", "table:b.t", "safe"), ("alter_x", "table:a.tt:column:q", "safe"), ("create_database", "database:a", "safe")], "type string, key string, risk string")
-    assert [r.key for r in metadata.in_scope(ops, "a", "t", False).orderBy("key").collect()] == ["database:a", "table:a.t"]

@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from strataflow.plans.catalog_queries import ORACLES, QUERIES
+from strataflow.plans import catalog_queries, engine_queries
+
+QUERIES, ORACLES = {**catalog_queries.QUERIES, **engine_queries.QUERIES}, {**catalog_queries.ORACLES, **engine_queries.ORACLES}
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
