@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Where the setting is absent in local mode (tests) a temporary folder is made; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_own_shared_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that all of them see")
         found = "file://" + tempfile.mkdtemp(prefix="strataflow-")
         spark.sparkContext._own_shared_dir = found
     return found.rstrip("/")
@@ -68,7 +70,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before any map in Python: ship the code, and bound the rows of an Arrow batch, since whole texts are long."""
+    """Before any map in Python: ship the code, and bound the rows of an Arrow batch, since whole texts are long. Spark bounds
+    its bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set)."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > MAX_ROWS_PER_BATCH:

@@ -33,7 +33,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]")
+_TRIGGER = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]", re.I)
 _TOKEN = re.compile(r"[^\s]+")
 _SPACE = re.compile(r"\s")
 _EDGE = "\"'`.,;:!?<>[]{}()*#$%&|"
@@ -120,7 +120,7 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
 def shape(word: str) -> str:
     """Character classes, runs squeezed to at most two."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         x = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if out[-2:] != [x, x]:
             out.append(x)
@@ -130,7 +130,7 @@ def shape(word: str) -> str:
 def token_features(words: list[str]) -> list[list[int]]:
     """Feature buckets of each token: shapes of itself and its neighbours, affixes, digit and mark counts."""
     shapes = ["^", *(shape(w) for w in words), "$"]
-    low = ["^", *(w.lower()[:24] for w in words), "$"]
+    low = ["^", *(w.lower() for w in words), "$"]
     out = []
     for i, w in enumerate(words, 1):
         digits = sum(c.isdigit() for c in w)
@@ -143,7 +143,7 @@ def token_features(words: list[str]) -> list[list[int]]:
                     f"s={shapes[i]}",
                     f"s-={shapes[i - 1]}",
                     f"s+={shapes[i + 1]}",
-                    f"c={core[:24] if not digits else 'digits'}",
+                    f"c={core if not digits else 'digits'}",
                     f"w-={low[i - 1] if not any(c.isdigit() for c in low[i - 1]) else '9'}",
                     f"d={min(digits, 20)}",
                     f"at={'@' in w}{core in ('at', 'dot')}",
@@ -168,6 +168,9 @@ def labelled_rows(seed: int = 11, rows: int = 1200) -> list[tuple[list[str], lis
         head = "4" + digits(14)
         return next(head + c for c in "0123456789" if luhn(head + c))
 
+    def cased(mark: str) -> str:
+        return rng.choice([str.lower, str.lower, str.upper])(mark)
+
     def plain() -> list[str]:
         return [word() + rng.choice(["", "", "", ".", ","]) for _ in range(rng.randint(1, 5))]
 
@@ -177,12 +180,12 @@ def labelled_rows(seed: int = 11, rows: int = 1200) -> list[tuple[list[str], lis
     positive = {
         "email": [
             lambda: [f"{word()}.{digits(2)}@{word()}.example.{top()}"],
-            lambda: [word(), "[at]", word(), "[dot]", top()],
-            lambda: [word(), "(at)", word(), "(dot)", top()],
-            lambda: [f"{word()}[at]{word()}[dot]{top()}"],
+            lambda: [word(), cased("[at]"), word(), cased("[dot]"), top()],
+            lambda: [word(), cased("(at)"), word(), cased("(dot)"), top()],
+            lambda: [f"{word()}{cased('[at]')}{word()}{cased('[dot]')}{top()}"],
             lambda: [f"{word()}@{word()}", f".{top()}"],
         ],
-        "ip": [lambda: [".".join(str(rng.randint(0, 255)) for _ in range(4))]],
+        "ip": [lambda: [rng.choice([".", ".", "[.]", "(.)"]).join(str(rng.randint(0, 255)) for _ in range(4))]],
         "card": [lambda: [card()], lambda: groups(card(), 4), lambda: ["-".join(groups(card(), 4))]],
         "phone": [
             lambda: ["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"],
@@ -284,13 +287,17 @@ def added_spans(model: CRF, texts: list[str | None], base: list[dict[str, list[t
     return out
 
 
+# A plain address is the base pattern's; the field adds those whose dots are in brackets.
+_MASKED_IP = re.compile(r"[0-9]{1,3}(?:[\[(]\.[\])][0-9]{1,3}){3}")
+
+
 def plausible(kind: str, text: str) -> bool:
     """A decoded span must carry what its kind cannot lack."""
     digits = [c for c in text if c in "0123456789"]
     if kind == "email":
-        return bool(re.search(r"@|[\[(]at[\])]", text)) and bool(re.search(r"\.|[\[(]dot[\])]", text))
+        return bool(re.search(r"@|[\[(]at[\])]", text, re.I)) and bool(re.search(r"\.|[\[(]dot[\])]", text, re.I))
     if kind == "ip":
-        return False  # an address that the base pattern does not take is none
+        return bool(_MASKED_IP.fullmatch(text)) and all(int(x) <= 255 for x in re.findall("[0-9]+", text))
     if re.search(r"[^0-9 ().+\t\n-]", text):
         return False
     if kind == "card":

@@ -48,15 +48,15 @@ def features(c: str = "candidate", before: str = "before", after: str = "after")
     flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
     low = F.lower(left)
     return {
-        "n_chars": F.least(n, F.lit(1000)),
+        "n_chars": n,
         "n_transitions": percent(F.length(squeezed) - 1),
         "digit_percent": percent(n - F.length(F.regexp_replace(x, "[0-9]", ""))),
         "upper_percent": percent(n - F.length(F.regexp_replace(x, "[A-Z]", ""))),
         "is_hex": flag(x.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "only_digits": flag(x.rlike("^[0-9_=-]+$")),
-        "n_distinct": F.size(F.array_distinct(F.split(F.substring(x, 1, 200), ""))),
+        "n_distinct": F.size(F.array_distinct(F.split(x, ""))),
         "dictionary_percent": percent(n - F.length(F.regexp_replace(F.lower(x), words, ""))),
-        "n_slashes": F.least(n - F.length(F.regexp_replace(x, "/", "")), F.lit(50)),
+        "n_slashes": n - F.length(F.regexp_replace(x, "/", "")),
         "path_like": flag(right.rlike("^\\.[a-z]{1,5}\\b") | left.rlike("(://|\\.\\.?/|\\.[a-z]{2,5})$")),
         "dashes": flag(x.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
         "secret_before": flag(low.rlike(SECRET_WORDS)),
@@ -99,8 +99,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     return once.withColumn("end_pos", end.cast("long")).withColumn("start_pos", F.col("end_pos") - F.length("candidate"))
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
-    """A small labelled table (candidate, before, after, label), made by rule from hashes of row numbers."""
+def labelled_findings(spark: SparkSession, rows: int = 3000, start: int = 0) -> DataFrame:
+    """A small labelled table (candidate, before, after, label), made by rule from hashes of row numbers from ``start`` on."""
     h = lambda salt, n=40: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), 1, n)
     b64 = lambda salt, n: F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))), "\\s", ""), 1, n)
     digits = lambda salt, n: F.substring(F.translate(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), "abcdef", "012345"), 1, n)
@@ -127,7 +127,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
     ]
     pick = F.pmod(F.col("id"), F.lit(len(kinds)))
     choose = lambda k: F.coalesce(*(F.when(pick == i, x[k] if isinstance(x[k], Column) else F.lit(x[k])) for i, x in enumerate(kinds)))
-    return spark.range(0, rows, 1, 4).select(choose(0).alias("candidate"), choose(1).alias("before"), choose(2).alias("after"), choose(3).alias("label"))
+    return spark.range(start, start + rows, 1, 4).select(choose(0).alias("candidate"), choose(1).alias("before"), choose(2).alias("after"), choose(3).alias("label"))
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, max_rows: int = MAX_LABELLED) -> list[str]:
@@ -149,6 +149,10 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, ma
         rows = rows.sample(max_rows / n, seed=SEED)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
+    return as_sql(model)
+
+
+def as_sql(model) -> list[str]:
     return [_as_sql(t.toDebugString) for t in model.trees]
 
 

@@ -151,9 +151,9 @@ def test_crf_held_out_accuracy_and_viterbi():
 
 def test_pii_field_adds_and_base_stays(spark):
     labelled = pii.labelled_table(spark)
-    rows = [(1, "write to bob [at] mail [dot] com today"), (2, "call (743) 555-3824 now"), (3, "a.b@c.de and 1.2.3.4"), (4, "nothing here 12 of 30"), (5, None)]
+    rows = [(1, "write to bob [at] mail [dot] com today"), (2, "call (743) 555-3824 now"), (6, "write to bob [AT] mail [DOT] com today"), (7, "reach 10[.]20[.]3[.]40 now or 10[.]20[.]3[.]400 then"), (3, "a.b@c.de and 1.2.3.4"), (4, "nothing here 12 of 30"), (5, None)]
     got = {r.doc_id: r for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string"), labelled).collect()}
-    assert got[1].spans == "email:9:32" and got[1].n_email == 0 and got[2].spans == "phone:5:19" and got[4].spans == "" and got[5].spans == ""
+    assert got[1].spans == got[6].spans == "email:9:32" and got[1].n_email == 0 and got[2].spans == "phone:5:19" and got[7].spans == "ip:6:22" and got[4].spans == "" and got[5].spans == ""
     assert got[3].spans == "email:0:8,ip:13:20" and got[3].base_sha256 == hashlib.sha256(b"email:0:8,ip:13:20").hexdigest() and (got[3].n_email, got[3].n_ip) == (1, 1)
     model = pii.train(labelled)
     assert len(pii.find_personal_data(odd(spark, "personal_data"), model).collect()) == 6
@@ -166,11 +166,29 @@ def test_secret_forest_held_out(spark):
     findings = secrets.labelled_findings(spark)
     trees = secrets.train_forest(findings)
     votes = sum((F.expr(t) for t in trees[1:]), F.expr(trees[0]))
-    held = secrets.labelled_findings(spark, 9000).withColumns(secrets.features()).select("label", (2 * votes > len(trees)).alias("p")).where("label is not null")
+    held = secrets.labelled_findings(spark, 6000, 3000).withColumns(secrets.features()).select("label", (2 * votes > len(trees)).alias("p")).where("label is not null")
     right = held.agg(F.avg((F.col("p").cast("int") == F.col("label")).cast("int"))).first()[0]
     assert right > 0.97
 
 
+def test_secret_trees_as_sql_equal_the_fitted_ones(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = secrets.labelled_findings(spark, 1500).where("label is not null").select(F.col("label").cast("double").alias("label"), *(v.cast("double").alias(k) for k, v in secrets.features().items())).na.fill(0.0)
+    data = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(rows)
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=4, maxDepth=6, seed=3).fit(data)
+    for tree, sql in zip(model.trees, secrets.as_sql(model), strict=True):
+        out = tree.transform(data).select("prediction", F.expr(sql).alias("mine"))
+        assert out.where("prediction != mine").count() == 0 and out.select("mine").distinct().count() == 2
+
+
+def test_secret_features_read_whole_candidates(spark):
+    long = "ab" * 400 + "".join(map(chr, range(65, 91))) + "1/" * 90
+    row = spark.createDataFrame([(long, "", "")], "candidate string, before string, after string").select(*(v.alias(k) for k, v in secrets.features().items())).first()
+    assert (row.n_chars, row.n_distinct, row.n_slashes) == (len(long), len(set(long)), 90)
+
+
 def test_secret_spans_and_no_python_in_the_plan(spark, docs, texts):
     found = secrets.scan_secrets(docs, secrets.labelled_findings(spark))
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", found._jdf.queryExecution().toString())
