@@ -428,7 +428,7 @@ class Applier:
         database, _, name = place.split(":")[0].partition(".")
         d = self.state.get((database, name))
         if o.type.startswith("drop_"):
-            catalog.run(self.spark, f"DROP {'TABLE' if o.type == 'drop_table' else 'VIEW'} IF EXISTS {database}.{name}")
+            catalog.drop_named(self.spark, database, name, o.type == "drop_table")
         elif o.type == "alter_table_rename_table":
             old, new = (tuple(x.split(".")) for x in sql.removeprefix("RENAME TABLE ").split(" TO "))
             catalog.run(self.spark, f"CREATE DATABASE IF NOT EXISTS {new[0]}")

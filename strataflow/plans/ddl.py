@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from ..functions.text import quote_literal
+from ..functions.text import normalize_clause, quote_literal
 from ..functions.vocabulary import translate_query
 from .model import Column, Definition, MaterializedView, Projection, SkipIndex, Table, View
 
@@ -144,6 +144,19 @@ def properties(d: Table) -> dict[str, str]:
     return {f"declared.{k}": v for k, v in out.items() if v != ""}
 
 
+def file_options(d: Table) -> dict[str, str]:
+    """Parquet options of the indexes that Spark's scans can use: bloom filters on plain columns, for indexes that answer equality
+    (minmax needs none: row groups have it, and rows are sorted by the table's key)."""
+    names, out = {c.name for c in d.columns}, {}
+    for i in d.indexes:
+        column = normalize_clause(i.expression)
+        if i.type in ("bloom_filter", "set") and column in names:
+            out[f"parquet.bloom.filter.enabled#{column}"] = "true"
+            if i.type == "bloom_filter" and i.type_args:
+                out[f"parquet.bloom.filter.fpp#{column}"] = i.type_args.strip()
+    return dict(sorted(out.items()))
+
+
 def spark_create(d: Definition) -> str:
     if isinstance(d, (View, MaterializedView)):
         # The catalog entry of a materialized view is a view with its query: streaming.views and plans.replay move the rows.
@@ -156,4 +169,6 @@ def spark_create(d: Definition) -> str:
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" + (f" COMMENT {quote_literal(f.metadata['comment'])}" if f.metadata.get("comment") else "") for f in d.spark_schema())
     props = ", ".join(f"{quote_literal(k)} = {quote_literal(v)}" for k, v in properties(d).items())
     comment = f" COMMENT {quote_literal(d.comment)}" if d.comment else ""
-    return f"CREATE TABLE IF NOT EXISTS {place(d)} ({cols}) USING parquet{comment} TBLPROPERTIES ({props})"
+    held = ", ".join(f"{quote_literal(k)} = {quote_literal(v)}" for k, v in file_options(d).items())
+    options = f" OPTIONS ({held})" if held else ""
+    return f"CREATE TABLE IF NOT EXISTS {place(d)} ({cols}) USING parquet{options}{comment} TBLPROPERTIES ({props})"

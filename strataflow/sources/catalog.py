@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import replace
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from ..plans.model import Column, Definition, MaterializedView, Projection, Skip
 
 SYSTEM_DATABASES = ("information_schema", "sys", "global_temp")
 OBJECTS = T.StructType([T.StructField(n, T.StringType()) for n in ("database", "name", "kind")])
-_NEW, _OLD = "__next", "__previous"
+_NEW, _OLD, _PROJECTION = "__next", "__previous", "__projection_"
 
 
 def run(spark: SparkSession, statement: str) -> None:
@@ -33,10 +35,18 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def insert(rows: DataFrame, table: str) -> None:
-    """Appends by name; columns that the table has and the rows lack are null."""
-    target = rows.sparkSession.table(table).schema
+    """Appends by name; columns that the table has and the rows lack are null. Each file is sorted by the table's declared key, so
+    that the least and greatest values of its row groups let scans skip them."""
+    spark = rows.sparkSession
+    target = spark.table(table).schema
     have = set(rows.columns)
-    rows.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target)).write.insertInto(table)
+    out = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in target))
+    _sorted(out, key_columns([_properties(spark, table).get("declared.order_by", "")])).write.insertInto(table)
+
+
+def _sorted(rows: DataFrame, key: Iterable[str]) -> DataFrame:
+    plain = [k for k in key if k in rows.columns]
+    return rows.sortWithinPartitions(*plain) if plain else rows
 
 
 def objects(spark: SparkSession, databases: Iterable[str] | None = None) -> DataFrame:
@@ -48,7 +58,7 @@ def objects(spark: SparkSession, databases: Iterable[str] | None = None) -> Data
         if db.name in SYSTEM_DATABASES or (wanted is not None and db.name not in wanted):
             continue
         for t in spark.catalog.listTables(db.name):
-            if not t.isTemporary and not t.name.endswith((_NEW, _OLD)):
+            if not t.isTemporary and not t.name.endswith((_NEW, _OLD)) and _PROJECTION not in t.name:
                 kind = "table" if t.tableType != "VIEW" else _properties(spark, f"{db.name}.{t.name}").get("declared.kind", "view")
                 rows.append((db.name, t.name, kind))
     return spark.createDataFrame(sorted(rows), OBJECTS)
@@ -60,8 +70,16 @@ def views(spark: SparkSession, databases: Iterable[str] | None = None) -> DataFr
 
 def _properties(spark: SparkSession, name: str) -> dict[str, str]:
     """From the session's catalog: SHOW TBLPROPERTIES hides values that look secret, such as any with "url" in it."""
+    return _pairs(_metadata(spark, name).properties())
+
+
+def _metadata(spark: SparkSession, name: str):
     state = spark._jsparkSession.sessionState()
-    found, out = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(name)).properties().iterator(), {}
+    return state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(name))
+
+
+def _pairs(scala_map) -> dict[str, str]:
+    found, out = scala_map.iterator(), {}
     while found.hasNext():
         pair = found.next()
         out[pair._1()] = pair._2()
@@ -119,21 +137,74 @@ def describe_all(spark: SparkSession, databases: Iterable[str] | None = None) ->
 def create(spark: SparkSession, d: Definition) -> None:
     run(spark, ddl.create_database(d.database))
     run(spark, ddl.spark_create(d))
+    if isinstance(d, Table):
+        refresh_projections(spark, d)
+
+
+def _companions(spark: SparkSession, database: str, name: str) -> list[str]:
+    return [t.name for t in spark.catalog.listTables(database, f"{name}{_PROJECTION}*")]
+
+
+def _drop_companions(spark: SparkSession, database: str, name: str) -> None:
+    for companion in _companions(spark, database, name):
+        run(spark, f"DROP TABLE IF EXISTS {database}.{companion}")
+
+
+def refresh_projections(spark: SparkSession, d: Table) -> list[str]:
+    """Writes the table of each declared projection anew and drops those of other ones; their names, by which a query reads one.
+
+    They hold what the table held at the last refresh: after rows were added, refresh again.
+    """
+    from ..operators.granules import projection
+
+    want = {f"{d.name}{_PROJECTION}{p.name}".lower(): p for p in d.projections}
+    for name in _companions(spark, d.database, d.name):
+        if name not in want:
+            run(spark, f"DROP TABLE IF EXISTS {d.database}.{name}")
+    for name, p in want.items():
+        projection(spark.table(f"{d.database}.{d.name}"), p.query).write.mode("overwrite").saveAsTable(f"{d.database}.{name}")
+    return [f"{d.database}.{name}" for name in want]
+
+
+def expire(spark: SparkSession, database: str, name: str, now: SparkColumn | None = None) -> int:
+    """Removes rows whose declared TTL has passed, by copy and swap; returns how many went."""
+    from ..operators.merge import retained
+
+    d = describe(spark, database, name)
+    if not d.ttl:
+        return 0
+    table = spark.table(f"{database}.{name}")
+    before, left = table.count(), retained(table, d.ttl, F.current_timestamp() if now is None else now)
+    if left.count() < before:
+        _exchange(spark, d, left)
+    return before - spark.table(f"{database}.{name}").count()
 
 
 def drop(spark: SparkSession, d: Definition) -> None:
-    run(spark, f"DROP {'TABLE' if isinstance(d, Table) else 'VIEW'} IF EXISTS {d.database}.{d.name}")
+    drop_named(spark, d.database, d.name, isinstance(d, Table))
+
+
+def drop_named(spark: SparkSession, database: str, name: str, table: bool) -> None:
+    """A table with the tables of its projections, or a view."""
+    if table and spark.catalog.databaseExists(database):
+        _drop_companions(spark, database, name)
+    run(spark, f"DROP {'TABLE' if table else 'VIEW'} IF EXISTS {database}.{name}")
 
 
 def set_properties(spark: SparkSession, d: Table) -> None:
-    """The declared properties of a definition, and none of an earlier one."""
+    """The declared properties of a definition, and none of an earlier one. Index options hold for files that are written from now on."""
     name = f"{d.database}.{d.name}"
     want = ddl.properties(d)
     gone = [k for k in _properties(spark, name) if k.startswith("declared.") and k not in want]
     if gone:
         keys = ", ".join(ddl.quote_literal(k) for k in gone)
         run(spark, f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ({keys})")
-    run(spark, f"ALTER TABLE {name} SET TBLPROPERTIES ({', '.join(f'{ddl.quote_literal(k)} = {ddl.quote_literal(v)}' for k, v in want.items())})")
+    pairs = lambda m: ", ".join(f"{ddl.quote_literal(k)} = {ddl.quote_literal(v)}" for k, v in m.items())
+    run(spark, f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs(want)})")
+    options = ddl.file_options(d)
+    off = {k: "false" for k, v in _pairs(_metadata(spark, name).storage().properties()).items() if k.startswith("parquet.bloom.filter.enabled#") and v == "true" and k not in options}
+    if off or options:
+        run(spark, f"ALTER TABLE {name} SET SERDEPROPERTIES ({pairs({**off, **options})})")
 
 
 def recover(spark: SparkSession, database: str, name: str) -> None:
@@ -162,13 +233,20 @@ def rewrite(spark: SparkSession, d: Table, renames: dict[str, str] | None = None
         else:
             value = F.expr(ddl.default_value(c.default)) if c.default is not None else F.lit(None)
         columns.append(value.cast(f.dataType).alias(c.name))
-    fresh = Table(d.database, d.name + _NEW, d.columns, comment=d.comment)
+    _exchange(spark, d, old.select(*columns))
+
+
+def _exchange(spark: SparkSession, d: Table, rows: DataFrame) -> None:
+    """Rows written into a new table of the definition, which then takes the old one's place."""
+    fresh = replace(d, name=d.name + _NEW, projections=())
+    recover(spark, d.database, d.name)
     create(spark, fresh)
-    old.select(*columns).write.insertInto(f"{d.database}.{fresh.name}")
+    _sorted(rows, d.order_by).write.insertInto(f"{d.database}.{fresh.name}")
     run(spark, f"ALTER TABLE {d.database}.{d.name} RENAME TO {d.database}.{d.name}{_OLD}")
     run(spark, f"ALTER TABLE {d.database}.{fresh.name} RENAME TO {d.database}.{d.name}")
     run(spark, f"DROP TABLE IF EXISTS {d.database}.{d.name}{_OLD}")
     set_properties(spark, d)
+    refresh_projections(spark, d)
 
 
 def alter(spark: SparkSession, old: Table, new: Table, renames: dict[str, str] | None = None) -> str:
@@ -186,19 +264,24 @@ def alter(spark: SparkSession, old: Table, new: Table, renames: dict[str, str] |
         cols = ", ".join(f"`{c.name}` {struct_field(c.name, c.type).dataType.simpleString()}" for c in added)
         run(spark, f"ALTER TABLE {new.database}.{new.name} ADD COLUMNS ({cols})")
     set_properties(spark, new)
+    if new.projections != old.projections:
+        refresh_projections(spark, new)
     return "columns" if added else "properties"
 
 
 def rename_table(spark: SparkSession, old: tuple[str, str], new: tuple[str, str]) -> None:
     """In one database a rename; across databases a copy, then a drop."""
     if old[0] == new[0]:
+        d = replace(describe(spark, *old), name=new[1])
         run(spark, f"ALTER TABLE {'.'.join(old)} RENAME TO {'.'.join(new)}")
+        _drop_companions(spark, *old)
+        refresh_projections(spark, d)
         return
-    from dataclasses import replace
-
     d = describe(spark, *old)
     moved = replace(d, database=new[0], name=new[1])
     create(spark, moved)
     spark.table(".".join(old)).write.insertInto(".".join(new))
     set_properties(spark, moved)
+    refresh_projections(spark, moved)
     run(spark, f"DROP TABLE {'.'.join(old)}")
+    _drop_companions(spark, *old)

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataflow import cli
-from strataflow.plans import planner
-from strataflow.plans.model import Column, SkipIndex, Table, View, canonical
+from strataflow.plans import ddl, planner
+from strataflow.plans.model import Column, Projection, SkipIndex, Table, View, canonical
 from strataflow.plans.plugins import Finding, Plugin
 from strataflow.sources import catalog, files, journal
 
@@ -90,6 +92,31 @@ def test_catalog_copy_and_swap(spark):
     assert spark.table("app_t2.people").where("id = 9 and mail is null").count() == 1
 
 
+def test_indexes_projections_and_ttl_do_something(spark):
+    t = Table("ix_t", "e", (Column("id", "Int64"), Column("user", "Int64"), Column("at", "DateTime")), order_by=("id",), projections=(Projection("Per_user", "SELECT user, count() AS n GROUP BY user"),), ttl="at + INTERVAL 1 DAY")
+    catalog.create(spark, t)
+    rows = spark.range(1000).select((1000 - F.col("id")).alias("id"), (F.col("id") % 10).alias("user"), F.when(F.col("id") < 300, F.lit("2020-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp").alias("at"))
+    catalog.insert(rows.coalesce(1), "ix_t.e")
+    assert [r.id for r in spark.table("ix_t.e").limit(3).collect()] == [1, 2, 3]  # sorted by the key in its file
+    (companion,) = catalog.refresh_projections(spark, t)
+    assert {r.n for r in spark.table(companion).collect()} == {100} and {r.name for r in catalog.objects(spark, ["ix_t"]).collect()} == {"e"}
+    more = replace(t, indexes=(SkipIndex("b", "id", "bloom_filter", 1, "0.02"),), projections=())
+    assert catalog.alter(spark, catalog.describe(spark, "ix_t", "e"), more) == "properties" and not spark.catalog.tableExists(companion)
+    assert canonical(catalog.describe(spark, "ix_t", "e")) == canonical(more)
+    catalog.insert(spark.range(5000, 300_000).select(F.xxhash64("id").alias("id"), F.lit(77).alias("user"), F.lit("2999-01-01").cast("timestamp").alias("at")).coalesce(1), "ix_t.e")
+    jvm, sizes = spark._jvm, []
+    for path in spark.table("ix_t.e").inputFiles():
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+        group = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source).getRowGroups().get(0)
+        sizes.append((group.getRowCount() > 1000, group.getColumns().get(0).getBloomFilterOffset() > 0))
+    assert sorted(sizes) == [(False, False), (True, True)]  # files written after the index have its filter
+    without = replace(more, indexes=())
+    assert catalog.alter(spark, more, without) == "properties" and ddl.file_options(without) == {} and catalog._pairs(catalog._metadata(spark, "ix_t.e").storage().properties())["parquet.bloom.filter.enabled#id"] == "false"
+    assert catalog.expire(spark, "ix_t", "e") == 300 and spark.table("ix_t.e").where("user < 10").count() == 700 and catalog.expire(spark, "ix_t", "e") == 0
+    catalog.drop(spark, more)
+    assert not spark.catalog.tableExists("ix_t.e")
+
+
 def run(capsys, *argv, plugins=()):
     code = cli.Cli(list(plugins)).main(["--json", *argv])
     return code, json.loads(capsys.readouterr().out.strip().split("\n")[-1])
