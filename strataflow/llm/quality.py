@@ -1,13 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is one score per document, larger meaning worse. Labelled documents are split by a hash
-of their id. The fitting half proposes, per stratum and rule, the cutoff that separates rejected
-from accepted labels best. The holdout half then certifies it: a cutoff is admissible only if an
-exact binomial test shows that it rejects at most ``alpha / rules`` of good documents at level
-``delta / (strata * rules)``. Cutoffs are tested from the most lenient one on, so that no further
-correction is due inside a rule; the Bonferroni divisions cover rules and strata. The union over
-rules rejects at most ``alpha`` of a stratum's good documents, for all strata at once, with
-probability ``1 - delta``. A stratum without enough labels gets no cutoff and loses nothing.
+Each rule is one score per document, larger meaning worse. Labelled texts are split by a hash of the text, so that copies are
+one draw. The fitting half proposes, per stratum and rule, the cutoff that separates rejected from accepted labels best, and
+orders the rules by what they gain; a rule that gains next to nothing beyond those before it is left out. The holdout half certifies them in that order: the rules so far, together, are admissible
+if an exact binomial test shows that they reject at most ``alpha`` of good documents at level ``delta / strata``. The
+sequence is fixed before the holdout is seen and ends at the first failure, so that no further correction is due over rules;
+the Bonferroni division covers strata. So at most ``alpha`` of a stratum's good documents are rejected, for all strata at once,
+with probability ``1 - delta``. A stratum without enough labels gets no cutoff and loses nothing.
 """
 
 from __future__ import annotations
@@ -106,69 +105,90 @@ def allowed_rejections(n: int, alpha: float, delta: float) -> int:
     return n
 
 
-def pick_cutoff(fit_good: list[int], fit_bad: list[int], hold_good: list[int], alpha: float, delta: float, price: float = 10.0) -> int:
-    """The cutoff t of one stratum and rule (reject where score > t); GRID rejects nothing.
+#: What a good document counts against bad ones, and the least gain of a rule.
+PRICE, LEAST_GAIN = 10.0, 0.02
 
-    The arguments are histograms over the grid. The fitting half maximizes the share of bad rejected
-    minus ``price`` times the share of good rejected, ties going to the middle of the gap; the
-    holdout half must certify the choice, else the next more lenient certified cutoff is taken.
+
+def pick_cutoff(good: list[int], bad: list[int], price: float = PRICE, least: float = LEAST_GAIN) -> tuple[int, float]:
+    """The cutoff t of one stratum and rule (reject where score > t), and its gain; GRID rejects nothing.
+
+    The arguments are histograms of the fitting half over the grid. The gain is the share of bad rejected minus ``price`` times
+    the share of good rejected; ties go to the middle of the gap.
     """
-    good, bad, held = sum(fit_good), sum(fit_bad), sum(hold_good)
-    if not good or not bad:
-        return GRID
-    most = allowed_rejections(held, alpha, delta)
-    above_good = above_bad = above_held = 0
-    certified, best, ties = GRID + 1, 0.02, []
+    all_good, all_bad = sum(good), sum(bad)
+    if not all_good or not all_bad:
+        return GRID, 0.0
+    above_good = above_bad = 0
+    best, ties = least, []
     for t in range(GRID, -1, -1):  # from the most lenient cutoff on
-        if above_held > most:
-            break
-        certified = t
-        gain = above_bad / bad - price * above_good / good
+        gain = above_bad / all_bad - price * above_good / all_good
         if gain > best + 1e-12:
             best, ties = gain, [t]
         elif ties and abs(gain - best) <= 1e-12:
             ties.append(t)
-        above_good += fit_good[t]
-        above_bad += fit_bad[t]
-        above_held += hold_good[t]
-    return ties[len(ties) // 2] if ties and certified <= GRID else GRID
+        above_good += good[t]
+        above_bad += bad[t]
+    return (ties[len(ties) // 2], best) if ties else (GRID, 0.0)
+
+
+def certified(rejected: list[int], held: int, alpha: float, delta: float) -> int:
+    """How many rules of a fixed sequence stay: ``rejected`` has the held-out good documents that each rejects and none before it."""
+    most, total = allowed_rejections(held, alpha, delta), 0
+    for k, n in enumerate(rejected):
+        total += n
+        if total > most:
+            return k
+    return len(rejected)
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, c: str, alpha: float, delta: float) -> DataFrame:
-    """(stratum, one int column per rule), from histograms of all labelled documents.
+    """(stratum, one int column per rule), from all labelled documents.
 
-    ``counted`` has doc_id, stratum and the struct ``c``. Histograms have at most
-    strata * rules * (GRID + 1) * 4 rows, whatever the input; only they are shuffled by stratum.
-    Repeated labels of a document count once (the lowest quality holds); null labels are skipped.
+    ``counted`` has doc_id, stratum, text_hash and the struct ``c``. Labelled texts are shuffled by their hash; the fitting
+    half's histograms have at most strata * rules * (GRID + 1) * 2 rows and the holdout's counts one row for each stratum, whatever the input.
+    Repeated labels of a document and copies of a text in a stratum count once (the lowest quality holds); null labels are skipped.
     """
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    rule = scores(c)
-    rows = materialize(
-        counted.where(~base_failed(c))
-        .join(truth, "doc_id")
-        .select("stratum", "q", (F.xxhash64("doc_id") % 2 == 0).alias("fit"), F.posexplode(F.array(*rule.values())).alias("rule", "score"))
-        .groupBy("stratum", "rule", "fit", "q", "score")
-        .count(),
-        "histograms",
-    )
-    n_strata = max(1, rows.select("stratum").distinct().count())
+    labelled = counted.where(~base_failed(c)).join(truth, "doc_id").select("stratum", "text_hash", "q", F.array(*scores(c).values()).alias("scores"))
+    once = materialize(labelled.groupBy("stratum", "text_hash").agg(F.min("q").alias("q"), F.first("scores").alias("scores")), "labelled")
+    fits = F.col("text_hash") % 2 == 0
+    n_strata = max(1, once.select("stratum").distinct().count())
 
     def choose(pdf):
         import pandas as pd  # here, since workers that only count need not hold it
 
-        def histogram(fit: bool, quality: int) -> list[int]:
-            part = pdf[(pdf.fit == fit) & (pdf.q == quality)]
+        def histogram(quality: int) -> list[int]:
             out = [0] * (GRID + 1)
+            part = pdf[pdf.q == quality]
             for s, n in zip(part.score, part["count"], strict=True):
                 out[int(s)] += int(n)
             return out
 
-        n = len(RULES)
-        t = pick_cutoff(histogram(True, 1), histogram(True, 0), histogram(False, 1), alpha / n, delta / (n * n_strata))
-        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "rule": [int(pdf.rule.iloc[0])], "t": [t]})
-
-    picked = rows.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule int, t int")
-    return picked.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == i, F.col("t"))).alias(f"t_{r}") for i, r in enumerate(RULES)))
+        t, gain = pick_cutoff(histogram(1), histogram(0))
+        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "rule": [int(pdf.rule.iloc[0])], "t": [t], "gain": [gain]})
+
+    fitted = once.where(fits).select("stratum", "q", F.posexplode("scores").alias("rule", "score")).groupBy("stratum", "rule", "q", "score").count()
+    picked = fitted.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule int, t int, gain double").where(F.col("t") < GRID)
+    # A stratum has one step for each rule at most.
+    steps = picked.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct((-F.col("gain")).alias("order"), "rule", "t"))).alias("steps"))
+    first = F.array_position(F.transform("steps", lambda s: F.get(F.col("scores"), s["rule"]) > s["t"]), True)
+    of = lambda q: F.array(*(F.count_if((F.col("q") == q) & (first == k + 1)) / F.count_if(F.col("q") == q) for k in range(len(RULES))))
+    beyond = once.where(fits).join(steps, "stratum").groupBy("stratum").agg(F.any_value("steps").alias("steps"), of(0).alias("bad"), of(1).alias("good"))
+    steps = beyond.select("stratum", F.filter("steps", lambda s, i: F.get("bad", i) - PRICE * F.get("good", i) > LEAST_GAIN).alias("steps"))
+    held = once.where(~fits & (F.col("q") == 1)).join(steps, "stratum")
+    hit = [F.count_if(first == k + 1).alias(f"n_{k}") for k in range(len(RULES))]
+    tested = held.groupBy("stratum").agg(F.any_value("steps").alias("steps"), F.count("*").alias("n"), *hit)
+
+    def certify(batches):
+        for pdf in batches:
+            for i, row in pdf.iterrows():
+                stay = certified([int(row[f"n_{k}"]) for k in range(len(row.steps))], int(row.n), alpha, delta / n_strata)
+                for s in list(row.steps)[:stay]:
+                    pdf.loc[i, f"t_{RULES[s['rule']]}"] = s["t"]
+            yield pdf.reindex(columns=["stratum", *(f"t_{r}" for r in RULES)]).astype({f"t_{r}": "float64" for r in RULES})
+
+    made = tested.mapInPandas(certify, "stratum string, " + ", ".join(f"t_{r} double" for r in RULES))
+    return made.select("stratum", *(F.col(f"t_{r}").cast("int").alias(f"t_{r}") for r in RULES))
 
 
 def _verdict(c: str, cut: str) -> Column:
@@ -191,7 +211,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, de
     columns ``docs`` has are not touched.
     """
     stats = materialize(
-        with_counts(docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), "text"), "counts", ["doc_id", "stratum"]), "quality"
+        with_counts(docs.select("doc_id", _stratum(docs, stratum).alias("stratum"), F.xxhash64("text").alias("text_hash"), "text"), "counts", ["doc_id", "stratum", "text_hash"]),
+        "quality",
     )
     chosen = materialize(cutoffs(stats, labels, "counts", alpha, delta), "cutoffs")
     cut = chosen.select("stratum", F.struct(*(f"t_{r}" for r in RULES)).alias("cut"))

@@ -403,13 +403,80 @@ def test_binomial_bound_is_exact():
 
 def test_cutoffs_control_false_rejection():
     rng = np.random.default_rng(0)
-    bad_draws, alpha, delta = 0, 0.05, 0.2
-    for _ in range(150):
-        histogram = lambda p, n: np.bincount(np.minimum(rng.geometric(p, n), quality.GRID), minlength=quality.GRID + 1).tolist()
-        t = quality.pick_cutoff(histogram(0.05, 400), histogram(0.02, 400), histogram(0.05, 400), alpha, delta, price=0.5)
-        true_risk = 0.95**t if t < quality.GRID else 0.0
-        bad_draws += true_risk > alpha
-    assert bad_draws / 150 <= delta + 0.05
+    bad_draws, alpha, delta, some = 0, 0.05, 0.2, 0
+    draw = lambda p, n: np.minimum(rng.geometric(p, n), quality.GRID)
+    histogram = lambda x: np.bincount(x, minlength=quality.GRID + 1).tolist()
+    for _ in range(200):  # two rules, tested together in the order of their gains
+        good, bad, held = (np.stack([draw(p, 400), draw(p, 400)]) for p in (0.05, 0.02, 0.05))
+        steps = sorted(((quality.pick_cutoff(histogram(g), histogram(b), price=0.5), i) for i, (g, b) in enumerate(zip(good, bad, strict=True))), key=lambda x: -x[0][1])
+        steps = [(i, t) for (t, _), i in steps if t < quality.GRID]
+        fired = np.stack([held[i] > t for i, t in steps]) if steps else np.zeros((0, 400), bool)
+        new = [int((fired[k] & ~fired[:k].any(axis=0)).sum()) for k in range(len(steps))]
+        stay = steps[: quality.certified(new, 400, alpha, delta)]
+        some += bool(stay)
+        passed = np.prod([1 - 0.95**t for _, t in stay]) if stay else 1.0
+        bad_draws += 1 - passed > alpha
+    assert bad_draws / 200 <= delta + 0.05
+    assert quality.certified([0, 3, 1], 1000, 0.05, 0.1) == 3 and quality.certified([0, 300, 0], 1000, 0.05, 0.1) == 1 and quality.certified([0], 3, 0.05, 0.1) == 0
+
+
+def plain_cutoffs(rows, alpha, delta):
+    """rows: (stratum, text, text hash, label); cutoffs by stratum and rule."""
+    texts = {}
+    for stratum, text, h, q in rows:
+        texts[stratum, h] = (text, min(q, texts.get((stratum, h), (0, 1))[1]))
+    share = lambda a, b, k: min(k * a // max(b, 1), quality.GRID)
+    drawn = {}
+    for (stratum, h), (text, q) in texts.items():
+        c = dict(zip(quality.COUNTS, quality.text_counts(text), strict=True))
+        if c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]:
+            score = (share(c["n_symbols"], c["n_words"], 100), share(c["n_bangs"], c["n_words"], 100), share(c["n_capitals"], c["word_chars"], 200), share(c["n_dup_lines"], c["n_lines"], 200), share(c["n_repeat_words"], c["n_words"], 200))
+            drawn.setdefault(stratum, []).append((h % 2 == 0, q, score))
+    out = {}
+    for stratum, items in drawn.items():
+        steps = []
+        for rule in range(5):
+            good, bad = ([s[rule] for fit, q, s in items if fit and q == label] for label in (1, 0))
+            gains = {t: sum(x > t for x in bad) / len(bad) - 10 * sum(x > t for x in good) / len(good) for t in range(quality.GRID + 1)} if good and bad else {}
+            top = max(gains.values(), default=0)
+            best = [t for t in range(quality.GRID, -1, -1) if t in gains and abs(gains[t] - top) <= 1e-9]
+            if top > 0.02:
+                steps.append((-top, rule, best[len(best) // 2]))
+        steps.sort()
+        fit_of = lambda label: [s for fit, q, s in items if fit and q == label]  # noqa: E731, B023
+        first = lambda label, k: sum(s[steps[k][1]] > steps[k][2] and not any(s[r] > t for _, r, t in steps[:k]) for s in fit_of(label)) / len(fit_of(label))  # noqa: E731, B023
+        steps = [x for k, x in enumerate(list(steps)) if first(0, k) - 10 * first(1, k) > 0.02]
+        held = [s for fit, q, s in items if not fit and q == 1]
+        found = {}
+        for k in range(len(steps)):
+            if sum(any(s[r] > t for _, r, t in steps[: k + 1]) for s in held) > quality.allowed_rejections(len(held), alpha, delta / len(drawn)):
+                break
+            found[quality.RULES[steps[k][1]]] = steps[k][2]
+        if held and steps:
+            out[stratum] = found
+    return out
+
+
+def test_cutoffs_equal_a_plain_program(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(3000):
+        lang, bad = rng.choice(["en", "en", "en", "de", "fr"]), rng.random() < 0.4
+        mark = rng.choice(["!", "***", "X"])
+        end = lambda bad=bad, mark=mark: mark if bad and rng.random() < 0.5 else "*" if rng.random() < 0.003 else ""
+        rows.append((i, " ".join(rng.choice(words) + end() for _ in range(60)), lang, int(not bad)))
+    rows += [(5000 + k, rows[k][1], rows[k][2], 1) for k in range(40)]  # copies, some of them with another label
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    verdicts, chosen = quality.quality_verdicts(docs, labels)
+    got = {r.stratum: {k: getattr(r, f"t_{k}") for k in quality.RULES if getattr(r, f"t_{k}") is not None} for r in chosen.collect()}
+    want = plain_cutoffs([(lang, text, hashes[i], q) for i, text, lang, q in rows], 0.05, 0.1)
+    assert got == want and any(len(x) > 1 for x in want.values())
+    score = lambda r: {"symbols": min(100 * r.n_symbols // r.n_words, 200), "bangs": min(100 * r.n_bangs // r.n_words, 200), "capitals": min(200 * r.n_capitals // r.word_chars, 200), "dup_lines": 0, "repeats": 200 * r.n_repeat_words // r.n_words}
+    for r in verdicts.collect():
+        assert r.kept == (not r.base_failed and not any(score(r)[k] > t for k, t in want.get(r.stratum, {}).items()))
 
 
 def test_quality_rejects_junk_and_keeps_good(spark):
