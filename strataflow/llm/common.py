@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -78,6 +79,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(MAX_ROWS_PER_BATCH))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: Python workers live on between tasks, several in one executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives its memory back at the end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     taken = {c.lower() for c in df.columns}
     while wanted.lower() in taken:
@@ -119,7 +139,7 @@ def map_text(
             old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*old, *(v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(new, kinds, strict=True))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def as_bytes(text: str | None) -> bytes:

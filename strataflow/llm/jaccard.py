@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free_name, map_text, materialize, shrunk, small_batches, unzipped
+from .common import discard, free_name, lean, map_text, materialize, shrunk, small_batches, unzipped
 from .components import components
 from .wordcache import BATCH_CHARS, runs, spans
 
@@ -214,10 +214,10 @@ def possible_classes(docs: DataFrame, told: DataFrame, percent: int) -> DataFram
     """(d1, d2, node) of the classes that may link; node is the smallest id of the class."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small_batches(docs.sparkSession)
-    packed = docs.where("doc_id is not null").select("text").mapInArrow(_half(max(parts, BUCKETS)), "bucket long, names binary, counts binary, hashes binary, again binary")
+    packed = docs.where("doc_id is not null").select("text").mapInArrow(lean(_half(max(parts, BUCKETS))), "bucket long, names binary, counts binary, hashes binary, again binary")
     dealt = packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
     # Counts of d1 alone: should two classes have the same d1, both counts are too high, and both pass to the next step.
-    shared = dealt.mapInArrow(_shared_counts, "d1 long, n_shared long").groupBy("d1").agg(F.sum("n_shared").alias("n_shared"))
+    shared = dealt.mapInArrow(lean(_shared_counts), "d1 long, n_shared long").groupBy("d1").agg(F.sum("n_shared").alias("n_shared"))
     classes = (
         told.where("n_shingles > 0 and doc_id is not null")
         .groupBy("d1", "d2")
@@ -256,7 +256,7 @@ def candidate_groups(texts: DataFrame, percent: int) -> DataFrame:
                 columns = np.repeat(names[at:cut], sizes), np.repeat(n[at:cut], sizes), np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "n", "h"])
 
-    rows = texts.mapInArrow(postings, "name long, n long, h long")
+    rows = texts.mapInArrow(lean(postings), "name long, n long, h long")
     shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     own = Window.partitionBy("name")
     ranked = rows.join(shared, "h").withColumns(
@@ -524,7 +524,7 @@ def class_links(texts: DataFrame, groups: DataFrame, percent: int, group: int) -
     rows = placed.join(texts.select("name", "text"), "name").select("root", "part", "name", "text")
     dealt = rows.repartition(parts, "root", "part").sortWithinPartitions("root", "part", "name")
     schema = "root long, part long, name long, component long, leader long, distance double"
-    own = materialize(dealt.mapInArrow(_by_group(_cluster_part(percent), [c.split()[0] for c in schema.split(", ")], 2), schema), "clusters")
+    own = materialize(dealt.mapInArrow(lean(_by_group(_cluster_part(percent), [c.split()[0] for c in schema.split(", ")], 2)), schema), "clusters")
     local = own.select("name", F.col("component").alias("root")).distinct()
     if not sizes.limit(1).count():
         return local
@@ -538,12 +538,12 @@ def class_links(texts: DataFrame, groups: DataFrame, percent: int, group: int) -
     led = led.join(texts.select(F.col("name").alias("leader"), "text"), "leader").select("root", "met.p", "met.q", side, "leader", "component", "radius", "members", "text")
     dealt = led.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "side", "leader")
     schema = "root long, p long, q long, side long, a long, b long"
-    pairs = materialize(dealt.mapInArrow(_by_group(_compare_leaders(percent), [c.split()[0] for c in schema.split(", ")], 3), schema), "leader-pairs")
+    pairs = materialize(dealt.mapInArrow(lean(_by_group(_compare_leaders(percent), [c.split()[0] for c in schema.split(", ")], 3)), schema), "leader-pairs")
     # The members of clusters that may still hold a link, once for each two parts.
     members = large.select(F.col("leader").alias("a"), "name")
     both = pairs.where("side >= 0").join(members, "a").select("root", "p", "q", "side", "b", "name").join(texts.select("name", "text"), "name")
     dealt = both.select("root", "p", "q", "side", "b", "name", "text").repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "side", "name")
-    members_met = dealt.mapInArrow(_by_group(_compare_members(percent), ["x", "y"], 3), "x long, y long")
+    members_met = dealt.mapInArrow(lean(_by_group(_compare_members(percent), ["x", "y"], 3)), "x long, y long")
     edges = local.select(F.col("name").alias("a"), F.col("root").alias("b")).unionByName(pairs.where("side < 0").select("a", "b")).unionByName(members_met.toDF("a", "b"))
     joined = components(edges).withColumnRenamed("node", "name")
     return joined.unionByName(local.where("name = root").join(joined.select("name"), "name", "left_anti"))
@@ -561,7 +561,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     # A stored number names the class from here on.
     possible = materialize(possible_classes(docs, told, percent).withColumn("name", F.monotonically_increasing_id()), "possible")
     met = shrunk(docs, ["doc_id"]).join(possible.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select("name", "d1", "d2", "z")
-    texts = materialize(met.mapInArrow(_own_texts, "name long, n long, text string"), "texts")
+    texts = materialize(met.mapInArrow(lean(_own_texts), "name long, n long, text string"), "texts")
     groups = materialize(candidate_groups(texts, percent), "groups")
     links = materialize(class_links(texts, groups, percent, group), "links")
     discard(texts)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +106,8 @@ def allowed_rejections(n: int, alpha: float, delta: float) -> int:
     return n
 
 
+#: Strata up to which the steps (five small ones for each) are broadcast.
+MAX_BROADCAST = 10_000
 #: What a good document counts against bad ones, and the least gain of a rule.
 PRICE, LEAST_GAIN = 10.0, 0.02
 
@@ -154,41 +157,50 @@ def cutoffs(counted: DataFrame, labels: DataFrame, c: str, alpha: float, delta:
     fits = F.col("text_hash") % 2 == 0
     n_strata = max(1, once.select("stratum").distinct().count())
 
-    def choose(pdf):
-        import pandas as pd  # here, since workers that only count need not hold it
+    def choose(key, part):
+        found = part.to_pydict()
 
         def histogram(quality: int) -> list[int]:
             out = [0] * (GRID + 1)
-            part = pdf[pdf.q == quality]
-            for s, n in zip(part.score, part["count"], strict=True):
-                out[int(s)] += int(n)
+            for q, s, n in zip(found["q"], found["score"], found["count"], strict=True):
+                out[s] += n if q == quality else 0
             return out
 
         t, gain = pick_cutoff(histogram(1), histogram(0))
-        return pd.DataFrame({"stratum": [pdf.stratum.iloc[0]], "rule": [int(pdf.rule.iloc[0])], "t": [t], "gain": [gain]})
+        return pa.table({"stratum": [key[0].as_py()], "rule": pa.array([key[1].as_py()], pa.int32()), "t": pa.array([t], pa.int32()), "gain": [float(gain)]})
 
     fitted = once.where(fits).select("stratum", "q", F.posexplode("scores").alias("rule", "score")).groupBy("stratum", "rule", "q", "score").count()
-    picked = fitted.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule int, t int, gain double").where(F.col("t") < GRID)
-    # A stratum has one step for each rule at most.
-    steps = picked.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct((-F.col("gain")).alias("order"), "rule", "t"))).alias("steps"))
+    picked = fitted.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule int, t int, gain double").where(F.col("t") < GRID)
+    # A stratum has one step for each rule at most. Sent to all tasks while strata are few, as one may hold most of the rows.
+    few = F.broadcast if n_strata <= MAX_BROADCAST else lambda df: df
+    steps = materialize(picked.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct((-F.col("gain")).alias("order"), "rule", "t"))).alias("steps")), "steps")
     first = F.array_position(F.transform("steps", lambda s: F.get(F.col("scores"), s["rule"]) > s["t"]), True)
-    of = lambda q: F.array(*(F.count_if((F.col("q") == q) & (first == k + 1)) / F.count_if(F.col("q") == q) for k in range(len(RULES))))
-    beyond = once.where(fits).join(steps, "stratum").groupBy("stratum").agg(F.any_value("steps").alias("steps"), of(0).alias("bad"), of(1).alias("good"))
-    steps = beyond.select("stratum", F.filter("steps", lambda s, i: F.get("bad", i) - PRICE * F.get("good", i) > LEAST_GAIN).alias("steps"))
-    held = once.where(~fits & (F.col("q") == 1)).join(steps, "stratum")
-    hit = [F.count_if(first == k + 1).alias(f"n_{k}") for k in range(len(RULES))]
-    tested = held.groupBy("stratum").agg(F.any_value("steps").alias("steps"), F.count("*").alias("n"), *hit)
+
+    def fired(rows: DataFrame, steps: DataFrame) -> DataFrame:
+        """Per stratum its steps, the documents of each label, and those that each step rejects and none before it."""
+        label = lambda q: F.col("q") == q
+        hit = [F.count_if(label(q) & (first == k + 1)).alias(f"hit_{q}_{k}") for q in (0, 1) for k in range(len(RULES))]
+        counts = rows.join(few(steps), "stratum").groupBy("stratum").agg(F.count_if(label(0)).alias("n_0"), F.count_if(label(1)).alias("n_1"), *hit)
+        of = [F.array(*(F.col(f"hit_{q}_{k}") for k in range(len(RULES)))).alias(f"hit_{q}") for q in (0, 1)]
+        return counts.select("stratum", "n_0", "n_1", *of).join(few(steps), "stratum")
+
+    share = lambda q, i: F.get(f"hit_{q}", i) / F.col(f"n_{q}")
+    worth = F.filter("steps", lambda s, i: share(0, i) - PRICE * share(1, i) > LEAST_GAIN)
+    steps = fired(once.where(fits), steps).select("stratum", worth.alias("steps"))
+    tested = fired(once.where(~fits & (F.col("q") == 1)), materialize(steps, "worth")).select("stratum", "steps", F.col("n_1").alias("n"), F.col("hit_1").alias("hit"))
 
     def certify(batches):
-        for pdf in batches:
-            for i, row in pdf.iterrows():
-                stay = certified([int(row[f"n_{k}"]) for k in range(len(row.steps))], int(row.n), alpha, delta / n_strata)
-                for s in list(row.steps)[:stay]:
-                    pdf.loc[i, f"t_{RULES[s['rule']]}"] = s["t"]
-            yield pdf.reindex(columns=["stratum", *(f"t_{r}" for r in RULES)]).astype({f"t_{r}": "float64" for r in RULES})
-
-    made = tested.mapInPandas(certify, "stratum string, " + ", ".join(f"t_{r} double" for r in RULES))
-    return made.select("stratum", *(F.col(f"t_{r}").cast("int").alias(f"t_{r}") for r in RULES))
+        for batch in batches:
+            made: dict[str, list] = {"stratum": [], **{f"t_{r}": [] for r in RULES}}
+            for row in batch.to_pylist():
+                stay = row["steps"][: certified(row["hit"][: len(row["steps"])], row["n"], alpha, delta / n_strata)]
+                t = {s["rule"]: s["t"] for s in stay}
+                made["stratum"].append(row["stratum"])
+                for i, r in enumerate(RULES):
+                    made[f"t_{r}"].append(t.get(i))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "stratum" else pa.int32()) for k, v in made.items()})
+
+    return tested.mapInArrow(certify, "stratum string, " + ", ".join(f"t_{r} int" for r in RULES))
 
 
 def _verdict(c: str, cut: str) -> Column:

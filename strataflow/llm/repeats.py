@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, map_text, materialize, shrunk, small_batches, unzipped, zipped
+from .common import as_bytes, free_name, lean, map_text, materialize, shrunk, small_batches, unzipped, zipped
 from .induced import SEPARATOR, repeated_starts
 
 WINDOW = 200
@@ -100,7 +100,7 @@ def repeated_anchors(base: DataFrame, window: int) -> DataFrame:
             values, n = np.unique(every, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(n, 2))], names=["h", "n"])
 
-    return base.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return base.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def _cut_strips(window: int, buckets: int):
@@ -249,9 +249,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = shrunk(base, ["doc_id", "mark"])
     met = texts.join(hit, texts["doc_id"].eqNullSafe(hit["i"]) & (texts["mark"] == hit["m"])).select("doc_id", "mark", "z", "anchors")
     buckets = max(parts, known.count() // ANCHORS_PER_BUCKET)
-    cut = met.mapInArrow(_cut_strips(window, buckets), "bucket long, head binary, body binary, places binary")
+    cut = met.mapInArrow(lean(_cut_strips(window, buckets)), "bucket long, head binary, body binary, places binary")
     shards = cut.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
-    ranges = shards.mapInArrow(_sort_shards(window), "doc_id long, mark long, ranges binary")
+    ranges = shards.mapInArrow(lean(_sort_shards(window)), "doc_id long, mark long, ranges binary")
     return ranges.groupBy("doc_id", "mark").agg(F.collect_list("ranges").alias("ranges"))
 
 
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, st
                 out.append({"n_bytes": len(raw), "n_removed": sum(b - a for a, b in spans), "n_spans": len(spans), "spans": flat, "kept": b"".join(kept)})
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, struct)], names=[*others, name])
 
-    return joined.mapInArrow(run, schema), name
+    return joined.mapInArrow(lean(run), schema), name
 
 
 def repeats_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 from .repair import Grammar, compress
 from .wordcache import BATCH_CHARS, IdCache, runs, spans
 
@@ -168,7 +168,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, block_id
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(_write_blocks(path, end_id, block_ids), FILE_SCHEMA), "token-files")
+    return materialize(rows.mapInArrow(lean(_write_blocks(path, end_id, block_ids)), FILE_SCHEMA), "token-files")
 
 
 def _read(files: DataFrame, columns: Callable[[list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
@@ -191,7 +191,7 @@ def _read(files: DataFrame, columns: Callable[[list[bytes]], list[pa.Array]], sc
                 parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), *columns(parts)], names=names)
 
-    return files.mapInArrow(run, f"doc_id long, start long, {schema}")
+    return files.mapInArrow(lean(run), f"doc_id long, start long, {schema}")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
