@@ -5,11 +5,13 @@ in one place. The models are those of ``lm_score``, discounted bigrams over unig
     p(w | h) = max(c(h, w) - D, 0) / c(h) + left(h) * p(w),
 with p(w) = c(w) / N for the background, which saw every word, and p(w) = (c(w) + T * background(w)) / (N + T) for the
 target, where T is its number of different words, so that a word it never saw costs it log2((N + T) / T) bits more.
+The target is every document labelled as good.
 
-Documents are dealt into batches of ids of their own words. A batch asks the buckets of a hash for the totals of its
-different bigrams, and then of its words; a bucket adds up what all batches sent for a key and answers each of them.
-A key is sent once by each batch, however often it occurs, so no bucket is long because of a common word. Words and
-bigrams are 64-bit hashes.
+Documents are dealt into batches of ids of their own words; the labels are joined to the ids of the documents in the
+batches, so that no text is shuffled and no list of labelled ids is held in one place. A batch asks the buckets of a
+hash for the totals of its different bigrams, and then of its words; a bucket adds up what all batches sent for a key
+and answers each of them. A key is sent once by each batch, however often it occurs, so no bucket is long because of a
+common word. Words and bigrams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, unzipped, zipped
-from .lm_score import DISCOUNT, MAX_TARGET_DOCS, target_ids, words_of
+from .lm_score import DISCOUNT, target_rows, words_of
 
 #: Bytes of text in a batch; bounds a worker's memory, not what is counted.
 BATCH_BYTES = 8_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
-_BATCHES = "batch long, doc_ids array<long>, counts array<long>, target array<boolean>, words binary, ids binary"
+_BATCHES = "batch long, doc_ids array<long>, counts array<long>, words binary, ids binary"
 _ASKED = "bucket int, batch long, keys binary, sums array<binary>"
 _TOLD = "bucket int, batch long, sums array<binary>, own binary, n_own long, n_target long"
 
@@ -52,21 +54,19 @@ def _hash(word: bytes) -> int:
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<binary>": pa.list_(pa.binary())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
-def _deal(docs: DataFrame, picked: list[int], batch_bytes: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(picked))
-
+def _deal(docs: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches):
-        good, task, number = sent.value, TaskContext.get().partitionId(), count()
+        task, number = TaskContext.get().partitionId(), count()
 
         def flush():
             words = np.array([0, *map(_hash, known)], np.uint64)  # 0 stands before a text
-            return _rows([(task << 32 | next(number), names, [len(x) for x in held], [i in good for i in names], _pack(words), _pack(np.concatenate(held)))], _BATCHES)
+            return _rows([(task << 32 | next(number), names, [len(x) for x in held], _pack(words), _pack(np.concatenate(held)))], _BATCHES)
 
         names, held, size, known = [], [], 0, defaultdict(count(1).__next__)
         for batch in batches:
@@ -84,6 +84,14 @@ def _deal(docs: DataFrame, picked: list[int], batch_bytes: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _BATCHES)
 
 
+def _target(dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each batch that holds any: the places of its target documents and the number of their tokens."""
+    rows = dealt.select("batch", F.posexplode(F.arrays_zip("doc_ids", "counts")).alias("place", "of"))
+    rows = rows.select("batch", "place", F.col("of.doc_ids").alias("doc_id"), F.col("of.counts").alias("n")).where("doc_id is not null")
+    held = rows.join(target_rows(labels), "doc_id", "left_semi").groupBy("batch")
+    return materialize(held.agg(F.collect_list("place").alias("target"), F.sum("n").alias("n")), "lm-target")
+
+
 class _Batch:
     """The tokens of a batch and its different bigrams: ``keys`` (ascending), ``place`` of each token's among them."""
 
@@ -93,7 +101,9 @@ class _Batch:
         before = np.concatenate([[0], self.ids[:-1]])[: len(self.ids)]
         starts = np.cumsum(self.lengths) - self.lengths
         before[starts[self.lengths > 0]] = 0
-        self.good = np.repeat(np.array(row["target"], bool), self.lengths)
+        good = np.zeros(len(self.lengths), bool)
+        good[row.get("target") or []] = True
+        self.good = np.repeat(good, self.lengths)
         keys, at, self.place = np.unique(self.words[before] * _TIMES + self.words[self.ids], return_index=True, return_inverse=True)
         self.keys, self.head, self.word, self.before = keys, before[at], self.ids[at], before
 
@@ -136,7 +146,7 @@ def _told(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate([_unpack(r["sums"][k]) for r in rows]).astype(np.float64) for k in range(len(rows[0]["sums"]))], np.concatenate([_unpack(r["own"]) for r in rows]).astype(bool)
 
 
-def corpus_digest(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def corpus_digest(docs: DataFrame, labels: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_tokens and the means target_bits, background_bits, difference, rounded to 9 digits.
 
     Every row of ``docs`` is counted and scored; null and empty texts have no tokens and null means. With no labelled
@@ -145,7 +155,9 @@ def corpus_digest(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX
     spark = docs.sparkSession
     small_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(_deal(docs, target_ids(labels, max_target_docs), batch_bytes), "lm-batches")
+    dealt = materialize(_deal(docs, batch_bytes), "lm-batches")
+    target = _target(dealt, labels)
+    marked = dealt.join(target.select("batch", "target").hint("shuffle_hash"), "batch", "left")
 
     def ask_bigrams(batches):
         for batch in batches:
@@ -153,7 +165,7 @@ def corpus_digest(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX
                 b = _Batch(row)
                 yield _rows(_ask(row["batch"], b.keys, b.bigrams(), buckets), _ASKED)
 
-    bigrams = _tell(dealt.mapInArrow(ask_bigrams, _ASKED), "lm-bigrams")
+    bigrams = _tell(marked.mapInArrow(ask_bigrams, _ASKED), "lm-bigrams")
 
     def ask_words(left, right):
         row = left.to_pylist()[0]
@@ -164,9 +176,9 @@ def corpus_digest(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX
         columns += [np.bincount(b.head[t], minlength=n) for t in types]
         return pa.Table.from_batches([_rows(_ask(row["batch"], b.words[order], [c[order] for c in columns], buckets), _ASKED)])
 
-    words = _tell(dealt.groupBy("batch").cogroup(bigrams.groupBy("batch")).applyInArrow(ask_words, _ASKED), "lm-words")
-    tokens = dealt.select(F.explode(F.arrays_zip("counts", "target")).alias("x")).agg(F.sum("x.counts"), F.sum(F.when(F.col("x.target"), F.col("x.counts")))).first()
-    n_all, n_good = (x or 0 for x in tokens)
+    words = _tell(marked.groupBy("batch").cogroup(bigrams.groupBy("batch")).applyInArrow(ask_words, _ASKED), "lm-words")
+    n_all = dealt.select(F.explode("counts").alias("n")).agg(F.sum("n")).first()[0] or 0
+    n_good = target.agg(F.sum("n")).first()[0] or 0
     n_types = words.agg(F.sum("n_target")).first()[0] or 0  # the mark before a text is no word and has no word count
     schema = "doc_id long, n_tokens long, target_bits double, background_bits double, difference double"
 
@@ -193,6 +205,6 @@ def corpus_digest(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX
 
     answers = bigrams.withColumn("of_words", F.lit(False)).unionByName(words.withColumn("of_words", F.lit(True)))
     scored = materialize(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema), "lm-scores")
-    for stored in (dealt, bigrams, words):
+    for stored in (dealt, target, bigrams, words):
         discard(stored)
     return scored.select("doc_id", "n_tokens", *(F.round(n, 9).alias(n) for n in ("target_bits", "background_bits", "difference")))

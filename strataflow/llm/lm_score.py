@@ -9,14 +9,16 @@ where left(h) is the mass that the discounted listed bigrams of h leave over; th
 A document's score is the mean over its tokens of target loss minus background loss in bits: the
 lower, the more it is like the target.
 
-The list grows only with the labelled sample, whose size is a parameter; the background counts of
-its entries are taken over every document, as sparse vectors per task that are summed by a shuffle. A bigram outside
-the sample has no count here: the query scores by ``lm_corpus``, whose counts are those of the whole corpus.
+Every document labelled as good is fitted. Words, bigrams and counts are taken by tasks and summed by a shuffle; the
+lists of different words and bigrams of the target are held by the driver and by each task, and grow with the labelled
+text. A bigram outside them has no count here: the query scores by ``lm_corpus``, whose counts are tables over the
+whole corpus and are held in no one place.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ from pyspark.sql import types as T
 
 from .common import discard, free_name, map_text, materialize, small_batches
 
-#: Labelled documents the target model is fitted on at most, by hash order of their ids.
-MAX_TARGET_DOCS = 2000
 DISCOUNT = 0.75
 _START, _UNKNOWN = 0, 1
 
@@ -82,8 +82,6 @@ class Model:
 
 
 def choose_lists(target: list[str | None]) -> Lists:
-    from collections import Counter
-
     count: Counter = Counter()
     for text in target:
         count.update(words_of(text))
@@ -108,23 +106,52 @@ def count_text(lists: Lists, texts: list[str | None]) -> tuple[np.ndarray, np.nd
     return word, history, bigram
 
 
-def target_ids(labels: DataFrame, max_docs: int = MAX_TARGET_DOCS) -> list[int]:
-    """The bounded sample of documents labelled as good."""
-    good = labels.where("doc_id is not null and quality = 1").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("toxic = 0")
-    return [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(max_docs).collect()]
+def target_rows(labels: DataFrame) -> DataFrame:
+    """``doc_id`` of every document labelled as good, once each."""
+    good = labels.where("doc_id is not null and quality = 1").groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    return good.where("toxic = 0").select("doc_id")
+
+
+def target_ids(labels: DataFrame) -> list[int]:
+    """Those ids as a list, for small tables; the models are fitted by joins with ``target_rows``."""
+    return sorted(r.doc_id for r in target_rows(labels).collect())
 
 
-def target_texts(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TARGET_DOCS) -> list[str | None]:
-    """The texts of the sample; ids are picked before any text is moved."""
-    picked = target_ids(labels, max_docs)
-    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()  # at most max_docs ids
+def target_texts(docs: DataFrame, labels: DataFrame) -> list[str | None]:
+    """Their texts as a list, for small tables."""
+    rows = docs.join(target_rows(labels), "doc_id", "left_semi").select("doc_id", "text").collect()
     return [r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
 
 
+def gather_lists(target: DataFrame) -> Lists:
+    """``choose_lists`` of all rows of ``target``, counted by tasks; only the lists come to the driver."""
+    spark = target.sparkSession
+    small_batches(spark)
+
+    def count_words(batches):
+        for batch in batches:
+            count: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                count.update(words_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    counted = target.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = sorted(counted.where("n > 1").select("word").toArrow().column(0).to_pylist())
+    sent = spark.sparkContext.broadcast(Lists(words, np.empty(0, np.int64)))
+
+    def list_bigrams(batches):
+        known = sent.value
+        for batch in batches:
+            codes = [known.codes(known.ids(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*codes, np.empty(0, np.int64)])))], names=["code"])
+
+    codes = target.select("text").mapInArrow(list_bigrams, "code long").distinct().toArrow().column(0).to_numpy()
+    return Lists(words, np.sort(codes.astype(np.int64)))
+
+
 def corpus_counts(docs: DataFrame, lists: Lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts over every document. Tasks send what they saw as (entry, count) rows; the sums have one row
-    for each entry of the bounded lists."""
+    for each entry of the lists."""
     sent = docs.sparkSession.sparkContext.broadcast(lists)
 
     def run(batches):
@@ -147,11 +174,13 @@ def corpus_counts(docs: DataFrame, lists: Lists) -> tuple[np.ndarray, np.ndarray
     return out[: lists.size], out[lists.size : 2 * lists.size], out[2 * lists.size :]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS) -> tuple[Model, Model]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
     """(target, background); with no labelled document both know nothing but the unknown word and score 0."""
-    target = target_texts(docs, labels, max_target_docs)
-    lists = choose_lists(target)
-    return Model(lists, *count_text(lists, target)), Model(lists, *corpus_counts(docs, lists))
+    target = materialize(docs.join(target_rows(labels), "doc_id", "left_semi").select("text"), "ngram-target")
+    lists = gather_lists(target)
+    fitted = Model(lists, *corpus_counts(target, lists))
+    discard(target)
+    return fitted, Model(lists, *corpus_counts(docs, lists))
 
 
 def score_documents(docs: DataFrame, target: Model, background: Model, keep: list[str] | None = None) -> DataFrame:

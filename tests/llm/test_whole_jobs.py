@@ -75,6 +75,37 @@ def test_corpus_digest_odd_inputs(spark):
     assert lm_corpus.corpus_digest(frame.where("doc_id < 3"), labels).count() == 2
 
 
+@pytest.fixture(scope="module")
+def many_good(spark):
+    """2,400 documents of a word of their own, twice; the first 2,100 are good, as some labels say more than once."""
+    frame = spark.createDataFrame([(i, f"w{i} W{i}") for i in range(2400)], "doc_id long, text string")
+    rows = [(i, 1, 0) for i in range(2100)] + [(i, 1, None) for i in range(50)] + [(i, 1, 1) for i in range(2100, 2200)]
+    rows += [(i, 1, 0) for i in range(2100, 2150)] + [(i, 0, 0) for i in range(2200, 2300)] + [(None, 1, 0), (9999, 1, 0)]
+    return frame, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_corpus_target_is_every_good_document(many_good):
+    import math
+
+    frame, labels = many_good
+    rows = lm_corpus.corpus_digest(frame, labels, batch_bytes=5_000).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(2400))
+    for r in rows:
+        good = r.doc_id < 2100
+        fitted = (2 * good + 2100 * 2 / 4800) / (4200 + 2100)
+        want = -math.log2(0.25 / 2100 * good + 0.75 * fitted) - math.log2(0.25 + 0.75 * fitted if good else fitted)
+        assert r.n_tokens == 2 and abs(r.target_bits - want / 2) < 1e-8, r
+
+
+def test_lm_lists_are_those_of_every_good_document(many_good):
+    frame, labels = many_good
+    target, background = lm_score.train(frame, labels)
+    plain = lm_score.choose_lists([f"w{i} W{i}" for i in range(2100)])
+    assert target.lists.id == plain.id and len(plain.id) == 2100
+    assert (target.lists.bigrams == plain.bigrams).all() and (background.lists.bigrams == plain.bigrams).all() and len(plain.bigrams) == 4200
+    assert (target.unigram[2:] == 3 / (4200 + plain.size - 1)).all()
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
