@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Characters of texts that are worked off together, and of a long text that are cut off at once.
 BATCH_CHARS = 2_000_000
+#: Ids that are put in their places at once.
+IDS_AT_ONCE = 1 << 18
 
 
 class IdCache:
@@ -45,11 +47,17 @@ class IdCache:
         found = self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
-        at = coded.indices.to_numpy()
-        width = size[at]
-        ends = np.cumsum(width)
-        move = (np.cumsum(size) - size)[at] - (ends - width)
-        return flat[np.repeat(move, width) + np.arange(int(ends[-1]))], ends
+        at, starts = coded.indices.to_numpy(), np.cumsum(size) - size
+        ends = np.cumsum(size[at])
+        out, a = np.empty(int(ends[-1]), self.kind), 0
+        while a < len(at):  # in steps, as the places are wider than the ids
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + IDS_AT_ONCE, "right")))
+            some = at[a:b]
+            width = size[some]
+            out[done : int(ends[b - 1])] = flat[np.repeat(starts[some] - (ends[a:b] - width), width) + np.arange(done, int(ends[b - 1]))]
+            a = b
+        return out, ends
 
 
 def spans(texts: list[str | None], chars: int = BATCH_CHARS):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -9,11 +10,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from strataflow.llm import bpe, crf, decontam, induced, jaccard, lines, lm_score, pii, quality, repair, repeats, secrets, token_files
+from strataflow.llm import bpe, crf, decontam, induced, jaccard, lines, lm_score, pii, quality, repair, repeats, secrets, token_files, wordcache
 from strataflow.llm.common import free_name
 from strataflow.llm.components import components
 
@@ -353,6 +355,84 @@ def test_word_cache_on_unusual_texts():
         assert cache.encode_many([s])[0].tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
+class Seen:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_of_plain_letters_need_no_normalizer():
+    t, cache = token_files._tokenizer(WORD_BPE), token_files.WordCache(WORD_BPE)
+    cache.tokenizer = Seen(t)
+    letters = [c for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if c.isalpha()]
+    rng = np.random.default_rng(5)
+    words = [*letters, "".join(letters), "s", "re", "ll", *("".join(rng.choice(letters, n)) for n in rng.integers(1, 20, 3000))]
+    plain, mixed = " ".join(words), " ".join(f"{w} {v}" for w, v in zip(words[-600:], words[-600:][::-1], strict=True)).replace("a", "\u03b1").replace("e", "e\u0301")
+    assert cache.encode_many([plain])[0].tolist() == t.encode(plain, add_special_tokens=False).ids
+    assert all(set(x) - set(letters) - {" "} for x in cache.tokenizer.texts)
+    seen = len(cache.tokenizer.texts)
+    assert cache.encode_many([mixed])[0].tolist() == t.encode(mixed, add_special_tokens=False).ids and len(cache.tokenizer.texts) > seen
+
+
+def test_plain_words_of_other_definitions_take_the_whole_way():
+    given = json.loads(token_files._tokenizer(WORD_BPE).to_str())
+    assert token_files._plain_tokenizer(given).normalizer is None
+    for change in ({"normalizer": None}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        assert token_files._plain_tokenizer(given | change) is None
+    text = json.dumps(given)
+    for old, new in (("[\\\\p{L}]+", "[\\\\p{L}]"), ('"use_regex": false', '"use_regex": true'), ('"add_prefix_space": false', '"add_prefix_space": true'), ('"Regex": "\\\\s+"', '"Regex": "a+"')):
+        assert old in text and token_files._plain_tokenizer(json.loads(text.replace(old, new))) is None, old
+
+
+def text_batches(texts, rows):
+    names = [None if i == 3 else i for i in range(len(texts))]
+    kinds = pa.schema({"doc_id": pa.int64(), "text": pa.string()})
+    return [pa.RecordBatch.from_arrays([pa.array(names[a : a + rows], pa.int64()), pa.array(texts[a : a + rows], pa.string())], schema=kinds) for a in range(0, len(texts), rows)]
+
+
+def test_batches_of_rows_are_joined_up_to_a_number_of_bytes():
+    texts = ["a" * 50, None, "b" * 50, "c" * 500, "d", "", "é" * 20, "ff"]
+    got = list(token_files._row_spans(iter(text_batches(texts, 2)), 200))
+    assert [(names, chars) for names, _, chars in got] == [([0, 1], 200), ([2, None], token_files.BATCH_CHARS), ([4, 5, 6, 7], 200)]
+    assert [t for _, some, _ in got for t in some] == texts
+    assert [len(names) for names, _, _ in token_files._row_spans(iter(text_batches(texts, 2)))] == [8] and list(token_files._row_spans(iter([]))) == []
+
+
+def test_words_of_joined_batches_are_looked_up_once():
+    cache, asked = token_files.WordCache(WORD_BPE), []
+    look_up = cache.cache.look_up
+    cache.cache.look_up = lambda distinct: asked.append(len(distinct)) or look_up(distinct)
+    for _, texts, chars in token_files._row_spans(iter(text_batches(["one two three " * 214] * 2000, 1000))):
+        got = cache.encode_many(texts, chars)
+        assert len(got) == 2000 and all(len(g) == 642 for g in got)
+    assert asked == [4]
+
+
+def test_new_words_with_marks_are_encoded_some_at_a_time():
+    t, cache = token_files._tokenizer(WORD_BPE), token_files.WordCache(WORD_BPE)
+    cache.tokenizer, sizes = Seen(t), []
+    encode = cache.tokenizer.encode_batch_fast
+    cache.tokenizer.encode_batch_fast = lambda texts, **options: sizes.append(len(texts)) or encode(texts, **options)
+    text = " ".join(map(str, range(10_000, 13_000)))
+    assert cache.encode_many([text, text])[1].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert sum(sizes) == 3000 and max(sizes) <= token_files.WORDS_AT_ONCE
+
+
+def test_ids_are_put_in_place_in_steps(monkeypatch):
+    words = [f"w{i % 37}" for i in range(500)]
+    expand = lambda w: list(range(int(w[1:]) % 9))
+    learn = lambda new: [np.array(expand(w), np.uint16).tobytes() for w in new]
+    for step in (1, 3, 64, 1 << 18):
+        monkeypatch.setattr(wordcache, "IDS_AT_ONCE", step)
+        ids, ends = wordcache.IdCache(learn, np.uint16, 100).ids(pa.array(words))
+        assert ids.dtype == np.uint16 and ids.tolist() == [i for w in words for i in expand(w)] and ends.tolist() == np.cumsum([len(expand(w)) for w in words]).tolist()
+
+
 def test_token_files_blocks_and_random_access(spark):
     files = token_files.write_token_files(odd(spark, "grammar"), WORD_BPE, block_ids=3)
     rows = token_files.read_token_files(files).orderBy("start").collect()
